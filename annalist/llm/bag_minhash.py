@@ -49,6 +49,10 @@ DOUBT = 0.58  # a pair whose signatures agree less is below 0.8 but for a chance
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _nth(k: int) -> np.uint64:
+    return np.uint64(k * int(STEP) & 0xFFFFFFFFFFFFFFFF)
+
+
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles, sorted, and how often each occurs."""
     words = text.lower().split()
@@ -91,7 +95,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
                 break
             k = int(left.sum())
             doc.append(np.full(k, d, np.int64))
-            seed.append(mix64(h[left] + np.uint64(section + 1) * STEP))
+            seed.append(mix64(h[left] + _nth(section + 1)))
             rate.append(np.full(k, float(length)))
             top.append(np.minimum(1.0, (w[left] - low) / length))
             section += 1
@@ -102,7 +106,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     step = 0
     while len(doc):
         step += 1
-        z = mix64(seed + np.uint64(step) * STEP)
+        z = mix64(seed + _nth(step))
         t = t - np.log(((z >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / rate
         z2 = mix64(z)
         seen = (z2 >> np.uint64(40)).astype(np.float64) * 2.0**-24 < top

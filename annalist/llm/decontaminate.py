@@ -59,7 +59,8 @@ def _hashes(df: DataFrame, size: int, key: str) -> DataFrame:
         n = F.greatest(F.size("h") - width, F.lit(0))
         d = d.select(key, F.zip_with(F.slice("h", F.lit(1), n), F.slice("h", F.lit(width + 1), n), lambda a, b: F.xxhash64(a, b)).alias("h"))
         width *= 2
-    return d.select(key, F.posexplode("h").alias("pos", "w"))
+    # the outer form, since the optimiser would push the inner form's size(h) > 0 below the projections and compute them twice
+    return d.select(key, F.posexplode_outer("h").alias("pos", "w")).where("w is not null")
 
 
 def match(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, least: float = 0.5) -> DataFrame:
@@ -93,9 +94,9 @@ def match(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id
     runs = runs.withColumn("clash", F.transform(clash, lambda p: p["k"]))
     # the windows without a contradicting slot are the consistent part
     good = F.filter("at", lambda s: ~F.exists("clash", lambda k: (k >= s) & (k < s + F.col("size"))))
-    runs = runs.withColumn("windows", F.size(good).cast("long")).withColumn("coverage", F.col("windows") / F.col("of").cast("double")).where(F.col("coverage") >= least)
+    runs = runs.withColumn("windows", F.size(good).cast("long")).withColumn("coverage", F.col("windows") / F.col("of").cast("double"))
     changed = F.size(F.filter("slots", lambda p: p["a"] != p["b"])).cast("long")
-    best = runs.groupBy("d", "i").agg(F.max(F.struct("coverage", "windows", F.size("slots").cast("long").alias("n"), (-changed).alias("c"))).alias("best"))
+    best = runs.groupBy("d", "i").agg(F.max(F.struct("coverage", "windows", F.size("slots").cast("long").alias("n"), (-changed).alias("c"))).alias("best")).where(F.col("best.coverage") >= least)
     return best.select(F.col("d").alias(id_col), F.col("i").alias(item_id), "best.windows", "best.coverage", F.col("best.n").alias("slots"), (-F.col("best.c")).alias("changed"))
 
 

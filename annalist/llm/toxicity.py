@@ -15,12 +15,14 @@ row, or with one class only, every score is the smoothed share of toxic labels.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, whole
+from .common import map_rows, ship, whole
 from .labelled import sample
 
 BITS = 20
@@ -110,22 +112,17 @@ def score_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable, threshold: float = 0.3, max_rows: int = 8000) -> DataFrame:
     """The rows of docs, all columns, whose score is below the threshold."""
     weights, intercept = fit(sample(docs, labels, id_col, text_col, label_col, usable, max_rows))
-    return docs.where(~flagged(weights, intercept, threshold)(whole(F.col(text_col))))
-
-
-def flagged(weights: np.ndarray, intercept: float, threshold: float):
-    """A vectorised predicate on texts: score >= threshold."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     at = np.flatnonzero(weights)
     values = weights[at]
     held: dict[str, np.ndarray] = {}
+    place = docs.columns.index(text_col)
+    ship(docs.sparkSession)
 
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "w" not in held:
             held["w"] = np.zeros(1 << BITS, np.float32)
             held["w"][at] = values
-        return pd.Series([score(t, held["w"], intercept) >= threshold for t in texts], dtype=bool)
+        for b in batches:
+            yield b.filter(pa.array([score(t or "", held["w"], intercept) < threshold for t in b.column(place).to_pylist()], pa.bool_()))
 
-    return pandas_udf(run, "boolean")
+    return docs.mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import stable, whole
 
 WINDOW, SHORT = 8, 4
 BROADCAST_WINDOWS = 500_000
@@ -86,8 +86,13 @@ def match(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id
     runs = lined.groupBy("d", "i", "shift", "size").agg(F.collect_set("ipos").alias("at"))
     total = item.select("i", F.col("__tokens").alias("itoks"))
     runs = runs.join(hint(total), "i").withColumn("of", F.size("itoks") - F.col("size") + 1).where(F.size("at") >= F.col("of") * least)
-    # the few documents that hold an item are read again for their slot values
-    runs = runs.join(doc.select("d", F.col("__tokens").alias("dtoks")), "d")
+    # the documents that hold an item are read again for their slot values; all others are kept from a shuffle
+    # by a broadcast of the hits' ids while those are fewer than a fixed bound, and by a semi join beyond it
+    runs = stable(runs)
+    ids = runs.select("d").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_WINDOWS else ids
+    again = docs.select(F.col(id_col).alias("d"), whole(F.col(text_col)).alias("__text")).join(ids, "d", "left_semi")
+    runs = runs.join(templated(again, F.col("__text")).select("d", F.col("__tokens").alias("dtoks")), "d")
     pairs = F.filter(F.transform(F.sequence(F.lit(0), F.size("itoks") - 1), lambda k: F.struct(k.alias("k"), F.get("itoks", k)["t"].alias("t"), F.get("itoks", k)["v"].alias("a"), F.get("dtoks", k + F.col("shift"))["v"].alias("b"), F.get("dtoks", k + F.col("shift"))["t"].alias("u"))), lambda p: p["t"].startswith("#") & p["t"].eqNullSafe(p["u"]))
     runs = runs.withColumn("slots", pairs)
     clash = F.filter("slots", lambda p: F.exists("slots", lambda q: (p["t"] == q["t"]) & (p["a"] == q["a"]) & (p["b"] != q["b"])))

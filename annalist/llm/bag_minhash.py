@@ -14,14 +14,19 @@ probability weighted Jaccard, so equal registers estimate it without bias. Point
 time, and a process stops when its next point is later than every register of the document.
 
 Search. Texts that are equal after normalisation are one representative. Signatures are cut into
-bands of ROWS registers; representatives that share a band are candidates. Then
+bands of ROWS registers; representatives that share a band are candidates. The degree of a
+representative is the number of times it meets others in bands, which is highest for the text that a
+family of edited copies goes back to. Then
 
- 1. within each band value, every member is compared with one member (the smallest by a hash that
-    differs from band to band), so a large group costs one comparison per member and band at most;
+ 1. within each band value, every member is compared with the member of the highest degree;
  2. verified links are closed to components;
- 3. band values whose members are not yet all in one component are finished exactly: members are dealt
-    into chunks and every pair of chunks is compared in a task of its own, skipping pairs that are
-    already connected and pairs whose signatures rule out the similarity.
+ 3. band values that still hold several components are finished exactly: members are dealt into chunks,
+    and every pair of chunks is compared in a task of its own, which skips pairs that are already
+    connected, pairs met in an earlier band and pairs whose signatures rule out the similarity, and
+    returns links that connect components, not pairs.
+
+So a large group costs one comparison per member and band before step 3, and step 3 never holds more
+than two chunks in a task nor returns more rows than it has members.
 
 Every comparison that makes a link computes the multiset overlap of the shingles themselves. Pairs
 of similarity 0.8 share no band with probability (1 - 0.8 ** ROWS) ** BANDS < 4e-6.
@@ -34,6 +39,8 @@ extra columns are ignored by `classes` and kept by `keep_first`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,6 +52,7 @@ from .common import mix64, ship, stable, whole
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 24, 4, 0.8
 REGISTERS = BANDS * ROWS
 CHUNK = 512
+BROADCAST_ROWS = 1_000_000  # ids, 8 to 16 bytes each
 DOUBT = 0.58  # a pair whose signatures agree less is below 0.8 but for a chance under 1e-6
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,14 +141,43 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-    bags = [shingles(t) for t in batch["text"].to_pylist()]
-    full = [k for k, b in enumerate(bags) if len(b[0])]
-    sigs = np.zeros((0, REGISTERS), np.uint32)
-    step = 64  # bags that advance together; bounds memory
-    if full:
-        sigs = np.concatenate([signatures([bags[k] for k in full[i : i + step]]) for i in range(0, len(full), step)])
-    return pa.RecordBatch.from_arrays([batch["rep"].take(pa.array(full, pa.int64())), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array(list(bands(sigs)), pa.list_(pa.int64()))], names=["rep", "sig", "keys"])
+def _normal(text: str) -> str:
+    return " ".join(text.lower().split())
+
+
+def _name(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(_normal(text).encode())
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds rep and sig (empty for a text without words) to rows of id, k1, k2, text; equal texts of a batch are signed once."""
+    for b in batches:
+        texts = b["text"].to_pylist()
+        names = [_name(t) for t in texts]
+        own = {n: k for k, n in enumerate(names)}
+        bags = {n: shingles(texts[k]) for n, k in own.items()}
+        full = [n for n, bag in bags.items() if len(bag[0])]
+        made: dict[bytes, bytes] = {}
+        for i in range(0, len(full), 64):  # bags that advance together; bounds memory
+            part = full[i : i + 64]
+            made.update(zip(part, (s.tobytes() for s in signatures([bags[n] for n in part])), strict=True))
+        yield pa.RecordBatch.from_arrays([b["id"], b["k1"], b["k2"], pa.array(names, pa.binary()), pa.array([made.get(n, b"") for n in names], pa.binary())], names=["id", "k1", "k2", "rep", "sig"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sig = _matrix(b["sig"].to_pylist())
+        yield pa.RecordBatch.from_arrays([b["rep"], pa.array(list(bands(sig)), pa.list_(pa.int64()))], names=["rep", "keys"])
+
+
+def _matrix(sigs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, REGISTERS)
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [_normal(t) for t in b["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([_name(t) for t in texts], pa.binary()), pa.array(texts, pa.string())], names=["rep", "text"])
 
 
 def _verify(batches):
@@ -161,7 +198,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of representatives whose texts overlap enough."""
     x = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
     x = x.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    return x.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a string, b string")
+    return x.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary")
 
 
 def components(edges: DataFrame, names: DataFrame) -> DataFrame:
@@ -179,84 +216,118 @@ def components(edges: DataFrame, names: DataFrame) -> DataFrame:
     return names.join(comp, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
 
 
-def _chunk_pairs(group: pa.Table) -> pa.Table:
-    """Candidate pairs of two chunks of a band value: not connected yet, signatures near enough."""
-    side = np.array(group["side"].to_pylist())
-    rep, comp = np.array(group["rep"].to_pylist(), object), np.array(group["comp"].to_pylist(), object)
-    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(-1, REGISTERS)
-    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    out_a, out_b = [], []
+def _elements(text: str) -> frozenset:
+    """The multiset of shingles as a set: the k-th occurrence of a shingle is an element of its own."""
+    h, w = shingles(text)
+    out = h.tolist()
+    for k in np.flatnonzero(w > 1):
+        out += [(int(h[k]), i) for i in range(1, int(w[k]))]
+    return frozenset(out)
+
+
+def _chunk_links(group: pa.Table) -> pa.Table:
+    """Links that connect components of two chunks of a band value, or of one (side 1 only)."""
+    side, key = np.array(group["side"].to_pylist()), group["key"][0].as_py()
+    rep, comp, text = (group[c].to_pylist() for c in ("rep", "comp", "text"))
+    number = {c: k for k, c in enumerate(dict.fromkeys(comp))}
+    comp_no = np.array([number[c] for c in comp])
+    sig = _matrix(group["sig"].to_pylist())
+    keys = bands(sig)
+    within = not (side == 0).any()
+    a, b = (np.flatnonzero(side == 1),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    held: dict[int, frozenset] = {}
+
+    def bag(k: int) -> frozenset:
+        if k not in held:
+            held[k] = _elements(text[k])
+        return held[k]
+
+    out = []
     for i in a:
-        near = (sig[b] == sig[i]).mean(axis=1) >= DOUBT
-        for j in b[near]:
-            if comp[i] != comp[j] and rep[i] != rep[j]:
-                out_a.append(min(rep[i], rep[j]))
-                out_b.append(max(rep[i], rep[j]))
-    return pa.table({"a": pa.array(out_a, pa.string()), "b": pa.array(out_b, pa.string())})
-
-
-def representatives(docs: DataFrame, text_col: str) -> DataFrame:
-    """rep (a 128-bit hash of the normalised text) and text: one row per distinct normalised text."""
-    norm = _normal(whole(F.col(text_col)))
-    return docs.select(norm.alias("text")).select(_name("text").alias("rep"), "text")
-
-
-def _normal(text):
-    return F.trim(F.regexp_replace(F.lower(text), r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+", " "))
-
+        other = b[(comp_no[b] != comp_no[i]) & ((b > i) if within else True)]
+        if not len(other):
+            continue
+        first = (keys[other] == keys[i]).argmax(axis=1)
+        alike = (sig[other] == sig[i]).mean(axis=1)
+        fit = (keys[i][first] == key) & (alike >= DOUBT)
+        for j in other[fit][np.argsort(-alike[fit], kind="stable")]:
+            if comp_no[i] == comp_no[j]:
+                continue
+            x, y = bag(i), bag(j)
+            if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+                continue
+            both = len(x & y)
+            if both >= SIMILARITY * (len(x) + len(y) - both):
+                out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                comp_no[comp_no == comp_no[j]] = comp_no[i]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+
+def signed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, k1, k2 (two hashes of id and text), rep (a 128-bit hash of the normalised text), sig: one row per row of docs, stored."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
+    rows = rows.select("id", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", "id", F.lit(1)).alias("k2"), "text")
+    kind = rows.schema["id"].dataType.simpleString()
+    return stable(rows.mapInArrow(_sign, f"id {kind}, k1 long, k2 long, rep binary, sig binary"))
+
+
+def components_of(docs: DataFrame, id_col: str, text_col: str, signed: DataFrame) -> DataFrame:
+    """rep, comp for the representatives that share a band with another; all others are alone."""
+    reps = signed.where("octet_length(sig) > 0").groupBy("rep").agg(F.first("sig").alias("sig"))
+    rows = reps.mapInArrow(_keys, "rep binary, keys array<long>").select("rep", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stable(rows.join(shared, "key").select("key", "rep", "n"))
+    degree = members.groupBy("rep").agg(F.sum("n").alias("deg"))
+    members = stable(members.join(degree, "rep"))
+    needed = stable(degree.select("rep"))
+    # the texts that are compared: found by the hash of id and text of one row of each representative
+    wanted = signed.groupBy("rep").agg(F.min("k1").alias("k1")).join(needed, "rep", "left_semi").select("k1")
+    wanted = F.broadcast(wanted) if needed.count() <= BROADCAST_ROWS else wanted
+    texts = docs.select(F.xxhash64(F.col(id_col), whole(F.col(text_col))).alias("k1"), whole(F.col(text_col)).alias("text")).join(wanted, "k1", "left_semi")
+    texts = stable(texts.select("text").mapInArrow(_named, "rep binary, text string").groupBy("rep").agg(F.first("text").alias("text")))
+
+    high = F.struct("deg", F.xxhash64("rep").alias("h"))
+    leads = members.groupBy("key").agg(F.max_by("rep", high).alias("lead"))
+    pairs = members.join(leads, "key").where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    links = stable(_linked(pairs, texts))
+    comp = components(links, needed)
 
-def _name(col: str):
-    return F.md5(F.encode(F.col(col), "utf-8"))
+    placed = stable(members.where("n > 2").select("key", "rep", "n").join(comp, "rep"))
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    left = placed.join(open_keys, "key", "left_semi").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    left = left.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).join(texts.join(reps, "rep"), "rep")
+    places = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j"), F.when(F.col("chunk") < o, 0).otherwise(1).alias("side")))
+    dealt = left.select("key", "rep", "comp", "sig", "text", F.explode(places).alias("p")).select("key", "p.i", "p.j", "p.side", "rep", "comp", "sig", "text")
+    extra = stable(dealt.groupBy("key", "i", "j").applyInArrow(_chunk_links, "a binary, b binary"))
+    return comp if extra.isEmpty() else components(links.unionByName(extra), needed)
 
 
-def _classes(keyed: DataFrame) -> DataFrame:
-    """keyed: rep and text of every row. Returns rep, comp for all reps."""
-    ship(keyed.sparkSession)
-    # what goes through the shuffle of this step is the hash and, per task and text, one text
-    reps = keyed.groupBy("rep").agg(F.first("text").alias("text"))
-    signed = stable(reps.mapInArrow(lambda it: map(_sign, it), "rep string, sig binary, keys array<long>"))
-    rows = signed.select("rep", F.explode("keys").alias("key"))
-    shared = stable(rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "key")).alias("lead")).where("n > 1"))
-    members = stable(rows.join(shared, "key").select("key", "rep", "lead"))
-    pairs = members.where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    needed = members.select("rep").distinct()
-    texts = stable(reps.join(needed, "rep", "left_semi"))
-    links = stable(_linked(pairs, texts))
-    comp = stable(components(links, needed))
-    # band values that still hold several components
-    open_keys = members.join(comp, "rep").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x < y and n > 2").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    left = members.join(open_keys, "key").join(comp, "rep").join(signed.select("rep", "sig"), "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    mates = F.sequence(F.lit(0), F.col("chunks") - 1)
-    placed = F.transform(mates, lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j"), F.when(F.col("chunk") <= o, 0).otherwise(1).alias("side")))
-    own = F.array(F.struct(F.col("chunk").alias("i"), F.col("chunk").alias("j"), F.lit(1).alias("side")))
-    dealt = left.select("key", "rep", "comp", "sig", F.explode(F.concat(placed, own)).alias("p")).select("key", "p.i", "p.j", "p.side", "rep", "comp", "sig")
-    more = stable(dealt.groupBy("key", "i", "j").applyInArrow(_chunk_pairs, "a string, b string").distinct())
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    extra = stable(_linked(more, texts))
-    if not extra.isEmpty():
-        comp = components(links.unionByName(extra), needed)
-    return comp
+def _placed(signed: DataFrame, comp: DataFrame) -> DataFrame:
+    """rep, first (its smallest row: id, k1, k2) and comp of every representative."""
+    low = F.min_by(F.struct("id", "k1", "k2"), F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("first")
+    return signed.groupBy("rep").agg(low).join(comp, "rep", "left").select("rep", "first", F.coalesce("comp", "rep").alias("comp"))
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id_col, class_id (the smallest id of the class), n_texts (distinct texts in the class) for every row."""
-    norm = docs.select(F.col(id_col).alias("id"), _normal(whole(F.col(text_col))).alias("text")).select("id", _name("text").alias("rep"), "text")
-    comp = _classes(norm)
-    named = norm.select("id", "rep")
-    first = named.groupBy("rep").agg(F.min("id").alias("first"))
-    placed = first.join(comp, "rep", "left").select("rep", "first", F.coalesce("comp", "rep").alias("comp"))
-    names = placed.groupBy("comp").agg(F.min("first").alias("class_id"), F.count("*").alias("n_texts"))
+    signed = signed_rows(docs, id_col, text_col)
+    placed = stable(_placed(signed, components_of(docs, id_col, text_col, signed)))
+    names = placed.groupBy("comp").agg(F.min("first.id").alias("class_id"), F.count("*").alias("n_texts"))
     by_rep = placed.join(names, "comp").select("rep", "class_id", "n_texts")
-    return named.join(by_rep, "rep").select(F.col("id").alias(id_col), "class_id", "n_texts")
+    return signed.select("id", "rep").join(by_rep, "rep").select(F.col("id").alias(id_col), "class_id", "n_texts")
 
 
 def keep_first(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs, all columns, with one row of each class: the one with the smallest id (of equal ids, one row)."""
-    d = docs.withColumn("__rep", F.md5(F.encode(_normal(whole(F.col(text_col))), "utf-8")))
-    comp = _classes(docs.select(_normal(whole(F.col(text_col))).alias("text")).select(_name("text").alias("rep"), "text"))
-    first = d.groupBy("__rep").agg(F.min(id_col).alias("__first"))
-    placed = first.join(comp.select(F.col("rep").alias("__rep"), "comp"), "__rep", "left").select("__rep", "__first", F.coalesce("comp", "__rep").alias("__comp"))
-    best = placed.groupBy("__comp").agg(F.min_by(F.struct("__rep", "__first"), F.struct(F.col("__first").isNull(), "__first", "__rep")).alias("b")).select("b.*")
-    kept = d.join(best, (d["__rep"] == best["__rep"]) & d[id_col].eqNullSafe(best["__first"]), "left_semi")
-    # rows that share both id and text: one of them
-    return kept.dropDuplicates(["__rep"]).drop("__rep")
+    """docs, all columns, with one row of each class: the one with the smallest id (of rows with equal id and text, one)."""
+    signed = signed_rows(docs, id_col, text_col)
+    placed = _placed(signed, components_of(docs, id_col, text_col, signed))
+    best = stable(placed.groupBy("comp").agg(F.min_by("first", F.struct(F.col("first.id").isNull(), "first")).alias("f")).select("f.k1", "f.k2"))
+    gone = stable(signed.select("k1", "k2").join(best, ["k1", "k2"], "left_anti").distinct())
+    few = gone.count() <= BROADCAST_ROWS
+    d = docs.withColumns({"__k1": F.xxhash64(F.col(id_col), whole(F.col(text_col))), "__k2": F.xxhash64(whole(F.col(text_col)), F.col(id_col), F.lit(1))})
+    out = gone.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    d = d.join(F.broadcast(out) if few else out, ["__k1", "__k2"], "left_anti")
+    if not signed.join(best, ["k1", "k2"], "left_semi").groupBy("k1", "k2").count().where("count > 1").isEmpty():
+        d = d.dropDuplicates(["__k1", "__k2"])
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -51,7 +51,7 @@ from .common import mix64, ship, stable, whole
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 24, 4, 0.8
 REGISTERS = BANDS * ROWS
-CHUNK = 512
+CHUNK, SLICE = 512, 96
 BROADCAST_ROWS = 1_000_000  # ids, 8 to 16 bytes each
 DOUBT = 0.58  # a pair whose signatures agree less is below 0.8 but for a chance under 1e-6
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -150,18 +150,17 @@ def _name(text: str) -> bytes:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds rep and sig (empty for a text without words) to rows of id, k1, k2, text; equal texts of a batch are signed once."""
-    for b in batches:
-        texts = b["text"].to_pylist()
-        names = [_name(t) for t in texts]
-        own = {n: k for k, n in enumerate(names)}
-        bags = {n: shingles(texts[k]) for n, k in own.items()}
-        full = [n for n, bag in bags.items() if len(bag[0])]
-        made: dict[bytes, bytes] = {}
-        for i in range(0, len(full), 64):  # bags that advance together; bounds memory
-            part = full[i : i + 64]
-            made.update(zip(part, (s.tobytes() for s in signatures([bags[n] for n in part])), strict=True))
-        yield pa.RecordBatch.from_arrays([b["id"], b["k1"], b["k2"], pa.array(names, pa.binary()), pa.array([made.get(n, b"") for n in names], pa.binary())], names=["id", "k1", "k2", "rep", "sig"])
+    """Adds rep and sig (empty for a text without words) to rows of id, k1, k2, text; equal texts of a slice are signed once."""
+    for whole_batch in batches:
+        for at in range(0, len(whole_batch), SLICE):  # bags that are held and advance together; bounds memory
+            b = whole_batch.slice(at, SLICE)
+            texts = b["text"].to_pylist()
+            names = [_name(t) for t in texts]
+            own = {n: k for k, n in enumerate(names)}
+            bags = {n: shingles(texts[k]) for n, k in own.items()}
+            full = [n for n, bag in bags.items() if len(bag[0])]
+            made = dict(zip(full, (s.tobytes() for s in signatures([bags[n] for n in full])), strict=True)) if full else {}
+            yield pa.RecordBatch.from_arrays([b["id"], b["k1"], b["k2"], pa.array(names, pa.binary()), pa.array([made.get(n, b"") for n in names], pa.binary())], names=["id", "k1", "k2", "rep", "sig"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,16 +181,18 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches):
     """pairs with both texts -> the pairs that are linked."""
-    for b in batches:
-        held: dict[str, tuple] = {}
-
-        def bag(t: str, held=held) -> tuple:
-            if t not in held:
-                held[t] = shingles(t)
-            return held[t]
-
-        keep = [overlap(bag(x), bag(y)) >= SIMILARITY for x, y in zip(b["text_a"].to_pylist(), b["text_b"].to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    for whole_batch in batches:
+        for at in range(0, len(whole_batch), 4 * SLICE):
+            b = whole_batch.slice(at, 4 * SLICE)
+            held: dict[str, tuple] = {}
+
+            def bag(t: str, held=held) -> tuple:
+                if t not in held:
+                    held[t] = shingles(t)
+                return held[t]
+
+            keep = [overlap(bag(x), bag(y)) >= SIMILARITY for x, y in zip(b["text_a"].to_pylist(), b["text_b"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:

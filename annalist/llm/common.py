@@ -64,17 +64,17 @@ def whole(col: Column) -> Column:
 def map_rows(df: DataFrame, fn: Callable[[list], list[tuple]], schema: str, names: list[str]) -> DataFrame:
     """df's first column is passed on; fn turns the list of the second column's texts into tuples of the rest.
 
-    names: the output columns after the first. One Arrow batch at a time, so memory is bounded by a batch.
+    names: the output columns after the first. One slice of an Arrow batch at a time, so memory is bounded.
     """
     key = df.columns[0]
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = fn(b.column(1).to_pylist())
-            cols = [b.column(0), *(pa.array([r[i] for r in rows]) if rows else pa.array([]) for i in range(len(names)))]
-            if rows:
-                yield pa.RecordBatch.from_arrays(cols, names=[key, *names])
+        for whole_batch in batches:
+            for at in range(0, len(whole_batch), 512):
+                b = whole_batch.slice(at, 512)
+                rows = fn(b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows]) for i in range(len(names)))], names=[key, *names])
 
     return df.mapInArrow(run, schema)
 

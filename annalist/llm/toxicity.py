@@ -50,11 +50,9 @@ def fit(pairs: list[tuple[str, int]], max_features: int = 6000, ridge: float = 0
     if not 0 < y.sum() < len(y):
         p = (y.sum() + 1) / (len(y) + 2)
         return weights, float(np.log(p / (1 - p)))
-    sets = [np.unique(hashes(t)).astype(np.int32) for t, _ in pairs]
-    pos = neg = np.zeros(1 << BITS)
     pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for s, label in zip(sets, y, strict=True):
-        (pos if label else neg)[s] += 1
+    for t, label in pairs:
+        (pos if label == 1 else neg)[np.unique(hashes(t))] += 1
     rp, rn = (pos + 0.5) / (y.sum() + 1), (neg + 0.5) / ((1 - y).sum() + 1)
     ratio = np.log(rp / rn)
     telling = ratio / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
@@ -63,8 +61,11 @@ def fit(pairs: list[tuple[str, int]], max_features: int = 6000, ridge: float = 0
     chosen = np.sort(chosen[telling[chosen] != 0])
     column = np.full(1 << BITS, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
-    kept = [(c := column[s])[c >= 0] for s in sets]
-    rows, cols = np.repeat(np.arange(len(sets)), [len(k) for k in kept]), np.concatenate(kept)
+    kept = []
+    for t, _ in pairs:  # hashed a second time, so that only the chosen places are ever held
+        c = column[hashes(t)]
+        kept.append(np.unique(c[c >= 0]))
+    rows, cols = np.repeat(np.arange(len(kept), dtype=np.int32), [len(k) for k in kept]), np.concatenate(kept)
     x = ratio[chosen][cols]
     w, b = np.zeros(len(chosen)), float(np.log(y.mean() / (1 - y.mean())))
     m_w, v_w, m_b, v_b = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0

@@ -10,7 +10,7 @@ conversation), seq (the event's place), kind, role and text. Kinds:
     delete      removes the message, unless a later event brings it back
 
 `fold` partitions the log by message and seq and keeps what follows the last event that replaces the
-text; `render` writes each conversation in the template, with the spans of its loss mask;
+text, and the last role that an event names; `render` writes each conversation in the template, with the spans of its loss mask;
 `read_back` parses a rendered conversation. Events of one message are gathered per message first, so
 a long conversation costs one row per message when it is put together; its rendered text is one
 value by nature.
@@ -55,12 +55,12 @@ def fold(log: DataFrame) -> DataFrame:
     place = F.struct(F.coalesce("seq", F.lit(-1)).alias("seq"), "kind", "role", "text")
     mine = W.partitionBy("conversation", "message")
     e = e.withColumn("place", place).withColumn("reset", F.max(F.when(F.col("kind").isin(*REPLACING), F.col("place"))).over(mine))
-    e = e.where(F.col("reset").isNull() | (F.col("place") >= F.col("reset")))
+    e = e.withColumn("counts", F.col("reset").isNull() | (F.col("place") >= F.col("reset")))
     g = e.groupBy("conversation", "message").agg(
         F.min("order").alias("order"),
         F.max_by("kind", "place").alias("last"),
         F.coalesce(F.max_by(F.when(F.col("role") != "", F.col("role")), F.when(F.col("role") != "", F.col("place"))), empty).alias("role"),
-        F.array_sort(F.collect_list(F.when(~F.col("kind").isin("regenerate", "delete"), F.struct("place.seq", "place.kind", "place.role", "text")))).alias("parts"),
+        F.array_sort(F.collect_list(F.when(F.col("counts") & ~F.col("kind").isin("regenerate", "delete"), F.struct("place.seq", "place.kind", "place.role", "text")))).alias("parts"),
     )
     return g.where(F.col("last") != "delete").select("conversation", "message", "order", "role", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,22 +11,18 @@ from pyspark.sql import functions as F
 from .common import whole
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column, max_rows: int) -> list[tuple[str, int]]:
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Callable[[Column], Column], max_rows: int) -> list[tuple[str, int]]:
     """At most max_rows (text, label) pairs, the same for the same rows: those with the smallest hash of the id.
 
-    usable: a condition on the id. Null labels and null ids are left out. The ids are chosen before
+    usable: from the id's column, a condition. Null labels and null ids are left out. The ids are chosen before
     any text is read, so what is broadcast and what comes to the driver is bounded by max_rows.
     """
     chosen = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where(F.col("__label").isNotNull() & F.col("__id").isNotNull())
-    chosen = chosen.withColumn("__h", F.xxhash64(F.col("__id"), F.lit(7))).where(usable_on(usable, "__id", id_col)).orderBy("__h", "__id", "__label").limit(max_rows)
+    chosen = chosen.withColumn("__h", F.xxhash64(F.col("__id"), F.lit(7))).where(usable(F.col("__id"))).orderBy("__h", "__id", "__label").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("__id"), whole(F.col(text_col)).alias("__text")).join(F.broadcast(chosen), "__id").select("__h", "__text", "__label").collect()
     return [(r["__text"], r["__label"]) for r in sorted(rows, key=lambda r: (r["__h"], r["__label"], r["__text"]))[: 2 * max_rows]]
 
 
-def usable_on(make, name: str, _id_col: str) -> Column:
-    return make(F.col(name)) if callable(make) else make
-
-
 def platt(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
     """Slope and offset of the logistic curve through scores x and labels y (Newton's method)."""
     a = np.zeros(2)

@@ -40,7 +40,7 @@ _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").match
 ACCOUNT_CUES = ("account", "acct", "iban", "konto", "compte", "cuenta")
 ADDRESS_CUES = ("street", "avenue", "road", "boulevard", "lane", "straße", "strasse", "rue", "calle", "avenida", "plaza")
 _account_number = re.compile(r"(?:\s*(?:no\.?|nr\.?|number|#|:|=))*\s*([0-9](?:[ -]?[0-9]){5,33})(?![0-9A-Za-z])", re.I).match
-_iban = re.compile(r"(?:\s*(?:no\.?|nr\.?|number|#|:|=))*\s*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![0-9A-Za-z])", re.I).match
+_iban = re.compile(r"(?:\s*(?:no\.?|nr\.?|number|#|:|=))*\s*([A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?))(?![0-9A-Za-z])").match
 _number_before = re.compile(r"(?:^|\s)([0-9]{1,5}[a-z]?,? (?:[A-Z][\w'.-]{0,30} ){0,4})$").search
 _number_after = re.compile(r"(?:[ ][A-Z][\w'.-]{0,30}){0,4},? [0-9]{1,5}[a-z]?(?![0-9A-Za-z])").match
 _userinfo = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=:-]{1,256}(?=@[A-Za-z0-9.-])").match
@@ -77,6 +77,17 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_span(text: str, at: int) -> tuple[int, int] | None:
+    """An IBAN after a cue; groups at its end that do not belong to it are given up one by one."""
+    if m := _iban(text, at):
+        found = m.group(1)
+        while len(found) >= 15:
+            if mod97(found):
+                return m.start(1), m.start(1) + len(found)
+            found = found.rpartition(" ")[0]
+    return None
+
+
 def _octet(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 4 and (not part or int(part) <= 255)
@@ -121,12 +132,12 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                     out["account"].append(m.span())
         elif kind == "account":
             if at + 1 >= account_end:
-                m = _iban(text, at + 1)
-                if not (m and mod97(m.group(1))):
-                    m = _account_number(text, at + 1)
-                if m:
-                    account_end = m.end(1)
-                    out["account"].append(m.span(1))
+                span = _iban_span(text, at + 1)
+                if not span and (m := _account_number(text, at + 1)):
+                    span = m.span(1)
+                if span:
+                    account_end = span[1]
+                    out["account"].append(span)
         else:
             start = at + 1 - size
             if start < address_end or (start and text[start - 1].isalpha() and kind != "address") or text[at + 1 : at + 2].isalpha():

@@ -89,3 +89,19 @@ def skip_reason(path: Column, n_bytes: Column, most: int = 10 << 20) -> Column:
     """Why a file is not analysed, or null."""
     low = F.lower(path)
     return F.when(low.rlike(r"(^|/)(node_modules|vendor|third_party)(/|$)"), "vendored").when(low.rlike(r"(^|/)generated(/|$)|\.generated\.|\.gen\."), "generated").when(language_of_path(path).isNull(), "unsupported-language").when(n_bytes > most, "oversized")
+
+
+# Characters that may close a sentence after its end mark.
+CLOSERS = r"[\"'’”)\]}」』】》]*"
+
+
+def sentences(text: Column) -> Column:
+    """Trimmed sentences: they end at line breaks, at . ? ! before white space, and at full-width marks."""
+    marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), f"([.?!]{CLOSERS})\\s", "$1\n"), f"([。？！]{CLOSERS})", "$1\n")
+    return F.filter(F.transform(F.split(marked, "[\r\n]+"), F.trim), lambda s: s != "")
+
+
+def compact(text: Column, most: int = 160) -> Column:
+    """One line, cut with an ellipsis."""
+    line = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(line) <= most, line).otherwise(F.concat(F.substring(line, 1, most - 1), F.lit("…")))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
-from annalist.operators import context, graph, history, search, topics
+from annalist.operators import chat, context, graph, history, search, topics
 from annalist.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,3 +309,23 @@ def topic_message_score(t):
 @query("SELECT count(*)::BIGINT AS rows, count(DISTINCT o_custkey)::BIGINT AS customers, coalesce(max(o_orderkey), 0)::BIGINT AS version FROM orders")
 def index_counts(t):
     return t("orders").agg(F.count("*").alias("rows"), F.countDistinct("o_custkey").alias("customers"), F.coalesce(F.max("o_orderkey"), F.lit(0)).cast("long").alias("version"))
+
+
+@query(r"""WITH m AS (SELECT conv_id, turn, unnest(regexp_split_to_array(regexp_replace(regexp_replace(text, '([.?!]["''’”)\]}」』】》]*)\s', E'\\1\n', 'g'), '([。？！]["''’”)\]}」』】》]*)', E'\\1\n', 'g'), '[\r\n]+')) AS s FROM conversations)
+    SELECT conv_id, turn, count(*)::BIGINT AS n, max(length(trim(s)))::BIGINT AS longest FROM m WHERE trim(s) <> '' GROUP BY 1, 2""")
+def sentence_counts(t):
+    s = t("conversations").select("conv_id", "turn", F.explode(T.sentences(F.col("text"))).alias("s"))
+    return s.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.max(F.length("s")).cast("long").alias("longest"))
+
+
+@query(_bm25_sql("conversations WHERE role <> 'none'", "conv_id, turn", "").replace("SELECT conv_id, turn, round(", "SELECT message, revision, conversation, score FROM (SELECT conv_id || ':' || turn AS message, (SELECT sha256(text) FROM conversations c WHERE c.conv_id = y.conv_id AND c.turn = y.turn) AS revision, conv_id AS conversation, (SELECT role FROM conversations c WHERE c.conv_id = y.conv_id AND c.turn = y.turn) AS role, round(") + " ORDER BY score DESC, revision LIMIT 600) WHERE role = 'assistant' ORDER BY score DESC, revision, message LIMIT 20")
+def chat_search_current(t):
+    c = t("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("message"), F.sha2("text", 256).alias("revision"), F.col("conv_id").alias("conversation"), "role", "text", F.lit("main").alias("source"), F.col("turn").alias("seq"), F.lit(None).cast("timestamp").alias("created"), F.lit(None).cast("timestamp").alias("observed"))
+    return chat.search_messages(c.select("revision", "text"), c.drop("text"), TERMS, 20, role="assistant")
+
+
+def context_bundle(t):
+    return chat.context_bundle(t("conversations").select("conv_id", "turn", "text"), TERMS)
+
+
+QUERIES["context_bundle"] = lambda spark, d: context_bundle(lambda name: table(spark, d, name))

@@ -24,7 +24,7 @@ def sorted_rows(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, duck, name):
     got, want = sorted_rows(QUERIES[name](spark, DATA).toPandas()), sorted_rows(duck.sql(SQL[name]).df())
     assert list(got.columns) == list(want.columns)

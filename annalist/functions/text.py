@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,3 +107,102 @@ def compact(text: Column, most: int = 160) -> Column:
     """One line, cut with an ellipsis."""
     line = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(F.length(line) <= most, line).otherwise(F.concat(F.substring(line, 1, most - 1), F.lit("…")))
+
+
+def _folds() -> tuple[str, str]:
+    """Latin letters with marks and what they are without: canonical decomposition of three blocks, as long as one character stays."""
+    pairs = []
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if len(bare) == 1 and bare != c:
+            pairs.append((c, bare))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def folded(text: Column) -> Column:
+    """Lower case without diacritics: Latin letters by table, loose marks are dropped."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), *_folds()), r"\p{M}", "")
+
+
+def count_of(tokens: Column, phrase: str) -> Column:
+    """How often a phrase (words joined by a space) stands in tokens as consecutive ones; occurrences may overlap."""
+    words = phrase.split(" ")
+    if len(words) == 1:
+        return F.size(F.filter(tokens, lambda w: w == words[0]))
+    line = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    return F.regexp_count(line, F.lit(f"(?= \\Q{phrase}\\E )"))
+
+
+def truncated(text: Column, tokens: int, suffix: str = "…") -> Column:
+    """The text if its estimate is at most tokens, else its longest prefix of whole characters that leaves room for suffix, and suffix."""
+    room = 4 * tokens - len(suffix.encode())
+    raw = text.cast("binary")
+
+    def inner(i: int) -> Column:  # is byte i (from 1) inside a character?
+        return F.conv(F.hex(F.substring(raw, i, 1)), 16, 10).cast("int").between(128, 191) if i > 0 else F.lit(False)
+
+    cut = F.when(~inner(room + 1), room).when(~inner(room), room - 1).when(~inner(room - 1), room - 2).otherwise(room - 3)
+    short = F.concat(F.substring(raw, F.lit(1), F.greatest(F.lit(0), cut)).cast("string"), F.lit(suffix))
+    return F.when(F.octet_length(text) <= 4 * tokens, text).otherwise(short)
+
+
+def windows(text: Column, size: int = 16 << 10, overlap: int = 1 << 10) -> Column:
+    """Byte windows as array<struct<ordinal,start,end>>: each starts size - overlap after the one before, the last ends with the text."""
+    n = F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
+    last = F.greatest(F.lit(0), F.ceil((n - size) / (size - overlap))).cast("long")
+    return F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct(i.alias("ordinal"), (i * (size - overlap)).alias("start"), F.least(n, i * (size - overlap) + size).alias("end")))
+
+
+# Patterns of packages and paths.
+PACKAGE = r"(?i)(^|[^\p{L}\p{N}_])(@[a-z0-9][a-z0-9._-]*/[a-z0-9][a-z0-9._-]*)"
+PATH = r"(^|[\s`'\"(])((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]{1,12})"
+
+
+def packages(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PACKAGE), F.lit(2))
+
+
+def paths(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PATH), F.lit(2))
+
+
+def repositories(text: Column, host: str = "github.com") -> Column:
+    """owner/name of the repositories that the URLs of a text point to."""
+    at = F.transform(urls(text), lambda u: F.regexp_extract(u, rf"(?i)^https?://\Q{host}\E/+([^/?#]+/+[^/?#]+)", 1))
+    return F.transform(F.filter(at, lambda r: r != ""), lambda r: F.regexp_replace(F.regexp_replace(r, "/+", "/"), r"\.git$", ""))
+
+
+def entities(text: Column) -> Column:
+    """All references of a text as array<struct<kind,label,key>>: urls, repositories, packages, paths."""
+    low = {"repository", "package"}
+
+    def of(kind: str, found: Column) -> Column:
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("label"), F.concat(F.lit(f"{kind}:"), F.lower(x) if kind in low else x).alias("key")))
+
+    return F.array_distinct(F.concat(of("url", urls(text)), of("repository", repositories(text)), of("package", packages(text)), of("path", paths(text))))
+
+
+def clean_url(url: Column, hosts: list[str]) -> Column:
+    """Origin and path of an https URL on one of the hosts; null otherwise."""
+    host = F.lower(F.regexp_extract(url, r"^https://([^/?#:@]+)(?=[/?#]|$)", 1))
+    return F.when(host.isin(hosts), F.regexp_replace(url, r"[?#].*$", ""))
+
+
+def spans(text: Column) -> Column:
+    """Sentences with their UTF-8 byte ranges as array<struct<text,start,end>>; the same cuts as sentences().
+
+    Cuts have no width, so running sums of piece lengths are offsets. At most nine closers follow an end mark.
+    """
+    mark = CLOSERS.removesuffix("*")
+    cuts = rf"(?<=[.?!]{mark}{{0,9}})(?=\s)|(?<=[。？！]{mark}{{0,9}})(?!{mark})|(?<=[\r\n])|(?=[\r\n])"
+    pieces = F.split(F.coalesce(text, F.lit("")), cuts)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<text:string,start:bigint,end:bigint>>").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        body = F.regexp_replace(piece, r"^\s+|\s+$", "")
+        lead = F.octet_length(piece) - F.octet_length(F.regexp_replace(piece, r"^\s+", ""))
+        a = acc["at"] + lead
+        s = F.struct(body.alias("text"), a.alias("start"), (a + F.octet_length(body)).alias("end"))
+        return F.struct((acc["at"] + F.octet_length(piece)).alias("at"), F.when(body == "", acc["out"]).otherwise(F.array_append(acc["out"], s)).alias("out"))
+
+    return F.aggregate(pieces, start, step)["out"]

@@ -43,3 +43,41 @@ def gaps(facts: DataFrame, found: DataFrame, on: Sequence[str]) -> DataFrame:
 def presence(facts: DataFrame, found: DataFrame, on: str, flag: str) -> DataFrame:
     seen = found.select(on).distinct().withColumn(flag, F.lit(1).cast("long"))
     return facts.join(seen, on, "left").withColumn(flag, F.coalesce(flag, F.lit(0).cast("long")))
+
+
+def keep_first(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
+    """Insert or ignore: the row that came first."""
+    return latest(rows, keys, [F.asc(seq)])
+
+
+def merge_columns(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], update: Sequence[str]) -> DataFrame:
+    """Upsert of chosen columns: known keys take update columns that are not null, all else stays; new keys come as they are."""
+    new = incoming.select(*keys, *(F.col(c).alias(f"__{c}") for c in incoming.columns if c not in keys), F.lit(True).alias("__new"))
+    both = stored.withColumn("__old", F.lit(True)).join(new, list(keys), "full")
+    known = F.col("__old").isNotNull()
+    return both.select(*keys, *(F.when(known, F.coalesce(f"__{c}", c) if c in update else F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in stored.columns if c not in keys))
+
+
+def synchronise(a: DataFrame, b: DataFrame, key: str, time: str, tie: str, deleted: str, most: int) -> DataFrame:
+    """Records of two sides: the last writer wins, the newest most records stay; marks of deletion take part, so a deletion survives. visible tells the rest."""
+    return merge_latest(a, b, key, time, tie).orderBy(F.desc(time), key).limit(most).withColumn("visible", F.col(deleted).isNull())
+
+
+def exact_lineage(previous: DataFrame, current: DataFrame, keys: Sequence[str], digest: str) -> DataFrame:
+    """keys, kind: introduced, deleted, modified or unchanged, by identity alone."""
+    p, c = previous.select(*keys, F.col(digest).alias("__p"), F.lit(1).alias("__a")), current.select(*keys, F.col(digest).alias("__c"), F.lit(1).alias("__b"))
+    kind = F.when(F.col("__a").isNull(), "introduced").when(F.col("__b").isNull(), "deleted").when(F.col("__p").eqNullSafe(F.col("__c")), "unchanged").otherwise("modified")
+    return p.join(c, list(keys), "full").select(*keys, kind.alias("kind"))
+
+
+def deletions(located: DataFrame, deleted: DataFrame, entity: Sequence[str], path: str, seq: str, revision: str) -> DataFrame:
+    """entity, path, revision: for each deleted path, the revision of each entity that was located there last."""
+    last = located.groupBy(*entity, path).agg(F.max_by(revision, seq).alias(revision))
+    return last.join(deleted.select(path).distinct(), path, "left_semi").select(*entity, path, revision)
+
+
+def violations(records: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """rule, n: how many rows break each rule (a rule that gives null is broken)."""
+    counted = records.agg(*(F.sum((~F.coalesce(r, F.lit(False))).cast("long")).alias(k) for k, r in rules.items()))
+    pairs = F.array(*(F.struct(F.lit(k).alias("rule"), F.coalesce(k, F.lit(0)).cast("long").alias("n")) for k in rules))
+    return counted.select(F.explode(pairs).alias("v")).select("v.rule", "v.n")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalist.operators.search import jaccard
+from annalist.operators.stable import cut
 
 # The weights of the similarities, the least confidence, and the distance below which two candidates are ambiguous.
 WEIGHTS = {"name": 0.22, "kind": 0.15, "structure": 0.28, "token": 0.12, "signature": 0.14, "references": 0.04, "diff": 0.05}
@@ -82,12 +83,12 @@ def match(pairs: DataFrame, group: Sequence[str], multi: float = THRESHOLD) -> D
     left = r.withColumn("__f", used("from")).withColumn("__t", used("to")).where("not __f and not __t")
     left = left.drop("__f", "__t").withColumn("kind", F.when(F.col("same_name"), "modified").otherwise("moved"))
     cols = [*group, "from", "to", "confidence", "kind"]
-    out, left = done.select(*cols), left.select(*cols).checkpoint()
+    out, left = done.select(*cols), cut(left.select(*cols))
     while not left.isEmpty():
         order = [F.desc("confidence"), "from", "to"]
         best = lambda end: F.row_number().over(W.partitionBy(*group, end).orderBy(*order)) == 1
         marked = left.withColumn("__take", best("from") & best("to"))
         out = out.unionByName(marked.where("__take").select(*cols))
         hit = lambda end: F.max("__take").over(W.partitionBy(*group, end))
-        left = marked.withColumn("__a", hit("from")).withColumn("__b", hit("to")).where("not __a and not __b").select(*cols).checkpoint()
+        left = cut(marked.withColumn("__a", hit("from")).withColumn("__b", hit("to")).where("not __a and not __b").select(*cols))
     return out

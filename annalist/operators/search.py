@@ -8,21 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalist.functions.text import terms
+from annalist.functions.text import count_of, terms
 
 K1, B, FLOOR, RRF_K = 1.2, 0.75, 1e-6, 60
 
 
-def _is(term: str):
-    return lambda w: w == term
-
-
 def bm25(docs: DataFrame, keys: Sequence[str], text: Column, query: Sequence[str], limit: int | None = 20) -> DataFrame:
-    """keys, score: the best documents for the query's terms (ties by keys).
+    """keys, score: the best documents for the query's terms or phrases (words joined by a space); ties by keys.
 
     Nothing is exploded: frequencies are counted in each row, and one row of corpus statistics is joined back.
     """
-    hits = [F.size(F.filter("__t", _is(q))).cast("double").alias(f"__f{i}") for i, q in enumerate(query)]
+    hits = [count_of(F.col("__t"), q).cast("double").alias(f"__f{i}") for i, q in enumerate(query)]
     d = docs.select(*keys, terms(text).alias("__t")).select(*keys, F.size("__t").cast("double").alias("__len"), *hits)
     stats = d.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *(F.sum((F.col(f"__f{i}") > 0).cast("long")).alias(f"__d{i}") for i in range(len(query))))
     d = d.where(" or ".join(f"__f{i} > 0" for i in range(len(query)))).crossJoin(F.broadcast(stats))
@@ -71,3 +67,51 @@ def jaccard(a: Column, b: Column) -> Column:
     """1 if both are empty."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def normalized(v: Column) -> Column:
+    """v over its Euclidean norm; null where that is zero or not finite."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when((norm > 0) & (norm < float("inf")), F.transform(v, lambda x: x.cast("double") / norm))
+
+
+def classify(vectors: DataFrame, key: str, vector: str, prototypes: DataFrame, label: str, threshold: float = 0.42, most: int = 4, bound: int = 10_000) -> DataFrame:
+    """key, label, similarity: for each row its nearest prototypes (label, centroid) at or above threshold, most of them at best.
+
+    The prototypes become one broadcast row after their number has been checked against bound; then every row is
+    compared, cut and sorted in place, without a shuffle.
+    """
+    n = prototypes.count()
+    if n > bound:
+        raise ValueError(f"{n} prototypes exceed {bound}")
+    one = prototypes.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), "centroid"))).alias("__p"))
+    near = F.filter(F.transform("__p", lambda p: F.struct((-F.round(cosine(F.col(vector), p["centroid"]), 6)).alias("s"), p["label"].alias("label"))), lambda x: x["s"] <= -threshold)
+    best = vectors.crossJoin(F.broadcast(one)).select(key, F.explode(F.slice(F.array_sort(near), 1, most)).alias("x"))
+    return best.select(key, F.col("x.label").alias(label), (-F.col("x.s")).alias("similarity"))
+
+
+def structural_overlap(a, b) -> Column:
+    """a and b name columns of two symbols: features 0.65, node_count 0.15, depth 0.10, arity 0.10."""
+    part = lambda c: F.when(a(c).isNull() | b(c).isNull(), 0.0).otherwise(1 - F.abs(a(c) - b(c)) / F.greatest(F.lit(1.0), a(c).cast("double"), b(c).cast("double")))
+    return overlap(a("features"), b("features")) * 0.65 + part("node_count") * 0.15 + part("depth") * 0.1 + part("arity") * 0.1
+
+
+def similar_symbols(symbols: DataFrame, target: DataFrame, query: Sequence[str], limit: int = 20) -> DataFrame:
+    """symbol, score: symbols like the one in target (a single row), taken from the best lexical hits for its words.
+
+    symbols and target: symbol, name, kind, text, features, node_count, depth, arity. query: the words of the target's name.
+    """
+    hits = bm25(symbols, ["symbol"], F.col("text"), query, max(5 * limit, 50))
+    hits = ranked(hits, [F.desc("score"), F.col("symbol")], max(5 * limit, 50)).drop("score")
+    one = target.limit(1).select(*(F.col(c).alias(f"t_{c}") for c in ("symbol", "name", "kind", "features", "node_count", "depth", "arity")))
+    d = hits.join(symbols, "symbol").crossJoin(F.broadcast(one)).where("symbol <> t_symbol")
+    words = lambda c: F.array_distinct(terms(F.col(c)))
+    space = lambda c: F.regexp_extract(c, "^([^/]*)/", 1)
+    same = lambda x, y: F.when(x == y, 1.0).otherwise(0.0)
+    score = 0.3 / F.col("rank") + 0.25 * overlap(words("name"), words("t_name")) + 0.15 * same(F.col("kind"), F.col("t_kind")) + 0.05 * same(space("name"), space("t_name")) + 0.25 * structural_overlap(F.col, lambda c: F.col(f"t_{c}"))
+    return d.select("symbol", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "symbol").limit(limit)
+
+
+def hybrid(lexical: DataFrame, dense: DataFrame | None, key: str, limit: int = 50) -> DataFrame:
+    """Rank fusion of both lists (key, rank); of the lexical one alone where there are no vectors."""
+    return rank_fusion([lexical] if dense is None else [lexical, dense], key).orderBy(F.desc("score"), key).limit(limit)

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalist.functions.text import keywords
+from annalist.functions.text import STOP_WORDS, keywords
 
 PER_CONTEXT = 24
 
+# Words that end a phrase, besides the stop words.
+BOUNDARY_WORDS = [*STOP_WORDS, *(
+    "got actually another better change changes current different example first going good great idea ideas look make making new one part "
+    "really same something stuff thing things think version way work working add adds added build builds built become becomes create creates "
+    "created keep keeps link links linked manage manages managed makes made provide provides provided store stores stored uses used"
+).split()]
+# Weights of references by kind, factors of facets.
+REFERENCE_WEIGHTS = {"project": 1.7, "repository": 1.6, "package": 1.35, "path": 1.3, "entity": 1.2, "url": 1.1}
+FACETS = {"decision": 1.35, "constraint": 1.30, "rejection": 1.25, "acceptance": 1.20, "proposal": 1.16, "request": 1.14, "correction": 1.12, "status": 1.10, "rationale": 1.08, "question": 1.05}
+PHRASES = 8
+
 
 def mentions(docs: DataFrame, context: str, text: str, least: int = 5) -> DataFrame:
     """context, topic, weight: a keyword of at least so many characters weighs 0.68 for each message that has it, one row per context and topic."""
@@ -25,3 +36,71 @@ def associations(m: DataFrame, context: str, least: int = 1) -> DataFrame:
     p = l.join(r, context).where("a < b").groupBy("a", "b").agg(F.sum(4 * F.sqrt(F.col("wa") * F.col("wb"))).alias("w"), F.count("*").alias("support")).where(F.col("support") >= least)
     p = p.join(df.select(F.col("topic").alias("a"), F.col("df").alias("da")), "a").join(df.select(F.col("topic").alias("b"), F.col("df").alias("db")), "b")
     return p.select("a", "b", "support", F.round(1 - F.exp(-(F.col("w") / F.sqrt(F.col("da") * F.col("db"))) / 3), 6).alias("score"))
+
+
+def phrases(text: Column) -> Column:
+    """Topic candidates of a text as array<struct<kind,label,weight>>, in order, PHRASES at most.
+
+    Words are cut into segments at boundary words and at words below three characters. A single word of five or more
+    is a keyword, two to four words are a phrase, and a longer segment gives its windows of four words.
+    """
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}@/._-]+", " ")), " "), lambda w: w != "")
+    ends = lambda w: (F.length(w) < 3) | F.array_contains(F.lit(list(BOUNDARY_WORDS)), w)
+    line = F.array_join(F.transform(words, lambda w: F.when(ends(w), "|").otherwise(w)), " ")
+    segments = F.filter(F.transform(F.split(line, r"\|"), lambda s: F.split(F.trim(s), " ")), lambda s: s[0] != "")
+
+    def found(kind: str, label: Column, weight: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), label.alias("label"), F.round(weight, 6).alias("weight"))
+
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        none = F.array().cast("array<struct<kind:string,label:string,weight:double>>")
+        four = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 3)), lambda i: found("phrase", F.array_join(F.slice(s, i, 4), " "), F.lit(1.28)))
+        some = F.array(found("phrase", F.array_join(s, " "), 1.04 + (n - 2) * 0.12))
+        return F.when((n == 1) & (F.length(s[0]) >= 5), F.array(found("keyword", s[0], F.lit(0.68)))).when(n == 1, none).when(n <= 4, some).otherwise(four)
+
+    return F.slice(F.array_distinct(F.flatten(F.transform(segments, of))), 1, PHRASES)
+
+
+def facet_factor(kinds: Column) -> Column:
+    """The greatest factor of the speech acts (array<string>), 1 at least."""
+    return F.greatest(F.lit(1.0), F.lit(1.0), *(F.when(F.array_contains(kinds, k), f).otherwise(1.0) for k, f in FACETS.items()))
+
+
+def reference_weight(kind: Column) -> Column:
+    out = None
+    for k, w in REFERENCE_WEIGHTS.items():
+        out = F.when(kind == k, w) if out is None else out.when(kind == k, w)
+    return out.otherwise(REFERENCE_WEIGHTS["entity"])
+
+
+def find(stats: DataFrame, words: Column, exact: str, limit: int = 8) -> DataFrame:
+    """topic, strength: topics for a query, exact label first, then by shared words and frequency. stats: topic, df."""
+    d = stats.withColumn("__exact", F.col("topic") == exact).withColumn("__shared", words).where("__exact or __shared > 0")
+    order = [F.desc("__exact"), F.desc("__shared"), F.desc("df"), F.col("topic")]
+    d = d.orderBy(*order).limit(limit).withColumn("__r", F.row_number().over(W.orderBy(*order)))
+    return d.select("topic", F.round(F.when(F.col("__exact"), 1.2).otherwise(1.0) / F.log2(F.col("__r") + 1.0), 6).alias("strength"))
+
+
+def related(seeds: DataFrame, assoc: DataFrame, limit: int = 12, least: int = 1) -> DataFrame:
+    """topic, seed, score: one step from the seeds (topic, strength) along associations; each topic keeps its best seed. Seeds do not come back."""
+    both = assoc.select("a", "b", "support", "score").unionByName(assoc.select(F.col("b").alias("a"), F.col("a").alias("b"), "support", "score"))
+    s = seeds.select(F.col("topic").alias("a"), "strength")
+    d = both.where(F.col("support") >= least).join(s, "a").join(s.select(F.col("a").alias("b")), "b", "left_anti")
+    scored = d.select(F.col("b").alias("topic"), F.struct(F.round(F.col("strength") * F.col("score"), 6).alias("score"), F.col("a").alias("seed")).alias("x"))
+    best = scored.groupBy("topic").agg(F.max("x").alias("x")).select("topic", "x.seed", "x.score")
+    return best.orderBy(F.desc("score"), "topic").limit(limit)
+
+
+def plan(seeds: DataFrame, near: DataFrame, m: DataFrame, context: str, limit: int = 250) -> DataFrame:
+    """context, score, topics: contexts by their mentions of the seeds (by strength) and of related topics (0.65 of the score)."""
+    w = seeds.select("topic", F.col("strength").alias("w")).unionByName(near.select("topic", (0.65 * F.col("score")).alias("w"))).groupBy("topic").agg(F.max("w").alias("w"))
+    hit = m.join(w, "topic").groupBy(context).agg(F.sum(F.col("weight") * F.col("w")).alias("x"), F.count("*").alias("topics"))
+    return hit.select(context, F.round(1 - F.exp(-F.col("x") / 3), 6).alias("score"), "topics").orderBy(F.desc("score"), context).limit(limit)
+
+
+def fuse(lexical: DataFrame, topical: DataFrame, key: str, limit: int = 20) -> DataFrame:
+    """key, score: lexical ranks (key, rank) with topic ranks (key, rank, score); the topic score itself adds a hundredth."""
+    l = lexical.select(key, (1.0 / (60 + F.col("rank"))).alias("__s"))
+    t = topical.select(key, (0.85 / (60 + F.col("rank")) + 0.01 * F.col("score")).alias("__s"))
+    return l.unionByName(t).groupBy(key).agg(F.round(F.sum("__s"), 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)

@@ -1 +1,6 @@
+"""The registered queries."""
 
+from annalist.plans import knowledge, queries
+from annalist.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "knowledge", "queries"]

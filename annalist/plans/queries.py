@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
 from annalist.operators import chat, context, graph, history, search, topics
-from annalist.sources.tables import table
+from annalist.plans.registry import query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 TERMS = ("that", "with", "heat")
 
 
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, d: f(lambda name: table(spark, d, name))
-        SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _bm25_sql(source: str, keys: str, limit: str) -> str:
     f = [f"len(list_filter(t, lambda x: x = '{q}'))::DOUBLE AS f{i}" for i, q in enumerate(TERMS)]
     idf = lambda i: f"ln((n - d{i} + 0.5) / (d{i} + 0.5))"
@@ -324,8 +310,6 @@ def chat_search_current(t):
     return chat.search_messages(c.select("revision", "text"), c.drop("text"), TERMS, 20, role="assistant")
 
 
+@query(None)
 def context_bundle(t):
     return chat.context_bundle(t("conversations").select("conv_id", "turn", "text"), TERMS)
-
-
-QUERIES["context_bundle"] = lambda spark, d: context_bundle(lambda name: table(spark, d, name))

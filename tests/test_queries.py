@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from annalist.plans.queries import QUERIES, SQL
+from annalist.plans import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.01"
 

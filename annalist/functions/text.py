@@ -56,21 +56,26 @@ def keywords(text: Column, most: int = 24) -> Column:
     return F.slice(words, 1, most)
 
 
+def _holds(text: Column, pattern: str) -> Column:
+    """rlike with word boundaries between ASCII words, as the patterns mean them; Java's own depend on its version."""
+    return text.rlike(pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"))
+
+
 def modality(text: Column) -> Column:
     low, out = F.lower(text), None
     for name, pattern in MODALITY:
-        out = F.when(low.rlike(pattern), name) if out is None else out.when(low.rlike(pattern), name)
+        out = F.when(_holds(low, pattern), name) if out is None else out.when(_holds(low, pattern), name)
     return out.otherwise("asserted")
 
 
 def polarity(text: Column) -> Column:
-    return F.when(F.lower(text).rlike(NEGATION), "negative").otherwise("positive")
+    return F.when(_holds(F.lower(text), NEGATION), "negative").otherwise("positive")
 
 
 def speech_acts(text: Column) -> Column:
     """All acts of a text as array<struct<kind,confidence>>."""
     low = F.trim(F.lower(text))
-    return F.array_compact(F.array(*(F.when(low.rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(c).alias("confidence"))) for k, (c, p) in SPEECH_ACTS.items())))
+    return F.array_compact(F.array(*(F.when(_holds(low, p), F.struct(F.lit(k).alias("kind"), F.lit(c).alias("confidence"))) for k, (c, p) in SPEECH_ACTS.items())))
 
 
 def urls(text: Column) -> Column:

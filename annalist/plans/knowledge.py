@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
-from annalist.operators import graph, history, search, topics
+from annalist.operators import graph, history, search, text_graph, topics
 from annalist.plans.queries import _ASSOC, TERMS, _bm25_sql
 from annalist.plans.registry import query
 
@@ -235,3 +235,17 @@ def path_deletions(t):
 @query("""SELECT 'dated' AS rule, sum((o_orderdate IS NULL)::INT)::BIGINT AS n FROM orders UNION ALL SELECT 'priced', sum((NOT coalesce(o_totalprice > 1000, false))::INT)::BIGINT FROM orders UNION ALL SELECT 'known_status', sum((NOT coalesce(o_orderstatus IN ('F', 'O'), false))::INT)::BIGINT FROM orders""")
 def constraint_violations(t):
     return history.violations(t("orders"), {"dated": F.col("o_orderdate").isNotNull(), "priced": F.col("o_totalprice") > 1000, "known_status": F.col("o_orderstatus").isin("F", "O")})
+
+
+_SPLIT = r"""SELECT conv_id, turn, trim(s, E' \t') AS s FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(regexp_replace(regexp_replace(text, '([.?!]["''’”)\]}」』】》]*)\s', E'\\1\n', 'g'), '([。？！]["''’”)\]}」』】》]*)', E'\\1\n', 'g'), '[\r\n]+')) AS s FROM conversations) WHERE trim(s, E' \t') <> ''"""
+_ACTS = " UNION ALL ".join(f"SELECT '{text_graph.ACT_LAYER[k]}' AS layer, '{k}' AS kind FROM s WHERE regexp_matches(s, '[\\p{{L}}\\p{{N}}]') AND regexp_matches(lower(s), '" + p.replace("'", "''") + "')" for k, (_, p) in T.SPEECH_ACTS.items())
+
+
+@query(rf"""WITH s AS ({_SPLIT}), n AS (SELECT 'source' AS layer, 'message' AS kind FROM conversations UNION ALL SELECT 'source', 'sentence' FROM s
+    UNION ALL SELECT 'semantic', 'proposition' FROM s WHERE regexp_matches(s, '[\p{{L}}\p{{N}}]') UNION ALL {_ACTS}
+    UNION ALL SELECT 'reference', 'url' FROM (SELECT DISTINCT conv_id, turn, regexp_replace(unnest(regexp_extract_all(s, 'https?://[^\s<>{{}}\[\]"'']+')), '[.,;:!?)]+$', '') AS u FROM s)
+    UNION ALL SELECT 'reference', 'path' FROM (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(s, '(^|[\s`''"(])((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]{{1,12}})', 2)) AS u FROM s))
+    SELECT layer, kind, count(*)::BIGINT AS n FROM n GROUP BY 1, 2""")
+def text_graph_nodes(t):
+    c = t("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    return text_graph.nodes(c, "id", "text").groupBy("layer", "kind").agg(F.count("*").alias("n"))

@@ -1,12 +1,13 @@
 """Walks, spans, exports and merges on hand-made rows."""
 
 import json
+import subprocess
 
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
-from annalist.operators import graph, history, search, topics
-from annalist.sources import tables
+from annalist.operators import graph, history, search, text_graph, topics
+from annalist.sources import git, tables
 
 TEXTS = ["One. Two (three.) Four?\n\nFünf ünd sechs!  Sieben", "", None, "。说！」好", " a.b c. ", "x" * 5000 + ". y", "...\r\n?", "nul\x00. z"]
 
@@ -83,3 +84,42 @@ def test_upsert_keeps_what_is_not_updated(spark):
     a = spark.createDataFrame([(1, "old", 5), (2, "old", 6)], "k int, s string, n int")
     b = spark.createDataFrame([(1, "new", 50), (2, None, 60), (3, "new", 70)], "k int, s string, n int")
     assert {tuple(r) for r in history.merge_columns(a, b, ["k"], ["s"]).collect()} == {(1, "new", 5), (2, "old", 6), (3, "new", 70)}
+
+
+def test_text_graph(spark):
+    text = "Please use @acme/lib now! See src/a/b.py. We must not use @acme/lib here. ..."
+    d = spark.createDataFrame([("m", text), ("empty", ""), ("none", None)], "id string, text string")
+    n, e = text_graph.nodes(d, "id", "text").collect(), text_graph.edges(d, "id", "text").collect()
+    raw, ids = text.encode(), {r["node"] for r in n}
+    assert len(ids) == len(n) and all(r["src"] in ids and r["dst"] in ids for r in e)
+    of = lambda kind: [r for r in n if r["kind"] == kind]
+    assert len(of("message")) == 3 and len(of("package")) == 1 and [r["label"] for r in of("path")] == ["src/a/b.py"]
+    assert [raw[r["start"] : r["end"]].decode() for r in sorted(of("sentence"), key=lambda r: r["start"])] == ["Please use @acme/lib now!", "See src/a/b.py.", "We must not use @acme/lib here.", "..."]
+    assert len(of("proposition")) == 3 and len(of("request")) == 1 and {r["layer"] for r in of("constraint")} == {"work"}
+    assert sum(r["kind"] == "reference:mentions" for r in e) == 3
+    wn, we = text_graph.project(text_graph.nodes(d, "id", "text"), text_graph.edges(d, "id", "text"), "work")
+    assert {r["kind"] for r in wn.collect()} == {"request", "constraint", "proposition", "package"}
+    assert {r["kind"] for r in we.collect()} == {"work:qualifies", "semantic:about"}
+
+
+def test_git_history(spark, tmp_path):
+    def run(*a):
+        return subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=A", "-c", "user.email=a@b.c", *a], check=True, capture_output=True, text=True).stdout.strip()
+
+    run("init", "-q", "-b", "main")
+    (tmp_path / "ä b.txt").write_text("one\ntwo\nthree\n" * 9)
+    run("add", "-A"), run("commit", "-qm", "first\n\nbody é")
+    run("mv", "ä b.txt", "c.txt"), run("commit", "-qm", "move")
+    run("checkout", "-qb", "side", "HEAD~1"), (tmp_path / "d.txt").write_text("x"), run("add", "-A"), run("commit", "-qm", "side")
+    run("checkout", "-q", "main"), run("commit", "-q", "--allow-empty", "-m", "nothing"), run("merge", "-q", "--no-ff", "-m", "merge", "side")
+    c = git.commits(spark.createDataFrame([(str(tmp_path),)], "repository string"))
+    rows = {r["message"]: r for r in c.collect()}
+    assert set(rows) == {"first\n\nbody é", "move", "side", "nothing", "merge"} and len(rows["merge"]["parents"]) == 2
+    assert all(rows[m]["seq"] > min(r["seq"] for r in rows.values()) for m in ("move", "side", "merge")) and rows["merge"]["seq"] == 4
+    ch = {(r["oid"], r["parent"], r["status"], r["path"], r["new_path"]) for r in git.changes(c).collect()}
+    o = {m: r["oid"] for m, r in rows.items()}
+    first = o["first\n\nbody é"]
+    assert ch == {(first, None, "A", "ä b.txt", None), (o["move"], first, "R", "ä b.txt", "c.txt"), (o["side"], first, "A", "d.txt", None), (o["merge"], o["nothing"], "A", "d.txt", None), (o["merge"], o["side"], "R", "ä b.txt", "c.txt")}
+    blob = run("rev-parse", "side:d.txt")
+    want = spark.createDataFrame([(str(tmp_path), blob), (str(tmp_path), blob), (str(tmp_path), "0" * 40)], "repository string, oid string")
+    assert {(r["oid"], r["type"], r["size"], r["bytes"] and bytes(r["bytes"])) for r in git.objects(want).collect()} == {(blob, "blob", 1, b"x"), ("0" * 40, "missing", None, None)}

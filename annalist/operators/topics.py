@@ -64,7 +64,13 @@ def phrases(text: Column) -> Column:
 
 def facet_factor(kinds: Column) -> Column:
     """The greatest factor of the speech acts (array<string>), 1 at least."""
-    return F.greatest(F.lit(1.0), F.lit(1.0), *(F.when(F.array_contains(kinds, k), f).otherwise(1.0) for k, f in FACETS.items()))
+    def factor(k: Column) -> Column:
+        out = F.lit(1.0)
+        for name, f in FACETS.items():
+            out = F.when(k == name, f).otherwise(out)
+        return out
+
+    return F.aggregate(kinds, F.lit(1.0), lambda m, k: F.greatest(m, factor(k)))
 
 
 def reference_weight(kind: Column) -> Column:

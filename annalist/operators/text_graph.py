@@ -1,8 +1,9 @@
 """Text graphs of messages: sentences, references, propositions and speech acts as nodes with byte anchors, and their edges.
 
-Everything is made from column expressions in one pass over the messages: each sentence gives an array of nodes and
-one of edges, which are exploded. Ids are digests of what a node is, so the graph is the same wherever it is computed,
-and a reference that several sentences of a message share is one node.
+Everything is made from column expressions: each sentence gives an array of nodes and one of edges, which are exploded
+(outer, as plain explode would have them computed once more in a filter on their size). Ids are digests of what a node
+is, so the graph is the same wherever it is computed, and a reference that several sentences of a message share is one
+node.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def _id(*parts: Column) -> Column:
 
 
 def _sentences(messages: DataFrame, key: str, text: str) -> DataFrame:
-    d = messages.select(F.col(key).alias("message"), F.explode(T.spans(F.col(text))).alias("s"))
+    d = messages.select(F.col(key).alias("message"), F.explode_outer(T.spans(F.col(text))).alias("s")).where("s is not null")
     sid = _id(F.lit("sentence"), F.col("message"), F.col("s.start"), F.col("s.end"))
     return d.select("message", "s", sid.alias("sid"), T.entities(F.col("s.text")).alias("refs"), T.speech_acts(F.col("s.text")).alias("acts"), F.col("s.text").rlike(r"[\p{L}\p{N}]").alias("says"))
 
@@ -43,12 +44,14 @@ def nodes(messages: DataFrame, key: str, text: str) -> DataFrame:
     said = F.when(F.col("says"), F.concat(F.array(node(_id(l("proposition"), F.col("sid")), l("semantic"), l("proposition"), label)), F.transform("acts", lambda a: node(_id(l("act"), a["kind"], F.col("sid")), _layer(a["kind"]), a["kind"], a["kind"]))))
     refs = F.transform("refs", lambda r: node(_id(l("entity"), m, r["key"]), l("reference"), r["kind"], r["label"]))
     own = F.array(node(F.col("sid"), l("source"), l("sentence"), label))
-    made = _sentences(messages, key, text).select("message", F.explode(F.concat(own, refs, F.coalesce(said, F.slice(own, 1, 0)))).alias("n")).select("message", "n.*")
+    cut = _sentences(messages, key, text)  # acts are computed for the first branch only, references for the second
+    made = cut.select("message", F.explode_outer(F.concat(own, F.coalesce(said, F.slice(own, 1, 0)))).alias("n")).select("message", "n.*")
+    referred = cut.select("message", F.explode_outer(refs).alias("n")).where("n is not null").select("message", "n.*")
     size = F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
     top = messages.select(F.col(key).alias("message"), size.alias("end")).select("message", _id(l("message"), m).alias("node"), l("source").alias("layer"), l("message").alias("kind"), l("message").alias("label"), l(0).cast("long").alias("start"), "end")
     first = F.min(F.struct("start", "end", "label", "layer", "kind")).alias("x")
-    shared = made.where("layer = 'reference'").groupBy("message", "node").agg(first).select("message", "node", "x.layer", "x.kind", "x.label", "x.start", "x.end")
-    return top.unionByName(made.where("layer <> 'reference'")).unionByName(shared)
+    shared = referred.groupBy("message", "node").agg(first).select("message", "node", "x.layer", "x.kind", "x.label", "x.start", "x.end")
+    return top.unionByName(made).unionByName(shared)
 
 
 def edges(messages: DataFrame, key: str, text: str) -> DataFrame:
@@ -66,7 +69,7 @@ def edges(messages: DataFrame, key: str, text: str) -> DataFrame:
     about = F.transform("refs", lambda r: edge(prop, entity(r), l("semantic:about"), l("semantic"), l(1)))
     acts = F.transform("acts", lambda a: edge(_id(l("act"), a["kind"], sid), prop, F.concat(_layer(a["kind"]), l(":qualifies")), _layer(a["kind"]), a["confidence"]))
     said = F.when(F.col("says"), F.concat(grounded, about, acts)).otherwise(F.slice(one, 1, 0))
-    return _sentences(messages, key, text).select("message", F.explode(F.concat(one, mentions, said)).alias("e")).select("message", "e.*").distinct()
+    return _sentences(messages, key, text).select("message", F.explode_outer(F.concat(one, mentions, said)).alias("e")).select("message", "e.*").distinct()
 
 
 def project(n: DataFrame, e: DataFrame, projection: str) -> tuple[DataFrame, DataFrame]:

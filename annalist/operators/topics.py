@@ -24,7 +24,7 @@ PHRASES = 8
 
 def mentions(docs: DataFrame, context: str, text: str, least: int = 5) -> DataFrame:
     """context, topic, weight: a keyword of at least so many characters weighs 0.68 for each message that has it, one row per context and topic."""
-    k = docs.select(context, F.explode(keywords(F.col(text))).alias("topic")).where(F.length("topic") >= least)
+    k = docs.select(context, F.explode_outer(keywords(F.col(text))).alias("topic")).where(F.length("topic") >= least)
     return k.groupBy(context, "topic").agg(F.round(F.count("*") * F.lit(0.68), 6).alias("weight"))
 
 

@@ -95,7 +95,7 @@ _PHRASE_TOPICS = rf"""w AS (SELECT conv_id, turn, text, list_filter(string_split
 
 @query(f"WITH {_PHRASE_TOPICS} SELECT conv_id, turn, kind, label, weight FROM k")
 def phrase_topics(t):
-    return t("conversations").select("conv_id", "turn", F.explode(topics.phrases(F.col("text"))).alias("x")).select("conv_id", "turn", "x.kind", "x.label", "x.weight")
+    return t("conversations").select("conv_id", "turn", F.explode_outer(topics.phrases(F.col("text"))).alias("x")).where("x is not null").select("conv_id", "turn", "x.kind", "x.label", "x.weight")
 
 
 _FACTOR = "greatest(1.0::DOUBLE, " + ", ".join("CASE WHEN regexp_matches(trim(lower(text)), '" + T.SPEECH_ACTS[k][1].replace("'", "''") + f"') THEN {f}::DOUBLE ELSE 1.0 END" for k, f in topics.FACETS.items()) + ")"
@@ -103,7 +103,9 @@ _FACTOR = "greatest(1.0::DOUBLE, " + ", ".join("CASE WHEN regexp_matches(trim(lo
 
 @query(f"WITH {_PHRASE_TOPICS} SELECT label AS topic, count(*)::BIGINT AS df, round(max(weight * {_FACTOR}), 6) AS heaviest FROM k GROUP BY 1")
 def faceted_topics(t):
-    d = t("conversations").select(F.explode(topics.phrases(F.col("text"))).alias("x"), topics.facet_factor(F.transform(T.speech_acts(F.col("text")), lambda a: a["kind"])).alias("f"))
+    acts = F.transform(T.speech_acts(F.col("text")), lambda a: a["kind"])
+    once = t("conversations").select(topics.phrases(F.col("text")).alias("p"), topics.facet_factor(acts).alias("f"))
+    d = once.select(F.explode_outer("p").alias("x"), "f").where("x is not null")  # outer: explode would compute the array in a filter, too
     return d.groupBy(F.col("x.label").alias("topic")).agg(F.count("*").alias("df"), F.round(F.max(F.col("x.weight") * F.col("f")), 6).alias("heaviest"))
 
 

@@ -126,7 +126,7 @@ def _duck(pattern: str) -> str:
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS kind, count(*)::BIGINT AS n, max(CAST({c} AS DOUBLE)) AS confidence FROM conversations WHERE regexp_matches(trim(lower(text)), '{_duck(p)}') HAVING count(*) > 0" for k, (c, p) in T.SPEECH_ACTS.items()))
 def speech_act_histogram(t):
-    return t("conversations").select(F.explode(T.speech_acts(F.col("text"))).alias("a")).groupBy("a.kind").agg(F.count("*").alias("n"), F.max("a.confidence").cast("double").alias("confidence"))
+    return t("conversations").select(F.explode_outer(T.speech_acts(F.col("text"))).alias("a")).where("a is not null").groupBy("a.kind").agg(F.count("*").alias("n"), F.max("a.confidence").cast("double").alias("confidence"))
 
 
 @query("SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{_duck(p)}') THEN '{k}'" for k, p in T.MODALITY) + f" ELSE 'asserted' END AS modality, CASE WHEN regexp_matches(lower(text), '{_duck(T.NEGATION)}') THEN 'negative' ELSE 'positive' END AS polarity, count(*)::BIGINT AS n FROM conversations GROUP BY 1, 2")
@@ -300,7 +300,7 @@ def index_counts(t):
 @query(r"""WITH m AS (SELECT conv_id, turn, unnest(regexp_split_to_array(regexp_replace(regexp_replace(text, '([.?!]["''’”)\]}」』】》]*)\s', E'\\1\n', 'g'), '([。？！]["''’”)\]}」』】》]*)', E'\\1\n', 'g'), '[\r\n]+')) AS s FROM conversations)
     SELECT conv_id, turn, count(*)::BIGINT AS n, max(length(trim(s)))::BIGINT AS longest FROM m WHERE trim(s) <> '' GROUP BY 1, 2""")
 def sentence_counts(t):
-    s = t("conversations").select("conv_id", "turn", F.explode(T.sentences(F.col("text"))).alias("s"))
+    s = t("conversations").select("conv_id", "turn", F.explode_outer(T.sentences(F.col("text"))).alias("s")).where("s is not null")
     return s.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.max(F.length("s")).cast("long").alias("longest"))
 
 

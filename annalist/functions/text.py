@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -182,14 +183,60 @@ def repositories(text: Column, host: str = "github.com") -> Column:
     return F.transform(F.filter(at, lambda r: r != ""), lambda r: F.regexp_replace(F.regexp_replace(r, "/+", "/"), r"\.git$", ""))
 
 
-def entities(text: Column) -> Column:
-    """All references of a text as array<struct<kind,label,key>>: urls, repositories, packages, paths."""
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def known_names(text: Column, registry: Mapping[str, tuple[str, str, Sequence[str]]]) -> Column:
+    """The names of a registry (key: kind, label, names) that stand in a text as whole words, as array<struct<kind,label,key>> in order.
+
+    The longest name at a place wins, of equal ones that of the smaller key; what follows may not overlap it. Case does not count.
+    """
+    of = "array<struct<kind:string,label:string,key:string>>"
+    names: dict[str, str] = {}
+    for key in sorted(registry):
+        for name in registry[key][2]:
+            if name:
+                names.setdefault(name.lower(), key)
+    if not names:
+        return F.array().cast(of)
+    words = "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))
+    found = F.regexp_extract_all(text, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_-])(?:{words})(?![\p{{L}}\p{{N}}_-])"), F.lit(0))
+    table = F.create_map(*(x for n, k in names.items() for x in (F.lit(n), F.struct(F.lit(registry[k][0]).alias("kind"), F.lit(registry[k][1]).alias("label"), F.lit(k).alias("key")))))
+    return F.coalesce(F.array_compact(F.transform(found, lambda n: F.try_element_at(table, F.lower(n)))), F.array().cast(of))
+
+
+def snippet(text: Column, query: Sequence[str], words: int = 18) -> Column:
+    """The window of so many words that holds most of the query's terms, the first of equal ones, with hits in brackets.
+
+    Windows begin at a hit, or earlier where the text would end too soon; without a hit it is the beginning.
+    """
+    split = F.filter(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), " "), lambda w: w != "")
+    asked = F.lit([q.lower() for q in query])
+    marked = F.transform(split, lambda w: F.struct(w.alias("w"), F.array_intersect(terms(w), asked).alias("h")))
+
+    def shown(m: Column) -> Column:
+        held = lambda i: F.size(F.array_distinct(F.flatten(F.transform(F.slice(m, i + 1, words), lambda x: x["h"]))))
+        best = F.array_max(F.transform(m, lambda x, i: F.when(F.size(x["h"]) > 0, F.struct(held(i).alias("n"), (-i).alias("at")))))
+        at = F.greatest(F.lit(0), F.least(F.coalesce(-best["at"], F.lit(0)), F.size(m) - words))
+        return bind(at, lambda a: F.concat(
+            F.when(a > 0, "… ").otherwise(""),
+            F.array_join(F.transform(F.slice(m, a + 1, words), lambda x: F.when(F.size(x["h"]) > 0, F.concat(F.lit("["), x["w"], F.lit("]"))).otherwise(x["w"])), " "),
+            F.when(a + words < F.size(m), " …").otherwise(""),
+        ))
+
+    return bind(marked, shown)
+
+
+def entities(text: Column, registry: Mapping[str, tuple[str, str, Sequence[str]]] | None = None) -> Column:
+    """All references of a text as array<struct<kind,label,key>>: known names, urls, repositories, packages, paths."""
     low = {"repository", "package"}
 
     def of(kind: str, found: Column) -> Column:
         return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("label"), F.concat(F.lit(f"{kind}:"), F.lower(x) if kind in low else x).alias("key")))
 
-    return F.array_distinct(F.concat(of("url", urls(text)), of("repository", repositories(text)), of("package", packages(text)), of("path", paths(text))))
+    return F.array_distinct(F.concat(known_names(text, registry or {}), of("url", urls(text)), of("repository", repositories(text)), of("package", packages(text)), of("path", paths(text))))
 
 
 def clean_url(url: Column, hosts: list[str]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalist.functions.text import token_estimate
@@ -52,12 +53,32 @@ def context_bundle(turns: DataFrame, query: Sequence[str], budget: int = 12000,
     return pack(costed, "conv_id", ["priority", "turn"], "cost", budget // conversations, ["turn", "priority"])
 
 
-def checkpoint_status(checkpoints: DataFrame, commits: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """ref, status of each checkpoint (ref, oid): empty, checkpoint-missing, ready or ref-rewritten.
+def markdown(messages: DataFrame, query: str, budget: int) -> DataFrame:
+    """One row, markdown: a bundle of messages with numbered citations and where they are from.
 
-    commits: oid. ancestors: ref, oid, all commits that the ref reaches.
+    messages: conversation, title, rank (of the conversation), position, role, text, message, revision, tokens. They are
+    what fits in a budget, so one task numbers and joins them.
+    """
+    w = W.orderBy("rank", "conversation", "position", "message")
+    m = messages.withColumn("cite", F.concat(F.lit("H"), F.row_number().over(w)))
+    said = F.concat(F.lit("### ["), "cite", F.lit("] "), F.initcap("role"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    source = F.concat(F.lit("- ["), "cite", F.lit("] message `"), F.col("message"), F.lit("`; revision `"), F.col("revision"), F.lit("`"))
+    item = m.select("rank", "conversation", "title", "position", "message", "tokens", said.alias("said"), source.alias("source"))
+    each = item.groupBy("rank", "conversation").agg(F.min("title").alias("title"), F.array_sort(F.collect_list(F.struct("position", "message", "said", "source"))).alias("m"), F.sum("tokens").alias("tokens"))
+    part = F.concat(F.lit("## "), F.coalesce("title", F.lit("Untitled conversation")), F.lit("\n\n"), F.array_join(F.transform("m", lambda x: x["said"]), "\n\n"))
+    all_ = each.select("rank", "conversation", part.alias("part"), F.array_join(F.transform("m", lambda x: x["source"]), "\n").alias("sources"), F.size("m").alias("n"), "tokens")
+    one = all_.agg(F.array_sort(F.collect_list(F.struct("rank", "conversation", "part", "sources"))).alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    head = F.concat(F.lit(f"# Context bundle\n\n- Query: {query}\n- Messages: "), "n", F.lit("\n- Conversations: "), F.size("c"), F.lit("\n- Estimated tokens: "), "tokens", F.lit(f" / {budget}\n\n"))
+    body = F.when(F.size("c") == 0, "No matching conversation context was found.").otherwise(F.array_join(F.transform("c", lambda x: x["part"]), "\n\n"))
+    return one.select(F.concat(head, body, F.lit("\n\n## Provenance\n\n"), F.array_join(F.transform("c", lambda x: x["sources"]), "\n"), F.lit("\n")).alias("markdown"))
+
+
+def checkpoint_status(checkpoints: DataFrame, commits: DataFrame, ancestors: DataFrame, shallow: bool = False) -> DataFrame:
+    """ref, status of each checkpoint (ref, oid): empty, checkpoint-missing, blocked-shallow, ready or ref-rewritten.
+
+    commits: oid. ancestors: ref, oid, all commits that the ref reaches. shallow: the repository lacks old commits.
     """
     known = commits.select("oid").distinct().withColumn("__known", F.lit(True))
     reached = ancestors.select("ref", "oid").distinct().withColumn("__reached", F.lit(True))
     d = checkpoints.join(known, "oid", "left").join(reached, ["ref", "oid"], "left")
-    return d.select("ref", F.when(F.col("oid").isNull(), "empty").when(F.col("__known").isNull(), "checkpoint-missing").when(F.col("__reached").isNull(), "ref-rewritten").otherwise("ready").alias("status"))
+    return d.select("ref", F.when(F.col("oid").isNull(), "empty").when(F.col("__known").isNull(), "checkpoint-missing").when(F.lit(shallow), "blocked-shallow").when(F.col("__reached").isNull(), "ref-rewritten").otherwise("ready").alias("status"))

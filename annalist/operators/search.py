@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -115,3 +118,43 @@ def similar_symbols(symbols: DataFrame, target: DataFrame, query: Sequence[str],
 def hybrid(lexical: DataFrame, dense: DataFrame | None, key: str, limit: int = 50) -> DataFrame:
     """Rank fusion of both lists (key, rank); of the lexical one alone where there are no vectors."""
     return rank_fusion([lexical] if dense is None else [lexical, dense], key).orderBy(F.desc("score"), key).limit(limit)
+
+
+def blended(mentions: DataFrame, seeds: DataFrame, near: DataFrame, messages: DataFrame, query: DataFrame, key: str, limit: int = 20) -> DataFrame:
+    """key, score: 0.58 for topics, 0.34 for the vector's cosine (at least 0), 0.08 for shared labels; only messages that mention a topic.
+
+    mentions: key, topic, weight. seeds: topic, strength. near: topic, score (counts 0.55). messages: key, vector, labels.
+    query: a single row of vector, labels.
+    """
+    w = seeds.select("topic", F.col("strength").alias("__w")).unionByName(near.select("topic", (0.55 * F.col("score")).alias("__w"))).groupBy("topic").agg(F.max("__w").alias("__w"))
+    hit = mentions.join(w, "topic").groupBy(key).agg(F.sum(F.col("weight") * F.col("__w")).alias("__x"))
+    one = query.limit(1).select(F.col("vector").alias("__v"), F.col("labels").alias("__l"))
+    d = hit.join(messages.select(key, "vector", "labels"), key).crossJoin(F.broadcast(one))
+    score = 0.58 * (1 - F.exp(-F.col("__x") / 3)) + 0.34 * F.greatest(F.lit(0.0), cosine(F.col("vector"), F.col("__v"))) + 0.08 * overlap(F.col("labels"), F.col("__l"))
+    return d.select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+
+
+def nearest(vectors: DataFrame, key: str, vector: str, query: DataFrame, threshold: float = 0.28, limit: int = 8) -> DataFrame:
+    """key, strength: the rows whose cosine to the query's vector (a single row) is at or above threshold, best first."""
+    d = vectors.select(key, vector).crossJoin(F.broadcast(query.limit(1).select(F.col("vector").alias("__v"))))
+    d = d.select(key, F.round(cosine(F.col(vector), F.col("__v")), 6).alias("strength")).where(F.col("strength") >= threshold)
+    return d.orderBy(F.desc("strength"), key).limit(limit)
+
+
+def hashed_vector(dimensions: int = 1536):
+    """A vector that depends on a text alone, as a Pandas UDF: digests of its pieces of 64 characters are laid on the dimensions, one
+    after the other, and the sum is brought to length one. Null and empty texts give zeros. It stands in for an encoder in tests.
+    """
+
+    @F.pandas_udf("array<double>")
+    def encode(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> np.ndarray:
+            v = np.zeros(dimensions)
+            for at in range(0, len(t or ""), 64):
+                d = np.frombuffer(hashlib.sha256(f"{at}:{t[at:at + 64]}".encode()).digest(), np.uint8)
+                np.add.at(v, (at + np.arange(len(d))) % dimensions, (d - 127.5) / 127.5)
+            return v / (np.linalg.norm(v) or 1.0)
+
+        return texts.map(one, na_action=None)
+
+    return encode

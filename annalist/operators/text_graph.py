@@ -8,11 +8,15 @@ node.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
 
+Registry = Mapping[str, tuple[str, str, Sequence[str]]]
+
 # The layer of each speech act, the layers of the projections.
 ACT_LAYER = {"request": "work", "constraint": "work", "proposal": "work", "decision": "work", "status": "work", "rationale": "work", "question": "discourse", "rejection": "discourse", "acceptance": "discourse", "correction": "discourse"}
 PROJECTIONS = {"source": ("source",), "concepts": ("reference", "semantic"), "work": ("discourse", "work")}
@@ -22,17 +26,17 @@ def _id(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.array(*(p.cast("string") for p in parts))), 256)
 
 
-def _sentences(messages: DataFrame, key: str, text: str) -> DataFrame:
+def _sentences(messages: DataFrame, key: str, text: str, registry: Registry | None) -> DataFrame:
     d = messages.select(F.col(key).alias("message"), F.explode_outer(T.spans(F.col(text))).alias("s")).where("s is not null")
     sid = _id(F.lit("sentence"), F.col("message"), F.col("s.start"), F.col("s.end"))
-    return d.select("message", "s", sid.alias("sid"), T.entities(F.col("s.text")).alias("refs"), T.speech_acts(F.col("s.text")).alias("acts"), F.col("s.text").rlike(r"[\p{L}\p{N}]").alias("says"))
+    return d.select("message", "s", sid.alias("sid"), T.entities(F.col("s.text"), registry).alias("refs"), T.speech_acts(F.col("s.text")).alias("acts"), F.col("s.text").rlike(r"[\p{L}\p{N}]").alias("says"))
 
 
 def _layer(kind: Column) -> Column:
     return F.when(kind.isin([k for k, v in ACT_LAYER.items() if v == "work"]), "work").otherwise("discourse")
 
 
-def nodes(messages: DataFrame, key: str, text: str) -> DataFrame:
+def nodes(messages: DataFrame, key: str, text: str, registry: Registry | None = None) -> DataFrame:
     """message, node, layer, kind, label, start, end: bytes of the first anchor; key must be unique and not null, a text without a sentence gives its message node only."""
     m = F.col("message")
 
@@ -44,7 +48,7 @@ def nodes(messages: DataFrame, key: str, text: str) -> DataFrame:
     said = F.when(F.col("says"), F.concat(F.array(node(_id(l("proposition"), F.col("sid")), l("semantic"), l("proposition"), label)), F.transform("acts", lambda a: node(_id(l("act"), a["kind"], F.col("sid")), _layer(a["kind"]), a["kind"], a["kind"]))))
     refs = F.transform("refs", lambda r: node(_id(l("entity"), m, r["key"]), l("reference"), r["kind"], r["label"]))
     own = F.array(node(F.col("sid"), l("source"), l("sentence"), label))
-    cut = _sentences(messages, key, text)  # acts are computed for the first branch only, references for the second
+    cut = _sentences(messages, key, text, registry)  # acts are computed for the first branch only, references for the second
     made = cut.select("message", F.explode_outer(F.concat(own, F.coalesce(said, F.slice(own, 1, 0)))).alias("n")).select("message", "n.*")
     referred = cut.select("message", F.explode_outer(refs).alias("n")).where("n is not null").select("message", "n.*")
     size = F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
@@ -54,7 +58,7 @@ def nodes(messages: DataFrame, key: str, text: str) -> DataFrame:
     return top.unionByName(made).unionByName(shared)
 
 
-def edges(messages: DataFrame, key: str, text: str) -> DataFrame:
+def edges(messages: DataFrame, key: str, text: str, registry: Registry | None = None) -> DataFrame:
     """message, src, dst, kind, layer, confidence."""
     l, sid = F.lit, F.col("sid")
     prop = _id(l("proposition"), sid)
@@ -69,7 +73,7 @@ def edges(messages: DataFrame, key: str, text: str) -> DataFrame:
     about = F.transform("refs", lambda r: edge(prop, entity(r), l("semantic:about"), l("semantic"), l(1)))
     acts = F.transform("acts", lambda a: edge(_id(l("act"), a["kind"], sid), prop, F.concat(_layer(a["kind"]), l(":qualifies")), _layer(a["kind"]), a["confidence"]))
     said = F.when(F.col("says"), F.concat(grounded, about, acts)).otherwise(F.slice(one, 1, 0))
-    return _sentences(messages, key, text).select("message", F.explode_outer(F.concat(one, mentions, said)).alias("e")).select("message", "e.*").distinct()
+    return _sentences(messages, key, text, registry).select("message", F.explode_outer(F.concat(one, mentions, said)).alias("e")).select("message", "e.*").distinct()
 
 
 def project(n: DataFrame, e: DataFrame, projection: str) -> tuple[DataFrame, DataFrame]:

@@ -53,6 +53,15 @@ def context_bundle(turns: DataFrame, query: Sequence[str], budget: int = 12000,
     return pack(costed, "conv_id", ["priority", "turn"], "cost", budget // conversations, ["turn", "priority"])
 
 
+def snapshot(observations: DataFrame, source: str | None = None) -> DataFrame:
+    """The current messages of every conversation with their ordinal: the active path first, then by time and message.
+
+    observations: message, conversation, source, observed, seq, active_position (null off the path), created, and more.
+    """
+    w = W.partitionBy("conversation").orderBy(F.asc_nulls_last("active_position"), F.asc_nulls_last("created"), "message")
+    return current(observations, source).withColumn("ordinal", (F.row_number().over(w) - 1).cast("long"))
+
+
 def markdown(messages: DataFrame, query: str, budget: int) -> DataFrame:
     """One row, markdown: a bundle of messages with numbered citations and where they are from.
 

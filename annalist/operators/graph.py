@@ -9,25 +9,28 @@ from annalist.operators.stable import cut
 
 
 def trace(starts: DataFrame, edges: DataFrame, depth: int, sinks: Column | None = None) -> DataFrame:
-    """All simple paths from starts (column node) along edges (src, dst): path, depth, terminal.
+    """All simple paths from starts (column node) along edges (src, dst and, if given, doubt): path, depth, terminal.
 
-    terminal: sink, cycle, leaf or max-depth. The frontier of a step is joined with the edges; the number of
-    steps is the depth, never the number of nodes. A path of n nodes is an array, so a cycle shows without a state.
+    terminal: a step into a sink ends with sink, one in doubt with its doubt (dynamic, unresolved, inferred), one back onto
+    the path with cycle; where the walk stands after depth steps it ends with max-depth, without edges with leaf. The
+    frontier of a step is joined with the edges; the number of steps is the depth, never the number of nodes. A
+    path of n nodes is an array, so a cycle shows without a state. An unresolved step may have a null dst.
     """
-    sink = sinks if sinks is not None else F.lit(False)
+    doubt = F.col("doubt") if "doubt" in edges.columns else F.lit(None).cast("string")
+    step = edges.select("src", "dst", F.when(doubt != "none", doubt).alias("__doubt"))
     out_degree = edges.select(F.col("src").alias("node")).distinct().withColumn("__out", F.lit(True))
-    front = starts.select("node", F.array("node").alias("path"))
+    front = starts.select("node", F.array("node").alias("path"), F.lit(None).cast("string").alias("terminal"))
     done: DataFrame | None = None
-    keep = lambda x, d, why: x.select("path", F.lit(d).cast("long").alias("depth"), why.alias("terminal"))
     for d in range(depth + 1):
-        front = front.join(out_degree, "node", "left")
-        cycle = F.array_contains(F.slice("path", F.lit(1), F.size("path") - 1), F.col("node")) if d else F.lit(False)
-        why = F.when(cycle, "cycle").when(sink, "sink").when(F.lit(d == depth) & F.col("__out").isNotNull(), "max-depth").when(F.col("__out").isNull(), "leaf")
-        front = front.withColumn("terminal", why)
-        part = keep(front.where("terminal is not null"), d, F.col("terminal"))
+        stands = F.lit("max-depth") if d == depth else F.when(F.col("__out").isNull(), "leaf")
+        front = front.join(out_degree, "node", "left").withColumn("terminal", F.coalesce("terminal", stands))
+        part = front.where("terminal is not null").select("path", F.lit(d).cast("long").alias("depth"), "terminal")
         done = part if done is None else done.unionByName(part)
         if d < depth:
-            front = front.where("terminal is null").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+            ends = F.when(sinks, "sink") if sinks is not None else F.lit(None).cast("string")
+            n = front.where("terminal is null").join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "path", "__doubt")
+            back = F.when(F.array_contains("path", F.col("node")), "cycle")
+            front = n.select("node", F.concat("path", F.array("node")).alias("path"), F.coalesce(ends, F.col("__doubt"), back).alias("terminal"))
     return done
 
 

@@ -141,6 +141,22 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: DataFrame, thresho
     return d.orderBy(F.desc("strength"), key).limit(limit)
 
 
+def with_evidence(hits: DataFrame, key: str, parts: dict[str, tuple[DataFrame, Sequence[str], int]]) -> DataFrame:
+    """hits with an array column for each part: name -> (rows with the key, order, most), the first rows of each key in order.
+
+    Rows are cut to the hits and then to most of each key before they are collected, so an array is bounded. A hit
+    without rows has an empty array.
+    """
+    out, keys = hits, hits.select(key)
+    for name, (rows, order, most) in parts.items():
+        fields = [*order, *(c for c in rows.columns if c != key and c not in order)]
+        top = rows.join(keys, key, "left_semi").withColumn("__rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("__rn") <= most)
+        got = top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__rn", F.struct(*fields).alias("v")))), lambda x: x["v"]).alias(name))
+        kind = got.schema[name].dataType
+        out = out.join(got, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    return out
+
+
 def hashed_vector(dimensions: int = 1536):
     """A vector that depends on a text alone, as a Pandas UDF: digests of its pieces of 64 characters are laid on the dimensions, one
     after the other, and the sum is brought to length one. Null and empty texts give zeros. It stands in for an encoder in tests.

@@ -38,6 +38,46 @@ def associations(m: DataFrame, context: str, least: int = 1) -> DataFrame:
     return p.select("a", "b", "support", F.round(1 - F.exp(-(F.col("w") / F.sqrt(F.col("da") * F.col("db"))) / 3), 6).alias("score"))
 
 
+# How many topics of a context, a message and an end of a reply meet, and what their pairs weigh.
+EVIDENCE = {"same-context": (PER_CONTEXT, 4.0), "same-message": (36, 0.75), "reply": (18, 1.5)}
+
+
+def evidence(m: DataFrame, replies: DataFrame) -> DataFrame:
+    """a < b, relation, place, weight: pairs of topics of a context, of a message, and across a reply, each place once a pair.
+
+    m: message, context, topic, weight. replies: src, dst. A place gives its heaviest topics only, as the weight is
+    defined so; that bounds the pairs of a place whatever the length of a text.
+    """
+
+    def top(keys: list[str], relation: str) -> DataFrame:
+        one = m.groupBy(*keys, "topic").agg(F.max("weight").alias("weight"))
+        w = W.partitionBy(*keys).orderBy(F.desc("weight"), "topic")
+        return one.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= EVIDENCE[relation][0]).drop("__rn")
+
+    def side(d: DataFrame, s: str, **names: str) -> DataFrame:
+        return d.select(*(F.col(c).alias(names.get(c, c)) for c in d.columns if c not in ("topic", "weight")), F.col("topic").alias(s), F.col("weight").alias(f"w{s}"))
+
+    def weighed(d: DataFrame, relation: str, *place: str) -> DataFrame:
+        return d.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), F.lit(relation).alias("relation"), F.to_json(F.array(*(F.col(c).cast("string") for c in place))).alias("place"), (EVIDENCE[relation][1] * F.sqrt(F.col("wl") * F.col("wr"))).alias("w"))
+
+    out = None
+    for relation, keys in (("same-context", ["message", "context"]), ("same-message", ["message"])):
+        t = top(keys, relation)
+        d = weighed(side(t, "l").join(side(t, "r"), keys).where("l < r"), relation, *keys)
+        out = d if out is None else out.unionByName(d)
+    t, r = top(["message"], "reply"), replies.select("src", "dst").distinct()
+    across = r.join(side(t, "l", message="src"), "src").join(side(t, "r", message="dst"), "dst").where("l <> r")
+    return out.unionByName(weighed(across, "reply", "src", "dst")).groupBy("a", "b", "relation", "place").agg(F.sum("w").alias("weight"))
+
+
+def evidence_associations(m: DataFrame, replies: DataFrame, least: int = 1) -> DataFrame:
+    """a < b, support (places), score: associations by all evidence over how many messages mention the topics."""
+    p = evidence(m, replies).groupBy("a", "b").agg(F.sum("weight").alias("w"), F.count("*").alias("support")).where(F.col("support") >= least)
+    df = m.select("message", "topic").distinct().groupBy("topic").agg(F.count("*").alias("df"))
+    p = p.join(df.select(F.col("topic").alias("a"), F.col("df").alias("da")), "a").join(df.select(F.col("topic").alias("b"), F.col("df").alias("db")), "b")
+    return p.select("a", "b", "support", F.round(1 - F.exp(-(F.col("w") / F.sqrt(F.col("da") * F.col("db"))) / 3), 6).alias("score"))
+
+
 def phrases(text: Column) -> Column:
     """Topic candidates of a text as array<struct<kind,label,weight>>, in order, PHRASES at most.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
-from annalist.operators import chat, history, search, topics
+from annalist.operators import chat, graph, history, search, topics
 from annalist.plans.queries import TERMS
 from annalist.plans.registry import query
 
@@ -87,3 +87,51 @@ def broken_links(t):
     customers = t("customer").where("c_nationkey <> 3").select(F.col("c_custkey").alias("o_custkey"))
     suppliers = t("supplier").where("s_nationkey <> 3").select(F.col("s_suppkey").alias("l_suppkey"))
     return some("orders", "orders.o_custkey", customers, "o_custkey").unionByName(some("lineitem", "lineitem.l_suppkey", suppliers, "l_suppkey"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) AS ctx FROM conversations),
+    m AS (SELECT conv_id, turn, ctx, topic, 0.5 + 0.01 * length(topic) AS weight FROM (SELECT conv_id, turn, ctx, unnest(list_distinct(regexp_extract_all(lower(s), '[a-z]{7,}'))) AS topic FROM c)),
+    tc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, ctx ORDER BY weight DESC, topic) AS k FROM m) WHERE k <= 24),
+    u AS (SELECT conv_id, turn, topic, max(weight) AS weight FROM m GROUP BY ALL),
+    tm AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY weight DESC, topic) AS k FROM u),
+    p AS (SELECT l.topic AS a, r.topic AS b, 'c' || l.conv_id || ':' || l.turn || ':' || l.ctx AS place, 4 * sqrt(l.weight * r.weight) AS w FROM tc l JOIN tc r ON l.conv_id = r.conv_id AND l.turn = r.turn AND l.ctx = r.ctx AND l.topic < r.topic
+        UNION ALL SELECT l.topic, r.topic, 'm' || l.conv_id || ':' || l.turn, 0.75 * sqrt(l.weight * r.weight) FROM tm l JOIN tm r ON l.conv_id = r.conv_id AND l.turn = r.turn AND l.topic < r.topic WHERE l.k <= 36 AND r.k <= 36
+        UNION ALL SELECT least(l.topic, r.topic), greatest(l.topic, r.topic), 'r' || l.conv_id || ':' || l.turn, 1.5 * sqrt(l.weight * r.weight) FROM tm l JOIN tm r ON l.conv_id = r.conv_id AND r.turn = l.turn + 1 AND l.topic <> r.topic WHERE l.k <= 18 AND r.k <= 18),
+    d AS (SELECT topic, count(*) AS n FROM u GROUP BY 1), g AS (SELECT a, b, sum(w) AS w, count(DISTINCT place)::BIGINT AS support FROM p GROUP BY 1, 2 HAVING count(DISTINCT place) >= 3)
+    SELECT a, b, support, round(CAST(1 - exp(-(w / sqrt(x.n * y.n)) / 3) AS DOUBLE), 6) AS score FROM g JOIN d x ON x.topic = a JOIN d y ON y.topic = b""")
+def evidence_associations(t):
+    c = t("conversations").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("message"), "text")
+    s = c.select("message", F.posexplode(F.split("text", "[.]")).alias("context", "s"))
+    m = s.select("message", "context", F.explode_outer(F.array_distinct(T.terms(F.col("s"), "[a-z]{7,}"))).alias("topic")).where("topic is not null").withColumn("weight", 0.5 + 0.01 * F.length("topic"))
+    ids = t("conversations").select("conv_id", "turn")
+    replies = ids.join(ids.select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"]).select(F.concat_ws(":", "conv_id", "turn").alias("src"), F.concat(F.col("conv_id"), F.lit(":"), F.col("turn") + 1).alias("dst"))
+    return topics.evidence_associations(m, replies, 3)
+
+
+@query("""WITH e AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, CASE n_regionkey WHEN 0 THEN 'dynamic' WHEN 1 THEN 'inferred' ELSE 'none' END AS doubt FROM nation UNION ALL SELECT 'r' || r_regionkey, 'n0', 'none' FROM region WHERE r_regionkey IN (2, 3) UNION ALL SELECT 'r' || r_regionkey, NULL, 'unresolved' FROM region WHERE r_regionkey = 4)
+    SELECT 'n' || n_nationkey AS start, CASE n_regionkey WHEN 0 THEN 'n' || n_nationkey || '>r0' WHEN 1 THEN 'n' || n_nationkey || '>r1' WHEN 4 THEN 'n' || n_nationkey || '>r4' WHEN 3 THEN 'n' || n_nationkey || '>r3' ELSE 'n' || n_nationkey || '>r2>n0>r0' END AS path,
+    CASE n_regionkey WHEN 0 THEN 'dynamic' WHEN 1 THEN 'inferred' WHEN 4 THEN 'unresolved' WHEN 3 THEN 'sink' ELSE 'dynamic' END AS terminal FROM nation""")
+def trace_in_doubt(t):
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    region = F.col("n_regionkey")
+    up = t("nation").select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst"), F.when(region == 0, "dynamic").when(region == 1, "inferred").otherwise("none").alias("doubt"))
+    back = t("region").where("r_regionkey >= 2").select(name("r", "r_regionkey").alias("src"), F.when(F.col("r_regionkey") < 4, "n0").alias("dst"), F.when(F.col("r_regionkey") < 4, "none").otherwise("unresolved").alias("doubt"))
+    paths = graph.trace(t("nation").select(name("n", "n_nationkey").alias("node")), up.unionByName(back), 6, F.col("node") == "r3")
+    return paths.select(F.element_at("path", 1).alias("start"), F.array_join("path", ">").alias("path"), "terminal")
+
+
+@query("""WITH h AS (SELECT p_partkey, p_retailprice, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20),
+    l AS (SELECT l_partkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem)
+    SELECT p_partkey, rank, coalesce(string_agg(l_orderkey || ':' || l_linenumber, ' ' ORDER BY k), '') AS locations FROM h LEFT JOIN l ON l_partkey = p_partkey AND k <= 5 GROUP BY 1, 2""")
+def retrieved_context(t):
+    hits = search.ranked(t("part").select("p_partkey", "p_retailprice"), [F.desc("p_retailprice"), F.col("p_partkey")], 20)
+    found = t("lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber")
+    d = search.with_evidence(hits, "p_partkey", {"locations": (found, ["l_orderkey", "l_linenumber"], 5)})
+    return d.select("p_partkey", "rank", F.array_join(F.transform("locations", lambda x: F.concat_ws(":", x["l_orderkey"], x["l_linenumber"])), " ").alias("locations"))
+
+
+@query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn % 3 <> 1 THEN turn END NULLS LAST, turn) - 1 AS ordinal FROM conversations""")
+def conversation_snapshot(t):
+    c = t("conversations").select("conv_id", "turn", F.col("conv_id").alias("conversation"), F.concat_ws(":", "conv_id", F.lpad(F.col("turn").cast("string"), 9, "0")).alias("message"), F.lit("main").alias("source"), F.lit(None).cast("timestamp").alias("created"), F.when(F.col("turn") % 3 != 1, F.col("turn")).alias("active_position"))
+    seen = c.withColumn("observed", F.lit("1")).withColumn("seq", F.lit(1)).unionByName(c.withColumn("observed", F.lit("0")).withColumn("seq", F.lit(2)).withColumn("active_position", F.lit(0).cast("long")))
+    return chat.snapshot(seen).select("conv_id", "turn", "ordinal")

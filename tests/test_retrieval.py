@@ -7,8 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
-from annalist.operators import chat, search, text_graph
+from annalist.operators import chat, graph, search, text_graph, topics
 from annalist.sources import observations
+from annalist.streaming import incremental
 
 HOSTS = ("chat.example.com",)
 
@@ -92,3 +93,36 @@ def test_blocked_checkpoints(spark):
     known = spark.createDataFrame([(1,)], "oid int")
     got = {r["ref"]: r["status"] for r in chat.checkpoint_status(c, known, known.withColumn("ref", F.lit("a")), shallow=True).collect()}
     assert got == {"a": "blocked-shallow", "b": "empty", "c": "checkpoint-missing"}
+
+
+def test_trace_order_of_terminals(spark):
+    rows = [("a", "b", "none"), ("b", "a", "inferred"), ("b", "c", None), ("c", "a", "none"), ("b", None, "unresolved"), ("c", "s", "dynamic"), ("c", "e", "none")]
+    e = spark.createDataFrame(rows, "src string, dst string, doubt string")
+    a = spark.createDataFrame([("a",)], "node string")
+    got = {(tuple(r["path"]), r["terminal"]) for r in graph.trace(a, e, 3, F.col("node") == "s").collect()}
+    assert got == {(("a", "b", "a"), "inferred"), (("a", "b", None), "unresolved"), (("a", "b", "c", "a"), "cycle"), (("a", "b", "c", "s"), "sink"), (("a", "b", "c", "e"), "max-depth")}
+    assert graph.trace(a.limit(0), e, 3).count() == 0
+
+
+def test_evidence_counts_places(spark):
+    rows = [("m", 0, "x", 4.0), ("m", 0, "y", 1.0), ("m", 1, "x", 1.0), ("n", 0, "x", 1.0), ("n", 0, "y", 1.0)]
+    m = spark.createDataFrame(rows, "message string, context int, topic string, weight double")
+    r = spark.createDataFrame([("m", "n"), ("m", "n"), ("n", "gone")], "src string, dst string")
+    got = {(x["a"], x["b"], x["relation"], x["place"]): x["weight"] for x in topics.evidence(m, r).collect()}
+    assert got == {("x", "y", "same-context", '["m","0"]'): 8.0, ("x", "y", "same-context", '["n","0"]'): 4.0, ("x", "y", "same-message", '["m"]'): 1.5, ("x", "y", "same-message", '["n"]'): 0.75, ("x", "y", "reply", '["m","n"]'): 4.5}
+    assert [tuple(x) for x in topics.evidence_associations(m, r, 5).collect()] == [("x", "y", 5, round(1 - math.exp(-18.75 / 2 / 3), 6))]
+
+
+def test_evidence_of_hits(spark):
+    h = spark.createDataFrame([(1,), (2,)], "k int")
+    rows = spark.createDataFrame([(1, 3, None), (1, 1, "a"), (1, 2, "b"), (9, 1, "z")], "k int, o int, v string")
+    got = {r["k"]: [tuple(x) for x in r["rows"]] for r in search.with_evidence(h, "k", {"rows": (rows, ["o"], 2)}).collect()}
+    assert got == {1: [(1, "a"), (2, "b")], 2: []}
+
+
+def test_a_receipt_is_taken_once(spark, tmp_path):
+    t, r = str(tmp_path / "facts"), str(tmp_path / "receipts")
+    f = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, v string")
+    assert [incremental.archive(spark, f, t, r, "one", ["k"]), incremental.archive(spark, f, t, r, "one", ["k"]), incremental.archive(spark, f.union(f.selectExpr("k + 1", "v")), t, r, "two", ["k"])] == [2, 0, 1]
+    assert sorted(x["k"] for x in spark.read.parquet(t).collect()) == [1, 2, 3]
+    assert {tuple(x) for x in spark.read.parquet(r).collect()} == {("one", 2), ("two", 1)}

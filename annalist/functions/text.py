@@ -248,12 +248,13 @@ def clean_url(url: Column, hosts: list[str]) -> Column:
 def spans(text: Column) -> Column:
     """Sentences with their UTF-8 byte ranges as array<struct<text,start,end>>; the same cuts as sentences().
 
-    Cuts have no width, so running sums of piece lengths are offsets. At most nine closers follow an end mark.
+    Cuts have no width, so running sums of piece lengths are offsets. At most nine closers follow an end mark. A fold
+    copies what it has gathered in each step, so pieces are folded in blocks, and the blocks' starts once over all.
     """
     mark = CLOSERS.removesuffix("*")
     cuts = rf"(?<=[.?!]{mark}{{0,9}})(?=\s)|(?<=[。？！]{mark}{{0,9}})(?!{mark})|(?<=[\r\n])|(?=[\r\n])"
-    pieces = F.split(F.coalesce(text, F.lit("")), cuts)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<text:string,start:bigint,end:bigint>>").alias("out"))
+    size, whole = 128, F.coalesce(text, F.lit(""))
+    none = F.array().cast("array<struct<text:string,start:bigint,end:bigint>>")
 
     def step(acc: Column, piece: Column) -> Column:
         body = F.regexp_replace(piece, r"^\s+|\s+$", "")
@@ -262,4 +263,11 @@ def spans(text: Column) -> Column:
         s = F.struct(body.alias("text"), a.alias("start"), (a + F.octet_length(body)).alias("end"))
         return F.struct((acc["at"] + F.octet_length(piece)).alias("at"), F.when(body == "", acc["out"]).otherwise(F.array_append(acc["out"], s)).alias("out"))
 
-    return F.aggregate(pieces, start, step)["out"]
+    def located(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p)))
+        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        starts = F.aggregate(sizes, first, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+        return F.flatten(F.zip_with(blocks, starts, lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), step)["out"]))
+
+    blocks = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / size).cast("int")), lambda i: F.slice(p, i * size + 1, size))
+    return bind(bind(F.split(whole, cuts), blocks), located)

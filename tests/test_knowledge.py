@@ -9,7 +9,7 @@ from annalist.functions import text as T
 from annalist.operators import graph, history, search, text_graph, topics
 from annalist.sources import git, tables
 
-TEXTS = ["One. Two (three.) Four?\n\nFünf ünd sechs!  Sieben", "", None, "。说！」好", " a.b c. ", "x" * 5000 + ". y", "...\r\n?", "nul\x00. z"]
+TEXTS = ["One. Two (three.) Four?\n\nFünf ünd sechs!  Sieben", "", None, "。说！」好", " a.b c. ", "x" * 5000 + ". y", "...\r\n?", "nul\x00. z", " é. Ü? x\n" * 1500]
 
 
 def test_spans_hold_the_bytes_of_sentences(spark):

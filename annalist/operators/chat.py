@@ -46,11 +46,24 @@ def context_bundle(turns: DataFrame, query: Sequence[str], budget: int = 12000,
     The best hits choose the conversations, each conversation shares its hits with the neighbours within radius,
     and every conversation's share of the budget is packed by priority and place.
     """
+    return _packed(turns, query, budget, conversations, radius).select("conv_id", "turn", "priority", "used")
+
+
+def _packed(turns: DataFrame, query: Sequence[str], budget: int, conversations: int, radius: int) -> DataFrame:
+    """context_bundle with top, the best score of the conversation."""
     hits = bm25(turns, ["conv_id", "turn"], F.col("text"), query, max(60, 12 * conversations))
     best = hits.groupBy("conv_id").agg(F.max("score").alias("top")).orderBy(F.desc("top"), "conv_id").limit(conversations)
-    chosen = neighbours(turns, hits.join(best, "conv_id", "left_semi"), "conv_id", "turn", radius)
-    costed = chosen.select("conv_id", "turn", "priority", (token_estimate(F.col("text")) + 18).alias("cost"))
-    return pack(costed, "conv_id", ["priority", "turn"], "cost", budget // conversations, ["turn", "priority"])
+    chosen = neighbours(turns, hits.join(best, "conv_id", "left_semi"), "conv_id", "turn", radius).join(F.broadcast(best), "conv_id")
+    costed = chosen.select("conv_id", "turn", "priority", "top", (token_estimate(F.col("text")) + 18).alias("cost"))
+    return pack(costed, "conv_id", ["priority", "turn"], "cost", budget // conversations, ["turn", "priority", "top"])
+
+
+def context_document(turns: DataFrame, query: Sequence[str], budget: int = 12000, conversations: int = 8, radius: int = 2) -> DataFrame:
+    """One row, markdown: what context_bundle takes for a query, the best conversation first. turns: conv_id, turn, role, text."""
+    taken = _packed(turns, query, budget, conversations, radius).select("conv_id", "turn", "top")
+    m = turns.join(F.broadcast(taken), ["conv_id", "turn"])
+    m = m.select(F.col("conv_id").alias("conversation"), F.concat(F.lit("Conversation "), "conv_id").alias("title"), (-F.col("top")).alias("rank"), F.col("turn").alias("position"), "role", "text", F.concat_ws(":", "conv_id", "turn").alias("message"), F.sha2("text", 256).alias("revision"), (token_estimate(F.col("text")) + 18).alias("tokens"))
+    return markdown(m, " ".join(query), budget)
 
 
 def snapshot(observations: DataFrame, source: str | None = None) -> DataFrame:

@@ -313,3 +313,8 @@ def chat_search_current(t):
 @query(None)
 def context_bundle(t):
     return chat.context_bundle(t("conversations").select("conv_id", "turn", "text"), TERMS)
+
+
+@query(None)
+def context_document(t):
+    return chat.context_document(t("conversations").select("conv_id", "turn", "role", "text"), TERMS)

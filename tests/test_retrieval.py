@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -126,3 +127,34 @@ def test_a_receipt_is_taken_once(spark, tmp_path):
     assert [incremental.archive(spark, f, t, r, "one", ["k"]), incremental.archive(spark, f, t, r, "one", ["k"]), incremental.archive(spark, f.union(f.selectExpr("k + 1", "v")), t, r, "two", ["k"])] == [2, 0, 1]
     assert sorted(x["k"] for x in spark.read.parquet(t).collect()) == [1, 2, 3]
     assert {tuple(x) for x in spark.read.parquet(r).collect()} == {("one", 2), ("two", 1)}
+
+
+def test_context_document_chooses_from_the_whole_table(spark):
+    """Brute force over all conversations: the registered query takes what fits of the best ones, whatever their ids."""
+    from annalist.plans import QUERIES
+    from annalist.plans.queries import TERMS
+
+    data = "/root/testdata/sf0.01"
+    rows = {(r["conv_id"], r["turn"]): r for r in spark.read.parquet(f"{data}/conversations.parquet").collect()}
+    words = {k: re.findall("[a-z0-9]+", (r["text"] or "").lower()) for k, r in rows.items()}
+    n, mean = len(rows), sum(map(len, words.values())) / len(rows)
+    idf = {q: math.log((n - d + 0.5) / (d + 0.5)) for q in TERMS for d in [sum(q in w for w in words.values())]}
+    score = {k: round(sum(max(idf[q], 0) * w.count(q) * 2.2 / (w.count(q) + 1.2 * (0.25 + 0.75 * len(w) / mean)) if idf[q] > 0 else 1e-6 * w.count(q) * 2.2 / (w.count(q) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for q in TERMS), 6) for k, w in words.items() if any(q in w for q in TERMS)}
+    hits = sorted(score, key=lambda k: (-score[k], k))[:96]
+    top = {c: max(score[h] for h in hits if h[0] == c) for c in {h[0] for h in hits}}
+    want, n_tokens = [], 0
+    chosen = sorted(top, key=lambda c: (-top[c], c))[:8]
+    for c in chosen:
+        far = {k[1]: min(abs(k[1] - h[1]) for h in hits if h[0] == c) for k in rows if k[0] == c}
+        used, taken = 0, []
+        for _, turn in sorted((p, t) for t, p in far.items() if p <= 2):
+            cost = max(1, -(-len((rows[c, turn]["text"] or "").encode()) // 4)) + 18
+            if used + cost <= 1500:
+                used, taken = used + cost, [*taken, turn]
+        want += [(c, t) for t in sorted(taken)]
+        n_tokens += used
+    got = QUERIES["context_document"](spark, data).first()["markdown"]
+    cited = [(int(a), int(b)) for a, b in re.findall(r"message `([0-9]+):([0-9]+)`", got.split("## Provenance")[1])]
+    assert cited == want and max(chosen) >= 3 and n_tokens <= 12000
+    assert got.startswith(f"# Context bundle\n\n- Query: that with heat\n- Messages: {len(want)}\n- Conversations: {len({c for c, _ in want})}\n- Estimated tokens: {n_tokens} / 12000\n\n## Conversation {want[0][0]}\n")
+    assert all(f"### [H{i + 1}] {rows[k]['role'].capitalize()}\n\n{rows[k]['text']}\n" in got for i, k in enumerate(want))

@@ -1,11 +1,14 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
 Texts become token sequences in which numbers, names and units are typed placeholders (#num, #name,
-#unit); names are capitalised words within a sentence. Every window of eight template tokens (four for
-items shorter than that) is hashed, and documents meet benchmark items in a hash join on windows. So
-a question with other numbers or names still matches. Matches of a document and an item are lined up
-by their offset; along it the slot values must agree: one value of the item always stands for one
-value of the document. A line-up counts if its consistent part covers enough of the item's windows.
+#unit); names are runs of capitalised words within a sentence, and a unit written onto its number is a
+token of its own. Every window of eight template tokens (four for items shorter than that) is hashed,
+and documents meet benchmark items in a hash join on windows. So a question with other numbers or
+names still matches. Matches of a document and an item are lined up by their offset. A value of
+another length moves the offset, so offsets less than half an item apart are one line-up, in which
+each item window counts once, at the offset nearest to the commonest. In a line-up the slot values
+must agree: one value of the item always stands for one value of the document. It counts if its
+consistent part covers enough of the item's windows. A single offset is a line-up, too.
 
 Only windows of the benchmark are ever gathered by item; documents send window hashes that the join
 drops unless the benchmark has them. The benchmark is broadcast if its number of windows is below a
@@ -19,13 +22,14 @@ count as one); null ids match nothing; an empty table gives no rows; extra colum
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stable, whole
 
 WINDOW, SHORT = 8, 4
 BROADCAST_WINDOWS = 500_000
-TOKEN = r"[0-9][0-9.,]*[0-9]|[\p{L}\p{N}]+|[.!?]+"
+TOKEN = r"[0-9](?:[0-9.,]*[0-9])?|[\p{L}\p{N}]+|[.!?]+"
 
 # Units of measure.
 UNITS = ("km", "m", "cm", "mm", "mi", "mile", "miles", "ft", "feet", "inch", "inches", "yard", "yards", "kg", "g", "mg", "lb", "lbs", "pound", "pounds", "ounce", "ounces", "ton", "tons", "l", "ml", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degree", "degrees", "meter", "meters", "metre", "metres", "kmh", "mph")
@@ -45,11 +49,20 @@ def tokens(text: Column):
     return raw, typed
 
 
-def templated(df: DataFrame, text: Column) -> DataFrame:
-    """df with __tokens."""
+def templated(df: DataFrame, text: Column, values: bool = True) -> DataFrame:
+    """df with __tokens: t and, with values, v. A run of names is one token, its value is the whole run."""
     raw, typed = tokens(text)
-    d = df.withColumn("__raw", raw)
-    return d.withColumn("__tokens", F.filter(F.transform("__raw", typed), lambda x: x["t"] != "#end")).drop("__raw")
+    d = df.withColumn("__raw", raw).withColumn("__typed", F.transform("__raw", typed)).drop("__raw")
+    name = lambda k: F.get(F.col("__typed"), k)["t"].eqNullSafe("#name")
+    if not values:
+        return d.withColumn("__tokens", F.filter("__typed", lambda x, k: (x["t"] != "#end") & ~((x["t"] == "#name") & name(k - 1)))).drop("__typed")
+    d = d.withColumn("__at", F.filter(F.transform("__typed", lambda x, k: k), lambda k: ~(name(k) & name(k - 1))))
+
+    def run(k: Column, j: Column) -> Column:
+        end = F.coalesce(F.get(F.col("__at"), j + 1), F.size("__typed"))
+        return F.struct(F.get(F.col("__typed"), k)["t"].alias("t"), F.array_join(F.transform(F.slice("__typed", k + 1, end - k), lambda x: x["v"]), " ").alias("v"))
+
+    return d.withColumn("__tokens", F.filter(F.transform("__at", run), lambda x: x["t"] != "#end")).drop("__typed", "__at")
 
 
 def _hashes(df: DataFrame, size: int, key: str) -> DataFrame:
@@ -63,14 +76,34 @@ def _hashes(df: DataFrame, size: int, key: str) -> DataFrame:
     return d.select(key, F.posexplode_outer("h").alias("pos", "w")).where("w is not null")
 
 
+def _line_ups(pairs: DataFrame, least: float) -> DataFrame:
+    """d, i, size, of, itoks, at (ipos and shift of the matched windows, one per item window): line-ups with enough windows.
+
+    pairs: d, i, size, of, itoks, at (all matched windows of a document and an item).
+    """
+    keys = ["d", "i", "size", "of", "itoks"]
+    each = pairs.select(*keys, F.explode("at").alias("m")).groupBy("d", "i", "m.shift").agg(*(F.first(c).alias(c) for c in keys[2:]), F.collect_set("m.ipos").alias("at"))
+    near = F.greatest(F.lit(SHORT), F.size("itoks") / 2)
+    w = W.partitionBy("d", "i").orderBy("shift")
+    apart = F.when(F.col("shift") - F.lag("shift").over(w) >= near, 1).otherwise(0)
+    each = each.withColumn("apart", apart).withColumn("group", F.sum("apart").over(w))
+    groups = each.groupBy("d", "i", "group").agg(*(F.first(c).alias(c) for c in keys[2:]), F.max(F.struct(F.size("at").alias("n"), (-F.col("shift")).alias("s"))).alias("most"), F.collect_list(F.struct("shift", "at")).alias("lines")).where(F.size("lines") > 1)
+    places = F.flatten(F.transform("lines", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("ipos"), F.abs(x["shift"] + F.col("most.s")).alias("far"), x["shift"].alias("shift")))))
+    groups = groups.select(*keys, F.array_sort(places).alias("places"))
+    nearest = F.filter("places", lambda x, k: (k == 0) | (x["ipos"] != F.get(F.col("places"), k - 1)["ipos"]))
+    many = groups.select(*keys, F.transform(nearest, lambda x: F.struct(x["ipos"], x["shift"])).alias("at"))
+    one = each.select(*keys, F.transform("at", lambda p: F.struct(p.alias("ipos"), F.col("shift").alias("shift"))).alias("at"))
+    return one.unionByName(many).where(F.size("at") >= F.col("of") * least)
+
+
 def match(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, least: float = 0.5) -> DataFrame:
     """Documents that hold (a re-parameterised copy of) an item.
 
     Returns id_col, item_id, windows (matched and consistent), coverage (of the item's windows), slots
-    (placeholders that were checked), changed (how many of their values differ): one row per pair,
+    (placeholders in matched windows), changed (how many of their values differ): one row per pair,
     the best line-up. least: the share of the item's windows that must match.
     """
-    doc = templated(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), whole(F.col(text_col)).alias("__text")), F.col("__text")).select("d", "__tokens")
+    doc = templated(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), whole(F.col(text_col)).alias("__text")), F.col("__text"), values=False).select("d", "__tokens")
     item = templated(items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("i"), whole(F.col(item_text)).alias("__text")), F.col("__text")).select("i", "__tokens").dropDuplicates(["i"])
     shape = item.agg(F.sum(F.greatest(F.size("__tokens") - WINDOW + 1, F.lit(0))).alias("n"), F.count(F.when(F.size("__tokens").between(SHORT, WINDOW - 1), 1)).alias("short"), F.sum(F.size("__tokens")).alias("all")).first()
     small = (shape["all"] or 0) <= BROADCAST_WINDOWS
@@ -83,25 +116,30 @@ def match(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id
         here = _hashes(doc, size, "d")
         part = here.join(hint(bench), "w").select("d", "i", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", F.lit(size).alias("size"))
         lined = part if lined is None else lined.unionByName(part)
-    runs = lined.groupBy("d", "i", "shift", "size").agg(F.collect_set("ipos").alias("at"))
+    pairs = lined.groupBy("d", "i", "size").agg(F.collect_set(F.struct("ipos", "shift")).alias("at"))
     total = item.select("i", F.col("__tokens").alias("itoks"))
-    runs = runs.join(hint(total), "i").withColumn("of", F.size("itoks") - F.col("size") + 1).where(F.size("at") >= F.col("of") * least)
+    found = F.size(F.array_distinct(F.transform("at", lambda m: m["ipos"])))
+    pairs = pairs.join(hint(total), "i").withColumn("of", F.size("itoks") - F.col("size") + 1).where(found >= F.col("of") * least)
     # the documents that hold an item are read again for their slot values; all others are kept from a shuffle
     # by a broadcast of the hits' ids while those are fewer than a fixed bound, and by a semi join beyond it
-    runs = stable(runs)
-    ids = runs.select("d").distinct()
+    pairs = stable(pairs)
+    runs = _line_ups(pairs, least)
+    ids = pairs.select("d").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_WINDOWS else ids
     again = docs.select(F.col(id_col).alias("d"), whole(F.col(text_col)).alias("__text")).join(ids, "d", "left_semi")
     runs = runs.join(templated(again, F.col("__text")).select("d", F.col("__tokens").alias("dtoks")), "d")
-    pairs = F.filter(F.transform(F.sequence(F.lit(0), F.size("itoks") - 1), lambda k: F.struct(k.alias("k"), F.get("itoks", k)["t"].alias("t"), F.get("itoks", k)["v"].alias("a"), F.get("dtoks", k + F.col("shift"))["v"].alias("b"), F.get("dtoks", k + F.col("shift"))["t"].alias("u"))), lambda p: p["t"].startswith("#") & p["t"].eqNullSafe(p["u"]))
-    runs = runs.withColumn("slots", pairs)
+    slot = lambda k, s: F.struct(k.alias("k"), s.alias("shift"), F.get("itoks", k)["t"].alias("t"), F.get("itoks", k)["v"].alias("a"), F.get("dtoks", k + s)["v"].alias("b"), F.get("dtoks", k + s)["t"].alias("u"))
+    places = F.transform("at", lambda m: F.transform(F.sequence(m["ipos"], m["ipos"] + F.col("size") - 1), lambda k: slot(k, m["shift"])))
+    placed = F.flatten(F.transform(places, lambda ps: F.filter(ps, lambda p: p["t"].startswith("#") & p["t"].eqNullSafe(p["u"]))))
+    runs = runs.withColumn("slots", F.array_distinct(placed))
     clash = F.filter("slots", lambda p: F.exists("slots", lambda q: (p["t"] == q["t"]) & (p["a"] == q["a"]) & (p["b"] != q["b"])))
-    runs = runs.withColumn("clash", F.transform(clash, lambda p: p["k"]))
+    runs = runs.withColumn("clash", clash)
     # the windows without a contradicting slot are the consistent part
-    good = F.filter("at", lambda s: ~F.exists("clash", lambda k: (k >= s) & (k < s + F.col("size"))))
+    good = F.filter("at", lambda m: ~F.exists("clash", lambda p: (p["shift"] == m["shift"]) & (p["k"] >= m["ipos"]) & (p["k"] < m["ipos"] + F.col("size"))))
     runs = runs.withColumn("windows", F.size(good).cast("long")).withColumn("coverage", F.col("windows") / F.col("of").cast("double"))
-    changed = F.size(F.filter("slots", lambda p: p["a"] != p["b"])).cast("long")
-    best = runs.groupBy("d", "i").agg(F.max(F.struct("coverage", "windows", F.size("slots").cast("long").alias("n"), (-changed).alias("c"))).alias("best")).where(F.col("best.coverage") >= least)
+    n = lambda ps: F.size(F.array_distinct(F.transform(ps, lambda p: p["k"]))).cast("long")
+    changed = n(F.filter("slots", lambda p: p["a"] != p["b"]))
+    best = runs.groupBy("d", "i").agg(F.max(F.struct("coverage", "windows", n(F.col("slots")).alias("n"), (-changed).alias("c"))).alias("best")).where(F.col("best.coverage") >= least)
     return best.select(F.col("d").alias(id_col), F.col("i").alias(item_id), "best.windows", "best.coverage", F.col("best.n").alias("slots"), (-F.col("best.c")).alias("changed"))
 
 

@@ -194,6 +194,23 @@ def test_decontamination_finds_changed_questions(spark):
     assert kept >= {4, 5, 6, None} and not kept & {1, 2}
 
 
+def test_decontamination_finds_values_of_other_lengths(spark):
+    unit = "a parcel that holds 5kg of river sand is carried over the hill by two tired men who want a better road"
+    town = "the slow train to York leaves with 60 sleepy people while a second one comes back from York with 60 of them on board"
+    name = "one fine day in the garden old Anna saw how a cat ran up the wall and fell from it into a deep blue pond with some fish"
+    twice = "he gave 12 coins to one child and 12 coins to another child and then he put 12 coins back"
+    items = [(1, unit), (2, town), (3, name), (4, twice)]
+    docs = [
+        (1, unit.replace("5kg", "15kg")), (2, town.replace("York", "New York").replace("60", "80")), (3, "so. " + name.replace("Anna", "Ludwig van Beethoven") + " and more"),
+        (4, twice.replace("12", "7", 1).replace("12", "95", 1)), (5, name[:70] + " " + prose(1, 60) + " " + unit[:60]), (6, unit + ". " + prose(2, 90) + ". " + unit.replace("5kg", "15kg")),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.match(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), "doc_id", "text", "item_id", "text").collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (6, 1)}
+    assert got[1, 1]["coverage"] == got[2, 2]["coverage"] == got[6, 1]["coverage"] == 1.0 and got[1, 1]["changed"] == 1 and got[2, 2]["changed"] == 4 and got[6, 1]["changed"] == 0
+    n = len(name.split()) - 7  # only the windows over the longer name are lost
+    assert got[3, 3]["windows"] == n - 7 and got[3, 3]["coverage"] == pytest.approx((n - 7) / n)
+
+
 def test_transport_stream():
     for n in (0, 1, 168, 181, 182, 183, 192, 4032, 4033, 40000):
         p = bytes(i % 251 for i in range(n))

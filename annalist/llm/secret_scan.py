@@ -1,8 +1,10 @@
 """Secret scanning with a random forest against false positives, in DataFrame functions only.
 
-Candidates are runs of at least eight letters, digits and +/_- with a digit in them. Each is described
-by its length, its character classes and transitions between them, how much of it dictionary words
-cover, the document's path and the words beside it. A random forest, fitted on labelled findings,
+Candidates are whole values that = or : joins to a secret cue, quoted or up to the next space, of any
+length and characters, and runs of at least eight letters, digits and +/_- that have a digit in them or
+start with a known prefix. Each is described by its length, its character classes and transitions
+between them, how much of it dictionary words cover, whether it looks like code or a sentence, the
+document's path and the words beside it. A random forest, fitted on labelled findings,
 decides which candidates are secrets; it is evaluated as a fold over literal arrays, so scanning
 stays in the JVM and needs no shuffle.
 
@@ -24,16 +26,24 @@ from pyspark.sql import functions as F
 
 from .common import whole
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{8,}+={0,2}"
+PREFIX = r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|ya29|eyJ|npm_|pypi-)"
+CUED = r"(?i:passw|pwd|secret|token|api.?key|auth(?!or)|credential|private|access.?key|bearer)[^\n=:]{0,12}[=:][ \t]{0,3}"
+CANDIDATE = (
+    rf"(?<=[\"'])(?:(?<={CUED}\")[^\"\n]+(?=\")|(?<={CUED}')[^'\n]+(?='))"
+    rf"|(?<=[=: \t])(?<={CUED})[^\s\"'=:.,;)\]}}<>](?:[^\s\"<>]*[^\s\"'.,;:)\]}}<>])?"
+    rf"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|{PREFIX})[A-Za-z0-9+/_-]{{8,}}+={{0,2}}"
+)
 MARK = "[SECRET]"
 
 # Cues in Java regular expressions.
-KNOWN = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|ya29|eyJ|npm_|pypi-)"
+KNOWN = "^" + PREFIX
 SECRET_CUES = r"(?i)(passw|pwd|secret|token|api.?key|apikey|auth|credential|private|access.?key|bearer)[^\n]{0,12}$"
 OTHER_CUES = r"(?i)(commit|revision|sha|md5|checksum|digest|hash|uuid|etag|version|order|invoice|phone|tel|card|account|isbn|build|request|trace|session.?id|page|item)[^\n]{0,12}$"
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|your|placeholder|xxxx|0000|1234|test|fake|redacted"
 WORDS = r"about|access|account|admin|and|api|app|build|change|client|code|commit|config|data|debug|default|demo|dev|document|dummy|error|example|fake|file|for|from|guest|hello|host|image|index|item|key|local|login|main|model|module|name|node|number|order|page|part|password|path|phase|place|prod|project|public|random|release|request|sample|schema|secret|section|server|service|session|show|stage|state|step|super|system|table|task|test|text|the|this|token|type|user|value|version|web|word|your"
 PAIRS = r"th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce"
+CODE = r"[(){}\[\]<>$]|^[A-Za-z_]+(\.[A-Za-z_]+)+$|://"
+SENTENCE = r"(?i)\b(the|a|an|is|are|be|must|at|of|to|in|for|your|not|please|enter|and|or|was|with|this|can)\b"
 TEST_PATH = r"(?i)(^|[/_.-])(tests?|spec|examples?|docs?|fixtures?|mocks?|samples?)([/_.-]|$)"
 
 
@@ -64,6 +74,9 @@ def features(c: Column, before: Column, after: Column, path: Column) -> Column:
         flag(left.rlike(r"[=:]\s*[\"']?$")),
         flag(after.rlike(r"^[\"']")),
         flag(path.rlike(TEST_PATH)),
+        flag(c.rlike(CODE)),
+        flag(c.rlike(SENTENCE)),
+        flag(c.rlike(r"[ \t]")),
     )
     return F.array(*parts)
 
@@ -79,6 +92,9 @@ def findings(spark: SparkSession, n: int = 2400) -> DataFrame:
     pick = lambda salt, *xs: F.element_at(F.array(*map(F.lit, xs)), F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(len(xs))).cast("int") + 1)
     word = lambda salt: pick(salt, "release", "module", "table", "sample", "user", "phase", "server", "section", "document", "model", "node", "therein", "onedthe", "station")
     prose = lambda salt: F.concat_ws(" ", *(pick(salt + str(i), "the", "of", "and", "der", "que", "ouen", "thered", "in", "une", "with") for i in range(5)))
+    letters = lambda salt, k: F.substring(F.regexp_replace(F.concat(b64(salt, 80), b64(salt + "+", 80)), "[^A-Za-z]", ""), 1, k)
+    noun = lambda salt: pick(salt, "correct", "horse", "battery", "staple", "river", "violin", "maple", "copper", "lantern", "orbit", "saddle", "pepper", "window", "glacier")
+    cue = lambda salt: F.concat(prose(salt), F.lit(" "), pick(salt, "password", "secret", "token", "pwd", "api_key"), pick(salt + "=", "=", ": ", " = "))
     quote = pick("q", "", '"', "'")
     # secrets: with a cue, or of a known form without one
     yes = (
@@ -88,6 +104,10 @@ def findings(spark: SparkSession, n: int = 2400) -> DataFrame:
         (plain("d", 36), pick("d", "ghp_", "gho_", "sk_live_", "glpat-"), F.concat(prose("d"), pick("d2", " ", " = ", ": ")), "", ""),
         (b64("e", 40), "", F.concat(F.lit("secret_access_key"), pick("e", " = ", "=", ": ")), quote, quote),
         (plain("f", 12), "", F.concat(prose("f"), F.lit(" "), pick("f", "password", "secret", "token"), pick("f2", "=", ": ", " = ")), quote, quote),
+        (letters("o", 12), "", cue("o"), quote, quote),
+        (F.regexp_replace(F.concat_ws(" ", noun("p1"), noun("p2"), noun("p3"), noun("p4")), F.lit(" "), pick("p", " ", " ", "-")), "", cue("p"), '"', '"'),
+        (F.concat(plain("r", 3), pick("r", "!", "@", "#", "$", "%", "&"), pick("r1", "word", "home", "sun", "99", "x7"), pick("r2", "", "!", "1")), pick("r3", "", "p@", "S", "k"), cue("r"), quote, quote),
+        (F.when(F.col("id") % 4 < 2, F.upper(letters("s", 16))).otherwise(letters("s", 36)), F.when(F.col("id") % 4 < 2, "AKIA").otherwise(pick("s", "ghp_", "gho_", "sk_live_", "glpat-")), F.concat(prose("s"), F.lit(" ")), "", ""),
     )
     # no secrets: digests, numbers, identifiers, placeholders, words
     no = (
@@ -98,6 +118,10 @@ def findings(spark: SparkSession, n: int = 2400) -> DataFrame:
         (F.concat(pick("k", "your_", "example_", "dummy-", "changeme", "test_", "XXXX"), pick("k1", "token", "password", "key", "secret"), F.lit("_1234")), "", F.concat(pick("k2", "password", "token", "api_key"), pick("k3", "=", ": ")), quote, quote),
         (hexes("l", 32), "", F.concat(pick("l", "md5", "checksum", "etag", "hash"), pick("l1", ": ", "=", " ")), "", ""),
         (F.concat(word("m"), F.lit("-"), digits("m", 1), F.lit("-"), digits("m1", 2), F.lit("-"), word("m2")), "", F.concat(prose("m"), pick("m3", " ", " version ", "/")), "", "/"),
+        (pick("t", "required", "none", "null", "true", "false", "optional", "expired", "invalid", "reset", "missing", "see", "yes", "no", "enabled", "string", "forgotten", "unknown", "mandatory", "the", "below", "security", "hidden"), "", cue("t"), pick("t1", "", "", '"'), pick("t1", "", "", '"')),
+        (pick("u", "getpass()", "os.environ", "${TOKEN}", "$PASSWORD", "{{token}}", "self.token", "config.secret", "input()", "request.headers", "get_token(user)", "https://host/login", "settings.KEY"), "", cue("u"), "", ""),
+        (F.concat_ws(" ", pick("v", "must be at least", "please enter the", "is not a", "your name and the", "can be reset with this"), noun("v1"), noun("v2")), "", cue("v"), '"', '"'),
+        (F.concat(pick("w", "sk-", "npm_", "pypi-", "eyJ"), word("w1"), pick("w2", "-", "_"), word("w3")), "", F.concat(prose("w"), F.lit(" ")), "", " "),
         (hexes("n", 40), "", F.concat(prose("n"), F.lit(" "), pick("n", "token", "secret"), F.lit(" = ")), quote, quote),  # in test paths
     )
     kind = F.pmod(F.col("id"), F.lit(len(yes) + len(no)))

@@ -79,6 +79,21 @@ def test_secrets(spark):
     assert np.mean([(row["p"] >= 0.5) == row["label"] for row in rows]) > 0.97
 
 
+def test_secrets_without_digits_and_with_punctuation(spark):
+    forest = secret_scan.train(secret_scan.findings(spark))
+    r = random.Random(3)
+    some = lambda n, of="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz": "".join(r.choice(of) for _ in range(n))
+    secrets = [
+        *(("see password=", some(12), " here") for _ in range(12)), ("the pwd: \"", "correct horse battery staple", "\" ok"), ("and secret='", "p@ss!word", "' ok"), ("a token = ", "k7#x", ", then"),
+        *(("key ", "AKIA" + some(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), " used") for _ in range(6)), *(("with ", "ghp_" + some(36), " in it") for _ in range(6)),
+    ]
+    plain = ["password: required", "the token = getpass()", "secret = config.secret", "author: Smithson", "password: none", "sk-module_server", "nothing at all"]
+    docs = [(i, a + v + b, "src1") for i, (a, v, b) in enumerate(secrets)] + [(100 + i, t, "src1") for i, t in enumerate(plain)]
+    got = {x["doc_id"]: x for x in secret_scan.scan(spark.createDataFrame(docs, SCHEMA), "doc_id", "text", "source", forest).collect()}
+    assert [got[i]["spans"] for i in range(len(secrets))] == [f"{len(a)}:{len(a + v)}" for a, v, _ in secrets]
+    assert [t for i, t in enumerate(plain) if got[100 + i]["n_secrets"]] == []
+
+
 def test_pii_base_kinds_equal_the_patterns():
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

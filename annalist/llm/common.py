@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -44,10 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def use_stable_storage(spark: SparkSession) -> None:
-    """Point checkpoint() at the shared folder of the cluster; at one of our own only where none is named."""
+    """Point checkpoint() at the shared folder that spark.checkpoint.dir names. A folder of our own is for one machine only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/annalist-{uuid.uuid4().hex}")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder, and executors are not on this machine")
+        sc.setCheckpointDir(shared or f"file://{tempfile.gettempdir()}/annalist-{uuid.uuid4().hex}")
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -56,6 +61,12 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """n column names that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    return list(islice((c for c in (f"__{k}" for k in range(len(taken) + n)) if c not in taken), n))
+
+
 def id_text(col: Column) -> Column:
     """An id as text; a null id counts as empty."""
     return F.coalesce(col.cast("string"), F.lit(""))

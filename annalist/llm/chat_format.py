@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 OPEN, MIDDLE, CLOSE = '<turn role="', '">', "</turn>\n"
 LEARNT = ("assistant",)
+SPANS = 64  # cut out together when read back
 REPLACING = ("message", "edit", "regenerate", "delete")
 
 
@@ -44,8 +45,29 @@ def unescape(c: Column) -> Column:
 
 
 def log_of_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """The event log of finished turns: one message event per row, each row a message of its own."""
-    return turns.select(F.col(conv).alias("conversation"), F.monotonically_increasing_id().alias("message"), F.col(turn).cast("long").alias("order"), F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), F.col(role).alias("role"), F.col(text).alias("text"))
+    """The event log of finished turns: one message event per row, each row a message of its own.
+
+    A message is named by its turn, a hash of role and text, and its place among the rows that are equal to it.
+    """
+    e = turns.select(F.col(conv).alias("conversation"), F.col(turn).cast("long").alias("order"), F.col(role).alias("role"), F.col(text).alias("text"))
+    same = W.partitionBy("conversation", "order", "role", "text").orderBy("order")
+    name = F.concat_ws(":", F.coalesce(F.col("order").cast("string"), F.lit("")), F.xxhash64("role", "text"), F.row_number().over(same))
+    return e.select("conversation", name.alias("message"), "order", F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+
+
+def streamed(log: DataFrame) -> DataFrame:
+    """The log as a client would have recorded it: each message event becomes a draft and what replaced it.
+
+    Messages to be learnt are streamed in deltas, are regenerated once on the way and streamed anew; others are
+    written, edited, and get their second half as a delta. Folding it gives what folding log gives.
+    """
+    t, draft = F.coalesce(F.col("text"), F.lit("")), F.lit("a draft </turn> \\l of ")
+    half = F.floor(F.length(t) / 2).cast("int")
+    head, tail = F.substring(t, F.lit(1), half), F.substring(t, half + 1, F.length(t))
+    event = lambda k, kind, text: F.struct(F.lit(k).cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    learnt = F.array(event(0, "message", F.lit("")), event(1, "delta", draft), event(2, "delta", head), event(3, "regenerate", F.lit("")), event(4, "delta", head), event(5, "delta", tail))
+    others = F.array(event(0, "message", F.concat(draft, tail)), event(1, "delta", head), event(2, "edit", head), event(3, "delta", tail))
+    return log.select("conversation", "message", "order", "role", F.explode(F.when(F.col("role").isin(*LEARNT), learnt).otherwise(others)).alias("e")).select("conversation", "message", "order", "e.seq", "e.kind", "role", "e.text")
 
 
 def fold(log: DataFrame) -> DataFrame:
@@ -78,13 +100,20 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """Parse the output: conversation, turns array<struct<role,text>>, learnt (the text under the loss mask), formatted."""
+    """Parse the output: conversation, turns array<struct<role,text>>, learnt (the text under the loss mask), formatted.
+
+    The spans (in order) are cut out by blocks: first the text of each block, then its spans out of that, so a long
+    conversation is not counted through from its front for each span.
+    """
     pieces = F.filter(F.split("formatted", CLOSE, -1), lambda p: p != "")
-    inner = len(OPEN) + 1
+    inner = len(OPEN) + len(MIDDLE)
 
     def turn(p: Column) -> Column:
         role = F.regexp_extract(p, f"^{OPEN}([^\"]*){MIDDLE}", 1)
-        return F.struct(unescape(role).alias("role"), unescape(F.substring(p, F.length(role) + inner + len(MIDDLE), F.length(p))).alias("text"))
+        return F.struct(unescape(role).alias("role"), unescape(F.substring(p, F.length(role) + inner + 1, F.length(p))).alias("text"))
 
-    learnt = F.array_join(F.transform("loss", lambda s: unescape(F.substring("formatted", s["start"] + 1, s["end"] - s["start"]))), "")
-    return rendered.select("conversation", F.transform(pieces, turn).alias("turns"), learnt.alias("learnt"), "formatted")
+    count = F.greatest(F.ceil(F.size("loss") / SPANS), F.lit(1)).cast("int")
+    blocks = F.filter(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice("loss", i * SPANS + 1, SPANS)), lambda b: F.size(b) > 0)
+    cut = F.transform(blocks, lambda b: F.struct(b.alias("spans"), b[0]["start"].alias("at"), F.substring("formatted", b[0]["start"] + 1, F.element_at(b, -1)["end"] - b[0]["start"]).alias("text")))
+    texts = F.transform(cut, lambda b: F.transform(b["spans"], lambda s: unescape(F.substring(b["text"], s["start"] - b["at"] + 1, s["end"] - s["start"]))))
+    return rendered.select("conversation", F.transform(pieces, turn).alias("turns"), F.array_join(F.flatten(texts), "").alias("learnt"), "formatted")

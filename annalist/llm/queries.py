@@ -29,7 +29,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "\\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     two = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
-    back = chat_format.read_back(chat_format.render(chat_format.fold(chat_format.log_of_turns(turns.unionByName(two)))))
+    back = chat_format.read_back(chat_format.render(chat_format.fold(chat_format.streamed(chat_format.log_of_turns(turns.unionByName(two))))))
     digest = lambda c: F.sha2(F.encode(c, "utf-8"), 256)
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(F.col("conversation").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), digest(told).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"), digest(F.col("learnt")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
@@ -52,7 +52,7 @@ FROM rows GROUP BY conv_id
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secret_scan.train(secret_scan.findings(spark))
+    forest = secret_scan.train(secret_scan.findings(spark), secret_scan.vocabulary(tokenizer_path()))
     out = secret_scan.scan(table(spark, sf_dir, "documents"), "doc_id", "text", "source", forest)
     return out.select("doc_id", "n_candidates", "n_secrets", "spans", F.length("redacted").cast("long").alias("redacted_chars"), F.sha2(F.encode("redacted", "utf-8"), 256).alias("redacted_sha256"))
 

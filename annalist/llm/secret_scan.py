@@ -3,13 +3,17 @@
 Candidates are whole values that = or : joins to a secret cue, quoted or up to the next space, of any
 length and characters, and runs of at least eight letters, digits and +/_- that have a digit in them or
 start with a known prefix. Each is described by its length, its character classes and transitions
-between them, how much of it dictionary words cover, whether it looks like code or a sentence, the
+between them, how much of it words of a dictionary cover, whether it looks like code or a sentence, the
 document's path and the words beside it. A random forest, fitted on labelled findings,
 decides which candidates are secrets; it is evaluated as a fold over literal arrays, so scanning
 stays in the JVM and needs no shuffle.
 
-`findings` makes labelled findings from a rule; `train` accepts any table of that form. At most
-max_rows findings are fitted.
+The dictionary is a sorted list of words; `vocabulary` reads one from a public tokenizer's pieces, with a path as its
+parameter. A character is covered if it lies in a dictionary word of four to MOST_LETTERS letters that the
+candidate, in lower case, holds anywhere.
+
+`train` accepts any table of labelled findings and fits those that are not held out, at most max_rows, those with the smallest
+hash. `findings` makes such a table from a rule, since no table here labels secrets; a quarter of it is held out.
 
 Defined results: null text or path = empty; a text without candidates has no secrets and is left as it
 is; repeated rows are scanned row by row; an empty table gives no rows; extra columns are kept by
@@ -18,13 +22,17 @@ is; repeated rows are scanned row by row; an empty table gives no rows; extra co
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import random
+import string
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import unused, whole
 
 PREFIX = r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|ya29|eyJ|npm_|pypi-)"
 CUED = r"(?i:passw|pwd|secret|token|api.?key|auth(?!or)|credential|private|access.?key|bearer)[^\n=:]{0,12}[=:][ \t]{0,3}"
@@ -34,20 +42,47 @@ CANDIDATE = (
     rf"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|{PREFIX})[A-Za-z0-9+/_-]{{8,}}+={{0,2}}"
 )
 MARK = "[SECRET]"
+LEAST_LETTERS, MOST_LETTERS = 4, 10
 
 # Cues in Java regular expressions.
 KNOWN = "^" + PREFIX
 SECRET_CUES = r"(?i)(passw|pwd|secret|token|api.?key|apikey|auth|credential|private|access.?key|bearer)[^\n]{0,12}$"
 OTHER_CUES = r"(?i)(commit|revision|sha|md5|checksum|digest|hash|uuid|etag|version|order|invoice|phone|tel|card|account|isbn|build|request|trace|session.?id|page|item)[^\n]{0,12}$"
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|your|placeholder|xxxx|0000|1234|test|fake|redacted"
-WORDS = r"about|access|account|admin|and|api|app|build|change|client|code|commit|config|data|debug|default|demo|dev|document|dummy|error|example|fake|file|for|from|guest|hello|host|image|index|item|key|local|login|main|model|module|name|node|number|order|page|part|password|path|phase|place|prod|project|public|random|release|request|sample|schema|secret|section|server|service|session|show|stage|state|step|super|system|table|task|test|text|the|this|token|type|user|value|version|web|word|your"
 PAIRS = r"th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce"
 CODE = r"[(){}\[\]<>$]|^[A-Za-z_]+(\.[A-Za-z_]+)+$|://"
 SENTENCE = r"(?i)\b(the|a|an|is|are|be|must|at|of|to|in|for|your|not|please|enter|and|or|was|with|this|can)\b"
 TEST_PATH = r"(?i)(^|[/_.-])(tests?|spec|examples?|docs?|fixtures?|mocks?|samples?)([/_.-]|$)"
 
 
-def features(c: Column, before: Column, after: Column, path: Column) -> Column:
+def vocabulary(model: str, most: int = 3000) -> tuple[str, ...]:
+    """The first most lower-case ASCII words of LEAST_LETTERS to MOST_LETTERS letters that are whole pieces of a sentencepiece model, sorted."""
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=model)
+    words = (pieces.id_to_piece(k)[1:] for k in range(pieces.get_piece_size()) if pieces.id_to_piece(k)[0] == "▁")
+    return tuple(sorted(islice((w for w in words if w.isascii() and w.isalpha() and w.islower() and LEAST_LETTERS <= len(w) <= MOST_LETTERS), most)))
+
+
+def _literal(values: Sequence, kind: str = "string") -> Column:
+    """A literal array, folded by the optimiser from one string: thousands of values are slow to hand over one by one."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def covered(c: Column, dictionary: Sequence[str]) -> Column:
+    """The share of c's characters that words of the dictionary cover; longer words are laid out first, equally long ones in order."""
+    if not dictionary:
+        return F.lit(0.0)
+    low, mark = F.lower(c), "\x01"
+    starts = lambda run, size: F.filter(F.sequence(F.lit(1), F.length(run)), lambda k: k <= F.length(run) - size + 1)
+    pieces = lambda run: F.flatten(F.transform(F.sequence(F.lit(LEAST_LETTERS), F.lit(MOST_LETTERS)), lambda size: F.transform(starts(run, size), lambda k: F.substring(run, k, size))))
+    runs = F.regexp_extract_all(low, F.lit(f"[a-z]{{{LEAST_LETTERS},}}"), F.lit(0))
+    held = F.array_sort(F.transform(F.array_intersect(F.flatten(F.transform(runs, pieces)), _literal(dictionary)), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    laid = F.aggregate(held, F.translate(low, mark, " "), lambda s, h: F.replace(s, h["w"], F.repeat(F.lit(mark), -h["n"])))
+    return F.lit(1.0) - F.length(F.translate(laid, mark, "")).cast("double") / F.greatest(F.length(c), F.lit(1))
+
+
+def features(c: Column, before: Column, after: Column, path: Column, dictionary: Sequence[str] = ()) -> Column:
     """The features of candidates as an array of doubles."""
     n = F.greatest(F.length(c), F.lit(1)).cast("double")
     low = F.lower(c)
@@ -63,7 +98,7 @@ def features(c: Column, before: Column, after: Column, path: Column) -> Column:
         F.size(F.array_distinct(F.split(c, ""))).cast("double"),
         F.length(F.regexp_replace(c, "[0-9]+|[a-z]+|[A-Z]+|[^0-9a-zA-Z]+", "x")).cast("double") / n,
         F.size(F.regexp_extract_all(low, F.lit(PAIRS), F.lit(0))).cast("double") / n,
-        F.lit(1.0) - share(WORDS, low),
+        covered(c, dictionary),
         flag(c.rlike(PLACEHOLDER)),
         flag(c.rlike(r"^[0-9a-fA-F]+$")),
         flag(c.rlike(r"^[0-9_-]+$")),
@@ -81,58 +116,66 @@ def features(c: Column, before: Column, after: Column, path: Column) -> Column:
     return F.array(*parts)
 
 
-def findings(spark: SparkSession, n: int = 2400) -> DataFrame:
-    """Labelled findings made by rule: candidate, before, after, path, label (1: a secret)."""
-    d = spark.range(0, n, 1, 1)
-    hexes = lambda salt, k: F.substring(F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 256), 1, k)
-    b64 = lambda salt, k: F.substring(F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 512))), "[\r\n]", ""), 1, k)
-    upper = lambda salt, k: F.upper(F.substring(F.regexp_replace(b64(salt, 80), "[^A-Za-z0-9]", ""), 1, k))
-    plain = lambda salt, k: F.substring(F.regexp_replace(b64(salt, 80), "[^A-Za-z0-9]", ""), 1, k)
-    digits = lambda salt, k: F.substring(F.regexp_replace(F.concat(hexes(salt, 64), hexes(salt + "+", 64)), "[^0-9]", ""), 1, k)
-    pick = lambda salt, *xs: F.element_at(F.array(*map(F.lit, xs)), F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(len(xs))).cast("int") + 1)
-    word = lambda salt: pick(salt, "release", "module", "table", "sample", "user", "phase", "server", "section", "document", "model", "node", "therein", "onedthe", "station")
-    prose = lambda salt: F.concat_ws(" ", *(pick(salt + str(i), "the", "of", "and", "der", "que", "ouen", "thered", "in", "une", "with") for i in range(5)))
-    letters = lambda salt, k: F.substring(F.regexp_replace(F.concat(b64(salt, 80), b64(salt + "+", 80)), "[^A-Za-z]", ""), 1, k)
-    noun = lambda salt: pick(salt, "correct", "horse", "battery", "staple", "river", "violin", "maple", "copper", "lantern", "orbit", "saddle", "pepper", "window", "glacier")
-    cue = lambda salt: F.concat(prose(salt), F.lit(" "), pick(salt, "password", "secret", "token", "pwd", "api_key"), pick(salt + "=", "=", ": ", " = "))
-    quote = pick("q", "", '"', "'")
-    # secrets: with a cue, or of a known form without one
+# What rule-made findings are put together from.
+NOUNS = "release module table sample user phase server section document model node therein onedthe station".split()
+PHRASE = "correct horse battery staple river violin maple copper lantern orbit saddle pepper window glacier".split()
+PROSE = "the of and der que ouen thered in une with".split()
+CUES = "password secret token pwd api_key".split()
+UNSAID = "required none null true false optional expired invalid reset missing see yes no enabled string forgotten unknown mandatory the below security hidden".split()
+REFERRED = "getpass() os.environ ${TOKEN} $PASSWORD {{token}} self.token config.secret input() request.headers get_token(user) https://host/login settings.KEY".split()
+DEMANDS = ("must be at least", "please enter the", "is not a", "your name and the", "can be reset with this")
+KNOWN_PREFIXES, LOOSE_PREFIXES = ("ghp_", "gho_", "sk_live_", "glpat-"), ("sk-", "npm_", "pypi-", "eyJ")
+UPPER, LOWER, DIGITS = string.ascii_uppercase, string.ascii_lowercase, string.digits
+
+
+def findings(spark: SparkSession, n: int = 2400, seed: int = 5) -> DataFrame:
+    """Labelled findings made by rule: candidate, before, after, path, label (1: a secret), held_out (a quarter, at random)."""
+    r = random.Random(seed)
+    some = lambda k, of: "".join(r.choices(of, k=k))
+    hexes = lambda k: some(k, DIGITS + "abcdef")
+    plain = lambda k: some(k, UPPER + LOWER + DIGITS)
+    prose = lambda: " ".join(r.choices(PROSE, k=5))
+    equals = lambda: r.choice(("=", ": ", " = "))
+    cue = lambda: f"{prose()} {r.choice(CUES)}{equals()}"
+    # each gives candidate, what stands before it, and its quotation mark or what stands after it
     yes = (
-        (upper("a", 16), "AKIA", prose("a"), " ", ""),
-        (hexes("b", 40), "", F.concat(prose("b"), F.lit(" "), pick("b", "token", "secret", "api_key", "auth_token"), pick("b2", " = ", "=", ": ")), quote, quote),
-        (hexes("c", 18), "", F.concat(prose("c"), F.lit(" "), pick("c", "password", "passwd", "pwd"), pick("c2", "=", ": ", " = ")), quote, quote),
-        (plain("d", 36), pick("d", "ghp_", "gho_", "sk_live_", "glpat-"), F.concat(prose("d"), pick("d2", " ", " = ", ": ")), "", ""),
-        (b64("e", 40), "", F.concat(F.lit("secret_access_key"), pick("e", " = ", "=", ": ")), quote, quote),
-        (plain("f", 12), "", F.concat(prose("f"), F.lit(" "), pick("f", "password", "secret", "token"), pick("f2", "=", ": ", " = ")), quote, quote),
-        (letters("o", 12), "", cue("o"), quote, quote),
-        (F.regexp_replace(F.concat_ws(" ", noun("p1"), noun("p2"), noun("p3"), noun("p4")), F.lit(" "), pick("p", " ", " ", "-")), "", cue("p"), '"', '"'),
-        (F.concat(plain("r", 3), pick("r", "!", "@", "#", "$", "%", "&"), pick("r1", "word", "home", "sun", "99", "x7"), pick("r2", "", "!", "1")), pick("r3", "", "p@", "S", "k"), cue("r"), quote, quote),
-        (F.when(F.col("id") % 4 < 2, F.upper(letters("s", 16))).otherwise(letters("s", 36)), F.when(F.col("id") % 4 < 2, "AKIA").otherwise(pick("s", "ghp_", "gho_", "sk_live_", "glpat-")), F.concat(prose("s"), F.lit(" ")), "", ""),
+        lambda q: ("AKIA" + some(16, UPPER + DIGITS), prose() + " ", ""),
+        lambda q: (hexes(40), f"{prose()} {r.choice(('token', 'secret', 'api_key', 'auth_token'))}{equals()}{q}", q),
+        lambda q: (hexes(18), f"{prose()} {r.choice(('password', 'passwd', 'pwd'))}{equals()}{q}", q),
+        lambda q: (r.choice(KNOWN_PREFIXES) + plain(36), prose() + r.choice((" ", " = ", ": ")), ""),
+        lambda q: (some(40, UPPER + LOWER + DIGITS + "+/"), f"secret_access_key{equals()}{q}", q),
+        lambda q: (plain(12), f"{prose()} {r.choice(('password', 'secret', 'token'))}{equals()}{q}", q),
+        lambda q: (some(12, UPPER + LOWER), cue() + q, q),
+        lambda q: (r.choice((" ", " ", "-")).join(r.choices(PHRASE, k=4)), cue() + '"', '"'),
+        lambda q: (r.choice(("", "k", "S", "p@")) + plain(3) + r.choice("!@#$%&") + r.choice(("word", "home", "sun", "99", "x7")) + r.choice(("", "!", "1")), cue() + q, q),
+        lambda q: (r.choice(("AKIA" + some(16, UPPER), r.choice(KNOWN_PREFIXES) + some(36, UPPER + LOWER))), prose() + " ", ""),
     )
-    # no secrets: digests, numbers, identifiers, placeholders, words
     no = (
-        (hexes("g", 40), "", F.concat(prose("g"), F.lit(" "), pick("g", "commit", "revision", "sha", "digest")), " ", ""),
-        (digits("h", 16), "", F.concat(prose("h"), pick("h", " ", " card ", " order ", " account ", " phone ", " item: ")), "", " "),
-        (F.concat_ws("-", hexes("i", 8), hexes("i1", 4), hexes("i2", 4), hexes("i3", 4), hexes("i4", 12)), "", F.concat(prose("i"), pick("i", " uuid ", " request ", " id=", " ")), "", ""),
-        (F.concat(word("j"), F.lit("_"), word("j1"), digits("j", 3)), "", F.concat(prose("j"), pick("j2", " ", " token ", " in ")), "", " "),
-        (F.concat(pick("k", "your_", "example_", "dummy-", "changeme", "test_", "XXXX"), pick("k1", "token", "password", "key", "secret"), F.lit("_1234")), "", F.concat(pick("k2", "password", "token", "api_key"), pick("k3", "=", ": ")), quote, quote),
-        (hexes("l", 32), "", F.concat(pick("l", "md5", "checksum", "etag", "hash"), pick("l1", ": ", "=", " ")), "", ""),
-        (F.concat(word("m"), F.lit("-"), digits("m", 1), F.lit("-"), digits("m1", 2), F.lit("-"), word("m2")), "", F.concat(prose("m"), pick("m3", " ", " version ", "/")), "", "/"),
-        (pick("t", "required", "none", "null", "true", "false", "optional", "expired", "invalid", "reset", "missing", "see", "yes", "no", "enabled", "string", "forgotten", "unknown", "mandatory", "the", "below", "security", "hidden"), "", cue("t"), pick("t1", "", "", '"'), pick("t1", "", "", '"')),
-        (pick("u", "getpass()", "os.environ", "${TOKEN}", "$PASSWORD", "{{token}}", "self.token", "config.secret", "input()", "request.headers", "get_token(user)", "https://host/login", "settings.KEY"), "", cue("u"), "", ""),
-        (F.concat_ws(" ", pick("v", "must be at least", "please enter the", "is not a", "your name and the", "can be reset with this"), noun("v1"), noun("v2")), "", cue("v"), '"', '"'),
-        (F.concat(pick("w", "sk-", "npm_", "pypi-", "eyJ"), word("w1"), pick("w2", "-", "_"), word("w3")), "", F.concat(prose("w"), F.lit(" ")), "", " "),
-        (hexes("n", 40), "", F.concat(prose("n"), F.lit(" "), pick("n", "token", "secret"), F.lit(" = ")), quote, quote),  # in test paths
+        lambda q: (hexes(40), f"{prose()} {r.choice(('commit', 'revision', 'sha', 'digest'))}", " "),
+        lambda q: (some(16, DIGITS), prose() + r.choice((" ", " card ", " order ", " account ", " phone ", " item: ")), " "),
+        lambda q: ("-".join(map(hexes, (8, 4, 4, 4, 12))), prose() + r.choice((" uuid ", " request ", " id=", " ")), ""),
+        lambda q: (f"{r.choice(NOUNS)}_{r.choice(NOUNS)}{some(3, DIGITS)}", prose() + r.choice((" ", " token ", " in ")), " "),
+        lambda q: (r.choice(("your_", "example_", "dummy-", "changeme", "test_", "XXXX")) + r.choice(("token", "password", "key", "secret")) + "_1234", f"{r.choice(CUES)}{equals()}{q}", q),
+        lambda q: (hexes(32), r.choice(("md5", "checksum", "etag", "hash")) + r.choice((": ", "=", " ")), ""),
+        lambda q: (f"{r.choice(NOUNS)}-{some(1, DIGITS)}-{some(2, DIGITS)}-{r.choice(NOUNS)}", prose() + r.choice((" ", " version ", "/")), "/"),
+        lambda q: (r.choice(UNSAID), cue() + q, q),
+        lambda q: (r.choice(REFERRED), cue(), ""),
+        lambda q: (f"{r.choice(DEMANDS)} {r.choice(PHRASE)} {r.choice(PHRASE)}", cue() + '"', '"'),
+        lambda q: (r.choice(LOOSE_PREFIXES) + r.choice(NOUNS) + r.choice("-_") + r.choice(NOUNS), prose() + " ", " "),
+        lambda q: (hexes(40), f"{prose()} {r.choice(('token', 'secret'))} = {q}", q),  # in test paths
     )
-    kind = F.pmod(F.col("id"), F.lit(len(yes) + len(no)))
-    cases = [F.struct(F.concat(F.lit(p), v).alias("candidate") if isinstance(p, str) else F.concat(p, v).alias("candidate"), F.concat(b, q if isinstance(q, Column) else F.lit(q)).alias("before"), (a if isinstance(a, Column) else F.lit(a)).alias("after"), F.lit("fixtures/mock.txt").alias("path") if k == len(no) - 1 + len(yes) else pick(f"p{k}", "src/app.py", "notes.md", "web", "src7").alias("path"), F.lit(int(k < len(yes))).alias("label")) for k, (v, p, b, q, a) in enumerate((*yes, *no))]
-    chosen = F.element_at(F.array(*cases), kind.cast("int") + 1)
-    return d.select(chosen.alias("x")).select("x.*")
+    rows = []
+    for k in range(n):
+        kind = k % (len(yes) + len(no))
+        candidate, before, after = (*yes, *no)[kind](r.choice(("", '"', "'")))
+        path = "fixtures/mock.txt" if kind == len(yes) + len(no) - 1 else r.choice(("src/app.py", "notes.md", "web", "src7"))
+        rows.append((candidate, before, after, path, int(kind < len(yes)), r.random() < 0.25))
+    return spark.createDataFrame(rows, "candidate string, before string, after string, path string, label int, held_out boolean")
 
 
 @dataclass(frozen=True)
 class Forest:
-    """Trees in flat arrays. A leaf has feature -1 and points to itself."""
+    """Trees in flat arrays, and the dictionary of the features. A leaf has feature -1 and points to itself."""
 
     feature: tuple[int, ...]
     bound: tuple[float, ...]
@@ -141,10 +184,12 @@ class Forest:
     value: tuple[float, ...]
     roots: tuple[int, ...]
     depth: int
+    dictionary: tuple[str, ...] = ()
 
     def probability(self, x: Column) -> Column:
         """Mean vote of the trees on an array of features, as an expression."""
-        lits = {k: F.lit(list(getattr(self, k))) for k in ("feature", "bound", "low", "high", "value")}
+        kinds = {"feature": "int", "bound": "double", "low": "int", "high": "int", "value": "double"}
+        lits = {k: _literal(getattr(self, k), kind) for k, kind in kinds.items()}
         at = lambda name, node: F.get(lits[name], node)
 
         def step(node: Column, _: Column) -> Column:
@@ -204,48 +249,55 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 16, depth: int = 7, seed: in
     return Forest(*(tuple(n[i] for n in nodes) for i in range(5)), tuple(roots), depth)
 
 
-def train(labelled: DataFrame, max_rows: int = 4000) -> Forest:
-    """A forest from a table of findings: candidate, before, after, path, label."""
+def described(labelled: DataFrame, dictionary: Sequence[str] = ()) -> DataFrame:
+    """x (features), y (label) of labelled findings; rows without a candidate or a label are left out."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = labelled.where("candidate is not null and label is not null").limit(max_rows)
-    got = rows.select(features(text("candidate"), text("before"), text("after"), text("path")).alias("x"), F.col("label").cast("double").alias("y")).collect()
+    rows = labelled.where("candidate is not null and label is not null")
+    return rows.select(features(text("candidate"), text("before"), text("after"), text("path"), dictionary).alias("x"), F.col("label").cast("double").alias("y"))
+
+
+def train(labelled: DataFrame, dictionary: Sequence[str] = (), max_rows: int = 4000) -> Forest:
+    """A forest from a table of findings: candidate, before, after, path, label and, if there is one, held_out."""
+    seen = labelled.where(~F.coalesce("held_out", F.lit(False))) if "held_out" in labelled.columns else labelled
+    key = F.xxhash64("candidate", "before", "after", "path", "label")
+    rows = seen.where("candidate is not null and label is not null").orderBy(key, "candidate", "before", "label").limit(max_rows)
+    got = described(rows, dictionary).collect()
     if not got:
         return Forest((-1,), (0.0,), (0,), (0,), (0.0,), (0,), 1)
-    return grow(np.array([r["x"] for r in got]), np.array([r["y"] for r in got]))
+    return replace(grow(np.array([r["x"] for r in got]), np.array([r["y"] for r in got])), dictionary=tuple(dictionary))
 
 
-def _found(text: Column, path: Column, forest: Forest, threshold: float) -> tuple[Column, Column]:
-    """The pieces between candidates; the candidates with a verdict."""
-    pieces = F.split(text, CANDIDATE, -1)
+def _found(text: Column, path: Column, forest: Forest, threshold: float, pieces: str) -> tuple[Column, Column]:
+    """The pieces between candidates, for a column of that name; the candidates with a verdict. Each step is bound, so nothing is computed twice."""
     runs = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-
-    def described(c: Column, k: Column) -> Column:
-        return F.struct(c.alias("c"), features(c, F.get(F.col("__pieces"), k), F.get(F.col("__pieces"), k + 1), path).alias("x"))
-
-    return pieces, F.transform(F.transform(runs, described), lambda r: F.struct(r["c"].alias("c"), forest.probability(r["x"]).alias("p"), (forest.probability(r["x"]) >= threshold).alias("secret")))
+    near = lambda k: F.get(F.col(pieces), k)
+    seen = F.transform(runs, lambda c, k: F.struct(c.alias("c"), features(c, near(k), near(k + 1), path, forest.dictionary).alias("x")))
+    judged = F.transform(seen, lambda r: F.struct(r["c"].alias("c"), forest.probability(r["x"]).alias("p")))
+    return F.split(text, CANDIDATE, -1), F.transform(judged, lambda r: F.struct(r["c"].alias("c"), r["p"].alias("p"), (r["p"] >= threshold).alias("secret")))
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, path_col: str | None, forest: Forest, threshold: float = 0.5) -> DataFrame:
     """id_col, n_candidates, n_secrets, spans (start:end of the secrets, comma-joined), redacted (the text with the secrets replaced)."""
     path = whole(F.col(path_col)) if path_col else F.lit("")
     src = docs.select(F.col(id_col).alias("__id"), whole(F.col(text_col)).alias("__text"), path.alias("__path"))
-    pieces, found = _found(F.col("__text"), F.col("__path"), forest, threshold)
+    pieces, found = _found(F.col("__text"), F.col("__path"), forest, threshold, "__pieces")
     d = src.withColumn("__pieces", pieces).withColumn("__found", found)
     lengths = F.zip_with(F.slice("__pieces", F.lit(1), F.size("__found")), F.col("__found"), lambda p, c: F.struct(F.length(p).alias("gap"), F.length(c["c"]).alias("size"), c["secret"].alias("secret")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
     walked = F.aggregate(lengths, start, lambda acc, r: F.struct((acc["at"] + r["gap"] + r["size"]).alias("at"), F.when(r["secret"], F.array_append(acc["spans"], F.concat_ws(":", (acc["at"] + r["gap"]).cast("string"), (acc["at"] + r["gap"] + r["size"]).cast("string")))).otherwise(acc["spans"]).alias("spans")))
-    return d.select(F.col("__id").alias(id_col), F.size("__found").cast("long").alias("n_candidates"), F.size(F.filter("__found", lambda r: r["secret"])).cast("long").alias("n_secrets"), F.array_join(walked["spans"], ",").alias("spans"), _joined().alias("redacted"))
+    return d.select(F.col("__id").alias(id_col), F.size("__found").cast("long").alias("n_candidates"), F.size(F.filter("__found", lambda r: r["secret"])).cast("long").alias("n_secrets"), F.array_join(walked["spans"], ",").alias("spans"), _joined("__pieces", "__found").alias("redacted"))
 
 
-def _joined() -> Column:
-    kept = F.transform("__found", lambda r, k: F.concat(F.get(F.col("__pieces"), k), F.when(r["secret"], F.lit(MARK)).otherwise(r["c"])))
-    return F.concat(F.array_join(kept, ""), F.element_at("__pieces", -1))
+def _joined(pieces: str, found: str) -> Column:
+    kept = F.transform(found, lambda r, k: F.concat(F.get(F.col(pieces), k), F.when(r["secret"], F.lit(MARK)).otherwise(r["c"])))
+    return F.concat(F.array_join(kept, ""), F.element_at(pieces, -1))
 
 
 def redact(docs: DataFrame, text_col: str, path_col: str | None, forest: Forest, threshold: float = 0.5) -> DataFrame:
     """docs, all columns, with secrets in the text replaced by a mark; a null text stays null."""
     path = whole(F.col(path_col)) if path_col else F.lit("")
-    pieces, found = _found(whole(F.col(text_col)), path, forest, threshold)
-    d = docs.withColumn("__pieces", pieces).withColumn("__found", found)
-    text = F.when(F.exists("__found", lambda r: r["secret"]), _joined()).otherwise(F.col(text_col))
-    return d.withColumn(text_col, text).drop("__pieces", "__found")
+    at, kept = unused(docs, 2)
+    pieces, found = _found(whole(F.col(text_col)), path, forest, threshold, at)
+    d = docs.withColumn(at, pieces).withColumn(kept, found)
+    text = F.when(F.exists(kept, lambda r: r["secret"]), _joined(at, kept)).otherwise(F.col(text_col))
+    return d.withColumn(text_col, text).drop(at, kept)

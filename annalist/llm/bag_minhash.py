@@ -28,8 +28,10 @@ family of edited copies goes back to. Then
 So a large group costs one comparison per member and band before step 3, and step 3 never holds more
 than two chunks in a task nor returns more rows than it has members.
 
-Every comparison that makes a link computes the multiset overlap of the shingles themselves. Pairs
-of similarity 0.8 share no band with probability (1 - 0.8 ** ROWS) ** BANDS < 4e-6.
+Every comparison that makes a link computes the multiset overlap of the shingles themselves. A link can be missed
+in two ways: pairs of similarity 0.8 share no band with probability (1 - 0.8 ** ROWS) ** BANDS < 4e-6, and signatures of
+such a pair agree in less than DOUBT of their registers with probability < 1e-9. A lead's pairs are salted by the
+size of their band value, so no lead is one join key.
 
 Defined results: null text = empty; texts without words are one class (all equal); repeated rows
 and ids: each row gets the class of its text, and rows that share an id get one class each by their text;
@@ -47,13 +49,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, ship, stable, whole
+from .common import mix64, ship, stable, unused, whole
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 24, 4, 0.8
 REGISTERS = BANDS * ROWS
 CHUNK, SLICE = 512, 96
 BROADCAST_ROWS = 1_000_000  # ids, 8 to 16 bytes each
-DOUBT = 0.58  # a pair whose signatures agree less is below 0.8 but for a chance under 1e-6
+DOUBT = 0.5  # a pair whose signatures agree less is below 0.8 but for a chance under 1e-9
+SALT = 4096  # pairs with one lead that a task compares
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,10 +199,13 @@ def _verify(batches):
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of representatives whose texts overlap enough."""
-    x = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-    x = x.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    return x.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary")
+    """a, b: the pairs of a lead and a member whose texts overlap enough. pairs: lead, rep, n (the size of a band value that they share)."""
+    parts = lambda n: F.ceil(n / SALT).cast("int")
+    x = pairs.join(texts.select("rep", F.col("text").alias("text_b")), "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), parts(F.col("n"))).cast("int"))
+    leads = pairs.groupBy("lead").agg(F.max("n").alias("n")).select("lead", F.explode(F.sequence(F.lit(0), parts(F.col("n")) - 1)).alias("salt"))
+    leads = leads.join(texts.select(F.col("rep").alias("lead"), F.col("text").alias("text_a")), "lead")
+    x = x.join(leads, ["lead", "salt"])
+    return x.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"), "text_a", "text_b").mapInArrow(_verify, "a binary, b binary")
 
 
 def components(edges: DataFrame, names: DataFrame) -> DataFrame:
@@ -290,7 +296,7 @@ def components_of(docs: DataFrame, id_col: str, text_col: str, signed: DataFrame
 
     high = F.struct("deg", F.xxhash64("rep").alias("h"))
     leads = members.groupBy("key").agg(F.max_by("rep", high).alias("lead"))
-    pairs = members.join(leads, "key").where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    pairs = members.join(leads, "key").where("rep <> lead").groupBy("lead", "rep").agg(F.max("n").alias("n"))
     links = stable(_linked(pairs, texts))
     comp = components(links, needed)
 
@@ -326,9 +332,10 @@ def keep_first(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     best = stable(placed.groupBy("comp").agg(F.min_by("first", F.struct(F.col("first.id").isNull(), "first")).alias("f")).select("f.k1", "f.k2"))
     gone = stable(signed.select("k1", "k2").join(best, ["k1", "k2"], "left_anti").distinct())
     few = gone.count() <= BROADCAST_ROWS
-    d = docs.withColumns({"__k1": F.xxhash64(F.col(id_col), whole(F.col(text_col))), "__k2": F.xxhash64(whole(F.col(text_col)), F.col(id_col), F.lit(1))})
-    out = gone.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-    d = d.join(F.broadcast(out) if few else out, ["__k1", "__k2"], "left_anti")
+    keys = unused(docs, 2)
+    d = docs.withColumns(dict(zip(keys, (F.xxhash64(F.col(id_col), whole(F.col(text_col))), F.xxhash64(whole(F.col(text_col)), F.col(id_col), F.lit(1))), strict=True)))
+    out = gone.toDF(*keys)
+    d = d.join(F.broadcast(out) if few else out, keys, "left_anti")
     if not signed.join(best, ["k1", "k2"], "left_semi").groupBy("k1", "k2").count().where("count > 1").isEmpty():
-        d = d.dropDuplicates(["__k1", "__k2"])
+        d = d.dropDuplicates(keys)
     return d.select(*[F.col(f"`{c}`") for c in docs.columns])

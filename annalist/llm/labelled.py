@@ -12,15 +12,18 @@ from .common import whole
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Callable[[Column], Column], max_rows: int) -> list[tuple[str, int]]:
-    """At most max_rows (text, label) pairs, the same for the same rows: those with the smallest hash of the id.
+    """At most max_rows (text, label) pairs, the same for the same rows: those with the smallest hash of the id, then of the text.
 
     usable: from the id's column, a condition. Null labels and null ids are left out. The ids are chosen before
-    any text is read, so what is broadcast and what comes to the driver is bounded by max_rows.
+    any text is read. Of rows that repeat a chosen id, executors keep the first max_rows too, so
+    what is broadcast and what comes to the driver is bounded by max_rows.
     """
     chosen = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where(F.col("__label").isNotNull() & F.col("__id").isNotNull())
     chosen = chosen.withColumn("__h", F.xxhash64(F.col("__id"), F.lit(7))).where(usable(F.col("__id"))).orderBy("__h", "__id", "__label").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("__id"), whole(F.col(text_col)).alias("__text")).join(F.broadcast(chosen), "__id").select("__h", "__text", "__label").collect()
-    return [(r["__text"], r["__label"]) for r in sorted(rows, key=lambda r: (r["__h"], r["__label"], r["__text"]))[: 2 * max_rows]]
+    rows = docs.select(F.col(id_col).alias("__id"), whole(F.col(text_col)).alias("__text")).join(F.broadcast(chosen), "__id")
+    order = ("__h", "__label", F.xxhash64("__text"), "__text")
+    # coalesced, so that the cut is made by a task: as the root of a plan it would be made by the driver, from max_rows of each partition
+    return [(r["__text"], r["__label"]) for r in rows.orderBy(*order).limit(max_rows).select("__text", "__label").coalesce(1).collect()]
 
 
 def platt(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:

@@ -1,13 +1,14 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of n-grams (3 to 6 bytes of the lower-cased text, white space runs as one
+Features are the presence of n-grams (3 to 6 characters of the lower-cased text, white space runs as one
 blank), hashed to 2**20 places. Per feature r = log of the smoothed ratio of its share among toxic
 and clean training texts; the input of the logistic regression is r where the n-gram is present. The
-regression is fitted with L2 regularisation on the most telling features; its weights times r
-are one sparse table of floats that scores a text in one pass.
+regression is fitted with L2 regularisation; its weights times r are one sparse table of floats that
+scores a text in one pass.
 
-Training uses a bounded sample (max_rows) of labelled rows. Whole texts are scored, whatever their
-length. Defined results: null text = empty; a text without a telling n-gram gets the score of the
+Bounds, all parameters: training uses max_rows labelled rows (those with the smallest hash of the id) and fits weights for the
+max_features features that tell most (by r over its standard error) among those that least_rows texts or more have. Whole texts
+are hashed, in training and in scoring, whatever their length. Defined results: null text = empty; a text without a telling n-gram gets the score of the
 intercept; repeated rows are scored row by row; an empty table gives no rows; without any labelled
 row, or with one class only, every score is the smoothed share of toxic labels.
 """
@@ -27,12 +28,12 @@ from .labelled import sample
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
-_blank = re.compile(rb"[\x00-\x20]+")
+_blank = re.compile(r"[\x00-\x20]+")
 
 
 def hashes(text: str) -> np.ndarray:
-    """The places of all n-grams of a text."""
-    b = np.frombuffer(b" " + _blank.sub(b" ", text.lower().encode()) + b" ", np.uint8).astype(np.uint64)
+    """The places of all n-grams of a text; a surrogate alone counts as a question mark."""
+    b = np.frombuffer(f" {_blank.sub(' ', text.lower())} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     h, out = b.copy(), []
     for n in range(2, max(SIZES) + 1):
         if len(b) < n:
@@ -43,7 +44,7 @@ def hashes(text: str) -> np.ndarray:
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
-def fit(pairs: list[tuple[str, int]], max_features: int = 6000, ridge: float = 0.02, steps: int = 150) -> tuple[np.ndarray, float]:
+def fit(pairs: list[tuple[str, int]], max_features: int = 6000, least_rows: int = 4, ridge: float = 0.02, steps: int = 150) -> tuple[np.ndarray, float]:
     """The weight of each place, and the intercept."""
     y = np.array([int(label == 1) for _, label in pairs], np.float64)
     weights = np.zeros(1 << BITS, np.float32)
@@ -56,7 +57,7 @@ def fit(pairs: list[tuple[str, int]], max_features: int = 6000, ridge: float = 0
     rp, rn = (pos + 0.5) / (y.sum() + 1), (neg + 0.5) / ((1 - y).sum() + 1)
     ratio = np.log(rp / rn)
     telling = ratio / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    telling[pos + neg < 4] = 0
+    telling[pos + neg < least_rows] = 0
     chosen = np.argsort(-np.abs(telling), kind="stable")[:max_features]
     chosen = np.sort(chosen[telling[chosen] != 0])
     column = np.full(1 << BITS, -1, np.int32)
@@ -89,12 +90,12 @@ def score(text: str, weights: np.ndarray, intercept: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(weights[np.unique(h)].sum(dtype=np.float64) + intercept, -30, 30))))
 
 
-def score_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable, max_rows: int = 8000) -> DataFrame:
+def score_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable, max_rows: int = 8000, max_features: int = 6000, least_rows: int = 4) -> DataFrame:
     """id_col and score (0 to 1) of every row of docs.
 
     usable: a function of the id column that says which labels may be learnt from.
     """
-    weights, intercept = fit(sample(docs, labels, id_col, text_col, label_col, usable, max_rows))
+    weights, intercept = fit(sample(docs, labels, id_col, text_col, label_col, usable, max_rows), max_features, least_rows)
     at = np.flatnonzero(weights)
     values = weights[at]
     held: dict[str, np.ndarray] = {}
@@ -110,9 +111,9 @@ def score_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     return map_rows(src, run, f"id {kind}, score double", ["score"]).withColumnRenamed("id", id_col)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable, threshold: float = 0.3, max_rows: int = 8000) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable, threshold: float = 0.3, max_rows: int = 8000, max_features: int = 6000, least_rows: int = 4) -> DataFrame:
     """The rows of docs, all columns, whose score is below the threshold."""
-    weights, intercept = fit(sample(docs, labels, id_col, text_col, label_col, usable, max_rows))
+    weights, intercept = fit(sample(docs, labels, id_col, text_col, label_col, usable, max_rows), max_features, least_rows)
     at = np.flatnonzero(weights)
     values = weights[at]
     held: dict[str, np.ndarray] = {}

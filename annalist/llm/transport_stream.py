@@ -5,11 +5,15 @@ into elementary packets (PES, private stream 1) of UNIT bytes, each with a prese
 RATE samples a second on the 90 kHz clock; every RAP_EVERY-th unit is a random-access point,
 announced by a packet with a clock reference and marked in the adaptation field.
 
-Reading. Packets are found by their sync bytes; tables are parsed and checked; per PID the
+Reading. Packets are found by their sync bytes, and where those are lost the next place is looked for that has one
+and another a packet later; tables are parsed and checked; per PID the
 continuity counters are checked, repeated packets skipped; elementary packets are reassembled and
 their time stamps and random-access points listed. Broken input does not raise: `errors` counts
 what was wrong, and what can be read is read.
 
+Columns. `encode_column` makes the media column; `probe_column` reads one and gives samples, time stamps, random-access
+points (stamp and packet) and counters as columns; `store_and_read` derives digests from both.
+
 Packets of a stream are handled as one numpy matrix. Defined results: an empty sample string is a
 stream of the two tables; null text = empty (the payload is then its padding); repeated rows are
 stored row by row; an empty table gives no rows; extra columns are ignored.
@@ -17,16 +21,17 @@ stored row by row; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import map_rows, whole
+from .common import map_rows, ship, whole
 
 PACKET, UNIT, RATE, RAP_EVERY = 188, 4032, 8000, 8
 PMT_PID, MEDIA_PID, PROGRAM, STREAM_TYPE, STREAM_ID = 0x100, 0x101, 1, 0x06, 0xBD
@@ -147,16 +152,38 @@ def _parse_section(packet: np.ndarray, table: int) -> bytes | None:
     return section[8:-4]
 
 
+def _packets(data: bytes) -> tuple[np.ndarray, int]:
+    """All packets as a matrix, and how often the sync was lost or bytes were left over.
+
+    A single wrong head is one broken packet. Where two in a row are wrong, bytes were lost or added in the packet
+    before: it is left out, and reading goes on at the next byte that begins three packets (or the last ones).
+    """
+    x = np.frombuffer(data, np.uint8)
+    head = x == 0x47
+    ahead = lambda k: np.concatenate([head[k:], np.ones(min(k, len(x)), bool)])
+    sync = np.flatnonzero(head & ahead(PACKET) & ahead(2 * PACKET))
+    sync = sync[sync + PACKET <= len(x)]
+    parts, at, lost = [], 0, 0
+    while at < len(x):
+        k = int(np.searchsorted(sync, at))
+        if k == len(sync):
+            lost += 1
+            break
+        start = int(sync[k])
+        lost += start != at
+        bad = ~head[start::PACKET]
+        gone = np.flatnonzero(bad & np.append(bad[1:], True))
+        n = max(1, int(gone[0]) - 1) if len(gone) else (len(x) - start) // PACKET
+        parts.append(x[start : start + n * PACKET].reshape(-1, PACKET))
+        at = start + n * PACKET
+    return np.concatenate(parts) if parts else np.zeros((0, PACKET), np.uint8), lost
+
+
 def demux(data: bytes) -> Stream:
     s = Stream()
-    start = data.find(b"\x47")
-    usable = (len(data) - start) // PACKET if start >= 0 else 0
-    s.errors += (start != 0) + ((len(data) - max(start, 0)) % PACKET != 0)
-    if not usable:
-        return s
-    m = np.frombuffer(data, np.uint8, usable * PACKET, start).reshape(-1, PACKET)
+    m, s.errors = _packets(data)
     good = (m[:, 0] == 0x47) & (m[:, 1] & 0x80 == 0)
-    s.errors += int((~good).sum())
+    s.errors += int((~good).sum()) + (not len(m))
     m = m[good]
     s.packets = len(m)
     pid = (m[:, 1].astype(np.int32) & 0x1F) << 8 | m[:, 2]
@@ -233,48 +260,66 @@ def payload_of(text: str, block: int = 192) -> tuple[bytes, int]:
     return raw.ljust(max(block, -(-len(raw) // block) * block), b" "), len(raw)
 
 
-def feature(s: Stream) -> str:
-    """What the stream shows when read: structure, timing and the samples' level."""
-    x = np.frombuffer(s.samples, np.uint8)
-    levels = np.bincount(x, minlength=256) if len(x) else np.zeros(256, np.int64)
-    total, square = int(levels @ np.arange(256)), int(levels @ (np.arange(256) ** 2))
-    raps = ",".join(f"{p}" for p, _ in s.random_access)
-    return f"packets={s.packets};units={len(s.stamps)};first={s.stamps[0] if s.stamps else -1};last={s.stamps[-1] if s.stamps else -1};raps={len(s.random_access)};rap_crc={zlib.crc32(raps.encode())};clocks={s.clocks};gaps={s.discontinuities};errors={s.errors};samples={len(x)};sum={total};square={square}"
-
-
 def encode_column(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id_col and media: the transport stream of each text's payload."""
+    """id_col, n_bytes (of the text as UTF-8) and media: the transport stream of each text's payload."""
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
-    return map_rows(src, lambda texts: [(mux(payload_of(t)[0]),) for t in texts], f"id {kind}, media binary", ["media"]).withColumnRenamed("id", id_col)
 
+    def run(texts: list[str]) -> list[tuple]:
+        return [(n, mux(payload)) for payload, n in map(payload_of, texts)]
 
-def probe_column(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """id_col and what a stream holds: packets, samples, stamps, random_access, discontinuities, errors. Null media = empty."""
-    kind = media.schema[id_col].dataType.simpleString()
+    return map_rows(src, run, f"id {kind}, n_bytes long, media binary", ["n_bytes", "media"]).withColumnRenamed("id", id_col)
 
-    def run(data: list) -> list[tuple]:
-        return [(s.packets, s.samples, s.stamps, [p for p, _ in s.random_access], s.discontinuities, s.errors) for s in (demux(x or b"") for x in data)]
 
-    src = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    names = ["packets", "samples", "stamps", "random_access", "discontinuities", "errors"]
-    return map_rows(src, run, f"id {kind}, packets long, samples binary, stamps array<long>, random_access array<long>, discontinuities long, errors long", names).withColumnRenamed("id", id_col)
+PROBED = {
+    "packets": "bigint", "samples": "binary", "stamps": "array<bigint>", "random_access": "array<struct<stamp:bigint,packet:bigint>>", "clocks": "bigint",
+    "programs": "bigint", "streams": "bigint", "discontinuities": "bigint", "duplicates": "bigint", "errors": "bigint", "level_sum": "bigint", "level_squares": "bigint",
+}
 
 
-def store_and_read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Digests of each text's payload, stored as a stream and read back from it."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def probe_column(media: DataFrame, media_col: str) -> DataFrame:
+    """media, all columns, and what each stream holds: those of PROBED, in place of columns so named. Null media = empty.
 
-    def run(texts: list[str]) -> list[tuple]:
-        out = []
-        for t in texts:
-            payload, n = payload_of(t)
-            media = mux(payload)
-            s = demux(media)
-            out.append((n, len(s.samples), hashlib.sha256(s.samples).hexdigest(), zlib.crc32(s.samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(s)))
-        return out
-
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = ["long", "long", "string", "long", "long", "string", "string"]
-    src = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
-    return map_rows(src, run, f"id {kind}, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), names).withColumnRenamed("id", id_col)
+    random_access: stamp and place among the stream's media packets. level_sum and level_squares: of the samples.
+    """
+    keep = [c for c in media.columns if c not in PROBED]
+    fields = [f for f in media.schema.fields if f.name in keep]
+    place = keep.index(media_col)
+    ship(media.sparkSession)
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.struct([("stamp", pa.int64()), ("packet", pa.int64())])), *[pa.int64()] * 8]
+
+    def row(data: bytes | None) -> tuple:
+        s = demux(data or b"")
+        levels = np.bincount(np.frombuffer(s.samples, np.uint8), minlength=256)
+        return s.packets, s.samples, s.stamps, [{"stamp": p, "packet": k} for p, k in s.random_access], s.clocks, len(s.programs), len(s.streams), s.discontinuities, s.duplicates, s.errors, int(levels @ np.arange(256)), int(levels @ np.arange(256) ** 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_batch in batches:
+            for at in range(0, len(whole_batch), 256):
+                b = whole_batch.slice(at, 256)
+                rows = [row(x) for x in b.column(place).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[*keep, *PROBED])
+
+    schema = StructType(fields + StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in PROBED.items())).fields)
+    return media.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
+
+
+def feature() -> Column:
+    """What a stream shows when read, from the columns of probe_column: structure, timing and the samples' level."""
+    raps = F.array_join(F.transform("random_access", lambda r: r["stamp"].cast("string")), ",")
+    parts = {
+        "packets": F.col("packets"), "units": F.size("stamps"), "first": F.coalesce(F.get("stamps", F.lit(0)), F.lit(-1)), "last": F.coalesce(F.get("stamps", F.size("stamps") - 1), F.lit(-1)),
+        "raps": F.size("random_access"), "rap_crc": F.crc32(raps), "clocks": F.col("clocks"), "gaps": F.col("discontinuities"), "errors": F.col("errors"),
+        "samples": F.octet_length("samples"), "sum": F.col("level_sum"), "square": F.col("level_squares"),
+    }
+    return F.concat_ws(";", *(F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in parts.items()))
+
+
+def store_and_read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Digests of each text's payload, stored as a stream in a media column and read back from it, with its stamps and random-access points."""
+    d = probe_column(encode_column(docs, id_col, text_col), "media")
+    tail = F.substring(F.col("samples"), F.greatest(F.octet_length("samples") - 15, F.lit(1)), F.lit(16))
+    return d.select(
+        id_col, "n_bytes", F.octet_length("samples").cast("bigint").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature().alias("feature"), "stamps", F.transform("random_access", lambda r: r["stamp"]).alias("random_access"),
+    )

@@ -1,6 +1,6 @@
 """MPEG transport streams as a media column: 8-bit samples in 188-byte packets.
 
-Writing. A program association table and a program map table (with CRC-32/MPEG-2) lead; samples go
+Writing. A program association table and a program map table (with CRC-32/MPEG-2) lead and come again before every random-access point; samples go
 into elementary packets (PES, private stream 1) of UNIT bytes, each with a presentation time stamp at
 RATE samples a second on the 90 kHz clock; every RAP_EVERY-th unit is a random-access point,
 announced by a packet with a clock reference and marked in the adaptation field.
@@ -63,13 +63,12 @@ def _section(table: int, number: int, body: bytes) -> bytes:
     return head + body + struct.pack(">I", crc32_mpeg(head + body))
 
 
-def _table_packet(pid: int, section: bytes) -> bytes:
-    return (struct.pack(">BHB", 0x47, 0x4000 | pid, 0x10) + b"\x00" + section).ljust(PACKET, b"\xff")
+_PAT = _section(0, 1, struct.pack(">HH", PROGRAM, 0xE000 | PMT_PID))
+_PMT = _section(2, PROGRAM, struct.pack(">HHBHH", 0xE000 | MEDIA_PID, 0xF000, STREAM_TYPE, 0xE000 | MEDIA_PID, 0xF006) + b"\x05\x04RAW8")
 
 
-TABLES = _table_packet(0, _section(0, 1, struct.pack(">HH", PROGRAM, 0xE000 | PMT_PID))) + _table_packet(
-    PMT_PID, _section(2, PROGRAM, struct.pack(">HHBHH", 0xE000 | MEDIA_PID, 0xF000, STREAM_TYPE, 0xE000 | MEDIA_PID, 0xF006) + b"\x05\x04RAW8")
-)
+def _tables(counter: int) -> bytes:
+    return b"".join((struct.pack(">BHB", 0x47, 0x4000 | pid, 0x10 | counter & 15) + b"\x00" + section).ljust(PACKET, b"\xff") for pid, section in ((0, _PAT), (PMT_PID, _PMT)))
 
 
 def _stamp(mark: int, pts: int) -> bytes:
@@ -87,10 +86,11 @@ def _clock(pts: int, counter: int) -> bytes:
 
 
 def mux(samples: bytes) -> bytes:
-    out, counter = [TABLES], -1
+    out, counter = [] if samples else [_tables(0)], -1
     for k, at in enumerate(range(0, len(samples), UNIT)):
         pts, rap = at * TICKS // RATE, k % RAP_EVERY == 0
         if rap:
+            out.append(_tables(k // RAP_EVERY))
             out.append(_clock(pts, counter & 15))
         pes = _pes(samples[at : at + UNIT], pts)
         first = 182

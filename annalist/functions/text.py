@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,35 +20,81 @@ STOP_WORDS = (
 ).split()
 
 # Phrase patterns of speech acts, with confidence.
-QUESTION_FORM = r"[?？]$|^(who|what|when|where|why|how|can|could|would|should|is|are|do|does|did)\b"
+QUESTION_FORM = (r"[?？]$", r"^(who|what|when|where|why|how|can|could|would|should|is|are|do|does|did)\b")
 SPEECH_ACTS = {
     "question": (0.99, QUESTION_FORM),
-    "request": (0.98, r"\b(i['’]?d|i would) like\b|\bplease\b|\b(can|could|would) you\b|\blet['’]?s\b|\bkeep going\b|\bcontinue\b"),
-    "constraint": (0.96, r"\bmust( not)?\b|\b(do not|don['’]?t|cannot|can['’]?t|should not|shouldn['’]?t)\b|\b(required|requirement|required to)\b|\b(limited|restricted) to\b|\bonly\b"),
-    "rejection": (0.97, r"\b(i do not|i don['’]?t) want\b|\b(remove|get rid of|reject|drop)\b|\b(does not|doesn['’]?t|is not|isn['’]?t) work\b|^(no|nope)\b|\brather than\b"),
-    "acceptance": (0.94, r"^(yes|yep|yeah|great|correct|exactly)\b|\b(that['’]?s right|looks good|go with|approved)\b"),
-    "proposal": (0.88, r"\bwe should\b|\b(could|might) be\b|\bi propose\b|\blet['’]?s\b|\bhow about\b"),
-    "decision": (0.93, r"\b(we decided|the decision is|we will use|we['’]?ll use|go with)\b|\buse .+ instead\b|\bshould be (the|our|a)\b"),
-    "status": (0.90, r"\b(merged|deployed|implemented|fixed|completed|done|working|broken|failing|failed)\b"),
-    "rationale": (0.86, r"^(because|since)\b|\bthe reason (is|was)\b|\bso that\b"),
-    "correction": (0.86, r"^(actually|rather|instead)\b|\bnot .+ but\b|\bi mean\b"),
+    "request": (0.98, (r"\b(i['’]?d|i would) like\b", r"\bplease\b", r"\b(can|could|would) you\b", r"\blet['’]?s\b", r"\bkeep going\b", r"\bcontinue\b")),
+    "constraint": (0.96, (r"\bmust( not)?\b", r"\b(do not|don['’]?t|cannot|can['’]?t|should not|shouldn['’]?t)\b", r"\b(required|requirement|required to)\b", r"\b(limited|restricted) to\b", r"\bonly\b")),
+    "rejection": (0.97, (r"\b(i do not|i don['’]?t) want\b", r"\b(remove|get rid of|reject|drop)\b", r"\b(does not|doesn['’]?t|is not|isn['’]?t) work\b", r"^(no|nope)\b", r"\brather than\b")),
+    "acceptance": (0.94, (r"^(yes|yep|yeah|great|correct|exactly)\b", r"\b(that['’]?s right|looks good|go with|approved)\b")),
+    "proposal": (0.88, (r"\bwe should\b", r"\b(could|might) be\b", r"\bi propose\b", r"\blet['’]?s\b", r"\bhow about\b")),
+    "decision": (0.93, (r"\b(we decided|the decision is|we will use|we['’]?ll use|go with)\b", r"\buse .+ instead\b", r"\bshould be (the|our|a)\b")),
+    "status": (0.90, (r"\b(merged|deployed|implemented|fixed|completed|done|working|broken|failing|failed)\b",)),
+    "rationale": (0.86, (r"^(because|since)\b", r"\bthe reason (is|was)\b", r"\bso that\b")),
+    "correction": (0.86, (r"^(actually|rather|instead)\b", r"\bnot .+ but\b", r"\bi mean\b")),
 }
 MODALITY = (
-    ("required", r"\b(must|required|needs? to|has to|have to)\b"),
-    ("desired", r"\b(i['’]?d like|i would like|want to|we should|should be)\b"),
-    ("possible", r"\b(could|might|may|possibly|perhaps)\b"),
-    ("future", r"\b(will|we['’]?ll|going to)\b"),
+    ("required", (r"\b(must|required|needs? to|has to|have to)\b",)),
+    ("desired", (r"\b(i['’]?d like|i would like|want to|we should|should be)\b",)),
+    ("possible", (r"\b(could|might|may|possibly|perhaps)\b",)),
+    ("future", (r"\b(will|we['’]?ll|going to)\b",)),
 )
-NEGATION = r"\b(not|no|never|cannot|can['’]?t|do not|don['’]?t|does not|doesn['’]?t|is not|isn['’]?t|must not)\b"
+NEGATION = (r"\b(not|no|never|cannot|can['’]?t|do not|don['’]?t|does not|doesn['’]?t|is not|isn['’]?t|must not)\b",)
 URL = r"https?://[^\s<>{}\[\]\"']+"
 
-WORD = r"[a-z0-9]+"
+WORD = r"[\p{L}\p{N}]+"
+KEYWORD = r"[\p{L}\p{N}][\p{L}\p{N}_-]*"
+
+
+def _unstable() -> str:
+    """A class of the characters that NFKC may change or join with the one before; of those beyond the first plane, all but pictographs."""
+    second = {d[1] for c in range(0x10000) if len(d := unicodedata.decomposition(chr(c)).split()) == 2 and not d[0].startswith("<")}
+    odd = [c for c in range(0x80, 0x10000) if not 0xD800 <= c <= 0xDFFF and (0x1160 <= c <= 0x11FF or unicodedata.combining(chr(c)) or f"{c:04X}" in second or not unicodedata.is_normalized("NFKC", chr(c)))]
+    ranges: list[list[int]] = []
+    for c in odd:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "\\x{10000}-\\x{1F2FF}\\x{1FB00}-\\x{10FFFF}]"
+
+
+UNSTABLE = _unstable()
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility composition (NFKC); null as empty. Texts without a character that it may change stay as they are, in the JVM.
+
+    Others are normalised in Arrow batches; texts that need nothing are sent there as null.
+    """
+
+    @F.pandas_udf("string")
+    def composed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    plain = F.coalesce(text, F.lit(""))
+    return F.coalesce(composed(F.when(plain.rlike(r"[^\x00-\x7F]") & plain.rlike(UNSTABLE), plain)), plain)
 
 
 def terms(text: Column, pattern: str = WORD) -> Column:
+    """Words of letters and digits of any script, lower case."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
 
 
+# Characters that a query's terms are made of, for code and for messages.
+CODE_QUERY, CHAT_QUERY = r"[A-Za-z0-9_./:-]+", r"[\w./:@-]+"
+
+
+def query_terms(query: str | None, pattern: str = CHAT_QUERY) -> list[str]:
+    """What a typed query asks for: its terms, any of which may match, each as the words that it holds in a row.
+
+    Only for code queries is the pattern ASCII; others are brought to NFKC first.
+    """
+    line = query or "" if pattern == CODE_QUERY else unicodedata.normalize("NFKC", query or "")
+    words = (re.findall(r"[^\W_]+", t.lower()) for t in re.findall(pattern, line))
+    return list(dict.fromkeys(" ".join(w) for w in words if w))
+
+
 def token_estimate(text: Column) -> Column:
     """A quarter of the UTF-8 bytes, rounded up, one at least."""
     return F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 4)).cast("long")
@@ -55,31 +102,18 @@ def token_estimate(text: Column) -> Column:
 
 def keywords(text: Column, most: int = 24) -> Column:
     """The first distinct words of two or more characters that are no stop words, in order."""
-    words = F.array_distinct(F.filter(terms(text, r"[a-z0-9][a-z0-9_.-]*[a-z0-9]"), lambda w: ~F.array_contains(F.lit(list(STOP_WORDS)), w)))
+    words = F.array_distinct(F.filter(terms(nfkc(text), KEYWORD), lambda w: (F.length(w) >= 2) & ~F.array_contains(F.lit(list(STOP_WORDS)), w)))
     return F.slice(words, 1, most)
 
 
-def _alternatives(pattern: str) -> list[str]:
-    """The parts of a pattern between the bars outside all brackets."""
-    out, depth, at, k = [], 0, 0, 0
-    while k < len(pattern):
-        c = pattern[k]
-        depth += (c in "([") - (c in ")]")
-        if c == "|" and depth == 0:
-            out.append(pattern[at:k])
-            at = k + 1
-        k += 2 if c == "\\" else 1
-    return [*out, pattern[at:]]
-
-
-def _holds(text: Column, pattern: str) -> Column:
+def _holds(text: Column, patterns: Sequence[str]) -> Column:
     r"""rlike with word boundaries between ASCII words, as the patterns mean them; Java's own depend on its version.
 
-    Alternatives that begin at a word (\b), at the front (^) or elsewhere are three searches: the first steps over word
+    Patterns that begin at a word (\b), at the front (^) or elsewhere are three searches: the first steps over word
     characters without trying a single alternative, and the second looks at one place only.
     """
     kinds: dict[str, list[str]] = {"word": [], "front": [], "other": []}
-    for p in _alternatives(pattern):
+    for p in patterns:
         kind, skip = ("word", 2) if p.startswith(r"\b") else ("front", 1) if p.startswith("^") else ("other", 0)
         kinds[kind].append(p[skip:].replace(r"\b", r"(?!\w)"))
     heads = {"word": (F.concat(F.lit(" "), text), r"\W"), "front": (text, "^"), "other": (text, "")}
@@ -88,19 +122,19 @@ def _holds(text: Column, pattern: str) -> Column:
 
 
 def modality(text: Column) -> Column:
-    low, out = F.lower(text), None
-    for name, pattern in MODALITY:
-        out = F.when(_holds(low, pattern), name) if out is None else out.when(_holds(low, pattern), name)
+    low, out = F.lower(nfkc(text)), None
+    for name, patterns in MODALITY:
+        out = F.when(_holds(low, patterns), name) if out is None else out.when(_holds(low, patterns), name)
     return out.otherwise("asserted")
 
 
 def polarity(text: Column) -> Column:
-    return F.when(_holds(F.lower(text), NEGATION), "negative").otherwise("positive")
+    return F.when(_holds(F.lower(nfkc(text)), NEGATION), "negative").otherwise("positive")
 
 
 def speech_acts(text: Column) -> Column:
     """All acts of a text as array<struct<kind,confidence>>."""
-    low = F.trim(F.lower(text))
+    low = F.trim(F.lower(nfkc(text)))
     return F.array_compact(F.array(*(F.when(_holds(low, p), F.struct(F.lit(k).alias("kind"), F.lit(c).alias("confidence"))) for k, (c, p) in SPEECH_ACTS.items())))
 
 

@@ -15,20 +15,30 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
 
 
 def transitions(log: DataFrame, entity: Sequence[str], order: Sequence[str], digest: str, path: str, deleted: str | None = None) -> DataFrame:
-    """log with kind: each observation against the revision that was inserted last.
+    """log with prior and kind: each observation against the revision (entity and digest) that was inserted last.
 
-    A revision is inserted the first time its digest occurs for the entity, so going back to an old
-    digest does not make it the prior one. Windows over the entity suffice: no state is kept by hand.
+    A revision is inserted the first time its digest occurs for the entity, so going back to an old digest does not
+    make it the prior one. moved compares with the path where the prior revision itself was seen last, and
+    resurrected means that the prior revision was deleted. A row that is marked as deleted says that the path is gone:
+    it ends the revision that was seen last at that path, which is its prior; where none was seen, kind is null.
+    Windows over the entity suffice: no state is kept by hand.
     """
     w = W.partitionBy(*entity).orderBy(*order)
-    first = F.row_number().over(W.partitionBy(*entity, digest).orderBy(*order)) == 1
-    d = log.withColumn("__first", first)
     past = w.rowsBetween(W.unboundedPreceding, -1)
-    d = d.withColumn("prior", F.last(F.when(F.col("__first"), F.col(digest)), ignorenulls=True).over(past)).withColumn("__path", F.last(path).over(past))
-    gone = F.coalesce(F.max(F.col(deleted).cast("int")).over(past), F.lit(0)) == 1 if deleted else F.lit(False)
-    kind = F.when(F.col("prior").isNull(), "introduced").when(gone, "resurrected").when(F.col("prior") != F.col(digest), "modified").when(~F.col("__path").eqNullSafe(F.col(path)), "moved").otherwise("unchanged")
-    kind = F.when(F.col(deleted), "deleted").otherwise(kind) if deleted else kind
-    return d.withColumn("kind", kind).drop("__first", "__path")
+    gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+    d = log.withColumn("__gone", gone).withColumn("__x", F.when(~F.col("__gone"), F.struct(F.col(digest).alias("digest"), F.col(path).alias("path"))))
+    first = (F.row_number().over(W.partitionBy(*entity, "__gone", digest).orderBy(*order)) == 1) & ~F.col("__gone")
+    here = F.last("__x.digest", ignorenulls=True).over(W.partitionBy(*entity, path).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    d = d.withColumn("__first", first).withColumn("__here", F.when(F.col("__gone"), here))
+    d = d.withColumn("__prior", F.last(F.when(F.col("__first"), F.col("__x")), ignorenulls=True).over(past)["digest"])
+    # what happened to the prior revision: where it was seen, and from when on it counts as deleted
+    seen = F.when(F.col("__first") | (~F.col("__gone") & F.col(digest).eqNullSafe(F.col("__prior"))), F.col("__x"))
+    ended = F.when(F.col("__first"), False).when(F.col("__gone") & (F.col("__here") == F.col("__prior")), True)
+    d = d.withColumn("__seen", F.last(seen, ignorenulls=True).over(past)["path"]).withColumn("__ended", F.coalesce(F.last(ended, ignorenulls=True).over(past), F.lit(False)))
+    prior = F.col("__prior")
+    kind = F.when(prior.isNull(), "introduced").when(F.col("__ended"), "resurrected").when(prior != F.col(digest), "modified").when(~F.col("__seen").eqNullSafe(F.col(path)), "moved").otherwise("unchanged")
+    d = d.withColumn("prior", F.when(F.col("__gone"), F.col("__here")).otherwise(prior)).withColumn("kind", F.when(~F.col("__gone"), kind).when(F.col("__here").isNotNull(), "deleted"))
+    return d.drop("__gone", "__x", "__first", "__here", "__prior", "__seen", "__ended")
 
 
 def merge_latest(a: DataFrame, b: DataFrame, key: str, time: str, tie: str) -> DataFrame:

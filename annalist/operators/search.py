@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,16 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalist.functions.text import count_of, terms
+from annalist.functions.text import count_of, query_terms, terms
 
 K1, B, FLOOR, RRF_K = 1.2, 0.75, 1e-6, 60
 
 
-def bm25(docs: DataFrame, keys: Sequence[str], text: Column, query: Sequence[str], limit: int | None = 20) -> DataFrame:
+def bm25(docs: DataFrame, keys: Sequence[str], text: Column, query: str | Sequence[str], limit: int | None = 20) -> DataFrame:
     """keys, score: the best documents for the query's terms or phrases (words joined by a space); ties by keys.
 
-    Nothing is exploded: frequencies are counted in each row, and one row of corpus statistics is joined back.
+    query: what somebody typed, or its terms as query_terms() gives them; one without terms finds nothing. Nothing is exploded: frequencies are counted in each row, and one row of corpus statistics is joined back.
     """
+    query = query_terms(query) if isinstance(query, str) else list(query)
+    if not query:
+        return docs.select(*keys, F.lit(0.0).alias("score")).where(F.lit(False))
     hits = [count_of(F.col("__t"), q).cast("double").alias(f"__f{i}") for i, q in enumerate(query)]
     d = docs.select(*keys, terms(text).alias("__t")).select(*keys, F.size("__t").cast("double").alias("__len"), *hits)
     stats = d.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *(F.sum((F.col(f"__f{i}") > 0).cast("long")).alias(f"__d{i}") for i in range(len(query))))
@@ -81,12 +86,16 @@ def normalized(v: Column) -> Column:
 def classify(vectors: DataFrame, key: str, vector: str, prototypes: DataFrame, label: str, threshold: float = 0.42, most: int = 4, bound: int = 10_000) -> DataFrame:
     """key, label, similarity: for each row its nearest prototypes (label, centroid) at or above threshold, most of them at best.
 
-    The prototypes become one broadcast row after their number has been checked against bound; then every row is
-    compared, cut and sorted in place, without a shuffle.
+    Up to bound prototypes become one broadcast row, and every row is compared, cut and sorted in place, without a
+    shuffle. More are dealt into blocks of bound: each row meets each block, and the best of all blocks are cut again.
     """
     n = prototypes.count()
     if n > bound:
-        raise ValueError(f"{n} prototypes exceed {bound}")
+        parts = math.ceil(n / bound)
+        dealt = prototypes.withColumn("__part", F.pmod(F.xxhash64(label), F.lit(parts)))
+        best = reduce(DataFrame.unionByName, (classify(vectors, key, vector, dealt.where(F.col("__part") == k).drop("__part"), label, threshold, most, n) for k in range(parts)))
+        w = W.partitionBy(key).orderBy(F.desc("similarity"), label)
+        return best.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= most).drop("__rn")
     one = prototypes.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), "centroid"))).alias("__p"))
     near = F.filter(F.transform("__p", lambda p: F.struct((-F.round(cosine(F.col(vector), p["centroid"]), 6)).alias("s"), p["label"].alias("label"))), lambda x: x["s"] <= -threshold)
     best = vectors.crossJoin(F.broadcast(one)).select(key, F.explode(F.slice(F.array_sort(near), 1, most)).alias("x"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df by checkpoint(), in the folder that spark.checkpoint.dir names; in one of our own only where none is named."""
+    """df by checkpoint(), in the shared folder that spark.checkpoint.dir names. A folder of our own is for one machine only."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder, and executors are not on this machine")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp())
     return df.checkpoint()

@@ -6,18 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalist.functions.text import STOP_WORDS, keywords
+from annalist.functions.text import STOP_WORDS, keywords, nfkc
 
 PER_CONTEXT = 24
 
-# Words that end a phrase, besides the stop words.
-BOUNDARY_WORDS = [*STOP_WORDS, *(
-    "got actually another better change changes current different example first going good great idea ideas look make making new one part "
-    "really same something stuff thing things think version way work working add adds added build builds built become becomes create creates "
-    "created keep keeps link links linked manage manages managed makes made provide provides provided store stores stored uses used"
-).split()]
+# Words that end a phrase, besides the stop words: generic ones, then verbs and their forms.
+GENERIC_WORDS = (
+    "actually another better change changes current different example first going good great idea ideas look make making new one part "
+    "really same something stuff thing things think version way work working"
+).split()
+BOUNDARY_VERBS = (
+    "add adds added build builds built become becomes create creates created keep keeps link links linked "
+    "manage manages managed make makes made provide provides provided store stores stored use uses used"
+).split()
+BOUNDARY_WORDS = list(dict.fromkeys(["got", *STOP_WORDS, *GENERIC_WORDS, *BOUNDARY_VERBS]))
 # Weights of references by kind, factors of facets.
-REFERENCE_WEIGHTS = {"project": 1.7, "repository": 1.6, "package": 1.35, "path": 1.3, "entity": 1.2, "url": 1.1}
+REFERENCE_WEIGHTS = {"project": 1.7, "repository": 1.6, "package": 1.35, "path": 1.3, "url": 1.1, "entity": 1.2}
 FACETS = {"decision": 1.35, "constraint": 1.30, "rejection": 1.25, "acceptance": 1.20, "proposal": 1.16, "request": 1.14, "correction": 1.12, "status": 1.10, "rationale": 1.08, "question": 1.05}
 PHRASES = 8
 
@@ -84,7 +88,7 @@ def phrases(text: Column) -> Column:
     Words are cut into segments at boundary words and at words below three characters. A single word of five or more
     is a keyword, two to four words are a phrase, and a longer segment gives its windows of four words.
     """
-    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}@/._-]+", " ")), " "), lambda w: w != "")
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(nfkc(text)), r"[^\p{L}\p{N}@/._-]+", " ")), " "), lambda w: w != "")
     ends = lambda w: (F.length(w) < 3) | F.array_contains(F.lit(list(BOUNDARY_WORDS)), w)
     line = F.array_join(F.transform(words, lambda w: F.when(ends(w), "|").otherwise(w)), " ")
     segments = F.filter(F.transform(F.split(line, r"\|"), lambda s: F.split(F.trim(s), " ")), lambda s: s[0] != "")

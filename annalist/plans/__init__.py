@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from annalist.plans import knowledge, queries, retrieval
+from annalist.plans import code, knowledge, queries, retrieval
 from annalist.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "knowledge", "queries", "retrieval"]
+__all__ = ["QUERIES", "SQL", "code", "knowledge", "queries", "retrieval"]

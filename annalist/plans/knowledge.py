@@ -22,7 +22,7 @@ def bm25_sql(source: str, keys: str, text: str, queries: Sequence[str], tail: st
 
     idf = lambda i: f"ln((n - d{i} + 0.5) / (d{i} + 0.5))"
     part = [f"(CASE WHEN {idf(i)} <= 0 THEN 1e-6 ELSE {idf(i)} END) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / av))" for i in range(len(queries))]
-    return f"""WITH x AS (SELECT {keys}, regexp_extract_all({text}, '[a-z0-9]+') AS t FROM {source}),
+    return f"""WITH x AS (SELECT {keys}, regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}]+') AS t FROM {source}),
     y AS (SELECT {keys}, len(t)::DOUBLE AS dl, {', '.join(f'{count(q)} AS f{i}' for i, q in enumerate(queries))} FROM x),
     s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS av, {', '.join(f'sum((f{i} > 0)::INT)::DOUBLE AS d{i}' for i in range(len(queries)))} FROM y)
     SELECT {keys}, round(CAST({' + '.join(part)} AS DOUBLE), 6) AS score FROM y, s WHERE {' OR '.join(f'f{i} > 0' for i in range(len(queries)))} {tail}"""
@@ -98,7 +98,7 @@ def phrase_topics(t):
     return t("conversations").select("conv_id", "turn", F.explode_outer(topics.phrases(F.col("text"))).alias("x")).where("x is not null").select("conv_id", "turn", "x.kind", "x.label", "x.weight")
 
 
-_FACTOR = "greatest(1.0::DOUBLE, " + ", ".join("CASE WHEN regexp_matches(trim(lower(text)), '" + T.SPEECH_ACTS[k][1].replace("'", "''") + f"') THEN {f}::DOUBLE ELSE 1.0 END" for k, f in topics.FACETS.items()) + ")"
+_FACTOR = "greatest(1.0::DOUBLE, " + ", ".join("CASE WHEN regexp_matches(trim(lower(text)), '" + '|'.join(T.SPEECH_ACTS[k][1]).replace("'", "''") + f"') THEN {f}::DOUBLE ELSE 1.0 END" for k, f in topics.FACETS.items()) + ")"
 
 
 @query(f"WITH {_PHRASE_TOPICS} SELECT label AS topic, count(*)::BIGINT AS df, round(max(weight * {_FACTOR}), 6) AS heaviest FROM k GROUP BY 1")
@@ -240,7 +240,7 @@ def constraint_violations(t):
 
 
 _SPLIT = r"""SELECT conv_id, turn, trim(s, E' \t') AS s FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(regexp_replace(regexp_replace(text, '([.?!]["''’”)\]}」』】》]*)\s', E'\\1\n', 'g'), '([。？！]["''’”)\]}」』】》]*)', E'\\1\n', 'g'), '[\r\n]+')) AS s FROM conversations) WHERE trim(s, E' \t') <> ''"""
-_ACTS = " UNION ALL ".join(f"SELECT '{text_graph.ACT_LAYER[k]}' AS layer, '{k}' AS kind FROM s WHERE regexp_matches(s, '[\\p{{L}}\\p{{N}}]') AND regexp_matches(lower(s), '" + p.replace("'", "''") + "')" for k, (_, p) in T.SPEECH_ACTS.items())
+_ACTS = " UNION ALL ".join(f"SELECT '{text_graph.ACT_LAYER[k]}' AS layer, '{k}' AS kind FROM s WHERE regexp_matches(s, '[\\p{{L}}\\p{{N}}]') AND regexp_matches(lower(s), '" + "|".join(p).replace("'", "''") + "')" for k, (_, p) in T.SPEECH_ACTS.items())
 
 
 @query(rf"""WITH s AS ({_SPLIT}), n AS (SELECT 'source' AS layer, 'message' AS kind FROM conversations UNION ALL SELECT 'source', 'sentence' FROM s

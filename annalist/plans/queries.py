@@ -17,7 +17,7 @@ def _bm25_sql(source: str, keys: str, limit: str) -> str:
     idf = lambda i: f"ln((n - d{i} + 0.5) / (d{i} + 0.5))"
     part = [f"(CASE WHEN {idf(i)} <= 0 THEN 1e-6 ELSE {idf(i)} END) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / av))" for i in range(len(TERMS))]
     return f"""
-    WITH x AS (SELECT {keys}, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM {source}),
+    WITH x AS (SELECT {keys}, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM {source}),
     y AS (SELECT {keys}, len(t)::DOUBLE AS dl, {', '.join(f)} FROM x),
     s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS av, {', '.join(f'sum((f{i} > 0)::INT)::DOUBLE AS d{i}' for i in range(len(TERMS)))} FROM y)
     SELECT {keys}, round(CAST({' + '.join(part)} AS DOUBLE), 6) AS score FROM y, s WHERE {' OR '.join(f'f{i} > 0' for i in range(len(TERMS)))} {limit}"""
@@ -80,7 +80,7 @@ def token_budget_pack(t):
     return context.pack(c, "conv_id", ["turn"], "cost", 600, ["turn"])
 
 
-_KEYWORDS = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9_.-]*[a-z0-9]'), lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "], x))"
+_KEYWORDS = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}][\\p{L}\\p{N}_-]*'), lambda x: length(x) >= 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "], x))"
 _FIRST = f"SELECT conv_id, turn, w, min(i) AS i FROM (SELECT conv_id, turn, unnest({_KEYWORDS}) AS w, generate_subscripts({_KEYWORDS}, 1) AS i FROM conversations) GROUP BY 1, 2, 3"
 _KEPT = f"SELECT conv_id, turn, w, i FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS k FROM ({_FIRST})) WHERE k <= 24"
 
@@ -124,12 +124,12 @@ def _duck(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, count(*)::BIGINT AS n, max(CAST({c} AS DOUBLE)) AS confidence FROM conversations WHERE regexp_matches(trim(lower(text)), '{_duck(p)}') HAVING count(*) > 0" for k, (c, p) in T.SPEECH_ACTS.items()))
+@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, count(*)::BIGINT AS n, max(CAST({c} AS DOUBLE)) AS confidence FROM conversations WHERE regexp_matches(trim(lower(text)), '{_duck('|'.join(p))}') HAVING count(*) > 0" for k, (c, p) in T.SPEECH_ACTS.items()))
 def speech_act_histogram(t):
     return t("conversations").select(F.explode_outer(T.speech_acts(F.col("text"))).alias("a")).where("a is not null").groupBy("a.kind").agg(F.count("*").alias("n"), F.max("a.confidence").cast("double").alias("confidence"))
 
 
-@query("SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{_duck(p)}') THEN '{k}'" for k, p in T.MODALITY) + f" ELSE 'asserted' END AS modality, CASE WHEN regexp_matches(lower(text), '{_duck(T.NEGATION)}') THEN 'negative' ELSE 'positive' END AS polarity, count(*)::BIGINT AS n FROM conversations GROUP BY 1, 2")
+@query("SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{_duck('|'.join(p))}') THEN '{k}'" for k, p in T.MODALITY) + f" ELSE 'asserted' END AS modality, CASE WHEN regexp_matches(lower(text), '{_duck('|'.join(T.NEGATION))}') THEN 'negative' ELSE 'positive' END AS polarity, count(*)::BIGINT AS n FROM conversations GROUP BY 1, 2")
 def modality_polarity(t):
     return t("conversations").groupBy(T.modality(F.col("text")).alias("modality"), T.polarity(F.col("text")).alias("polarity")).agg(F.count("*").alias("n"))
 
@@ -169,7 +169,7 @@ def label_centroids(t):
     return c.select("label", F.posexplode("centroid").alias("pos", "v")).select("label", "pos", F.round("v", 6).alias("mean"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_brand, p_size, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS w FROM part)
+@query("""WITH p AS (SELECT p_partkey, p_brand, p_size, list_distinct(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) AS w FROM part)
     SELECT a.p_partkey AS a, b.p_partkey AS b, round(CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))), 6) AS score
     FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w)) * 2 >= len(list_distinct(list_concat(a.w, b.w)))""")
 def lineage_candidates(t):
@@ -185,14 +185,32 @@ def _log(t):
     return t("events").select("event_id", "ts", "user_id", "event_type", F.floor(F.col("value") / 20).cast("long").cast("string").alias("digest"), F.get_json_object("props", "$.k").alias("path"))
 
 
-@query(f"""WITH l AS ({_LOG}), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, digest ORDER BY ts, event_id) = 1 AS ins FROM l),
-    p AS (SELECT *, last_value(CASE WHEN ins THEN digest END IGNORE NULLS) OVER w AS prior, last_value(path) OVER w AS before FROM f
-        WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT event_id, prior, CASE WHEN prior IS NULL THEN 'introduced' WHEN prior <> digest THEN 'modified' WHEN before IS DISTINCT FROM path THEN 'moved' ELSE 'unchanged' END AS kind FROM p""")
+# Observations are numbered within their entity; an insertion is the first row of a digest, the prior revision the latest insertion before a
+# row. Its last path and its deletions are looked up by joins on its digest, so nothing is carried along.
+_TRANSITIONS = """,
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM l),
+    live AS (SELECT * FROM n WHERE NOT gone),
+    ins AS (SELECT user_id, event_type, digest, min(i) AS i FROM live GROUP BY ALL),
+    p AS (SELECT n.*, ins.digest AS prior FROM n ASOF LEFT JOIN ins ON n.user_id = ins.user_id AND n.event_type = ins.event_type AND n.i > ins.i),
+    was AS (SELECT p.event_id, max(struct_pack(i := x.i, path := x.path)).path AS path FROM p JOIN live x ON p.user_id = x.user_id AND p.event_type = x.event_type AND p.prior = x.digest AND x.i < p.i GROUP BY 1),
+    dead AS (SELECT g.user_id, g.event_type, x.digest, g.i, g.event_id FROM n g ASOF JOIN live x ON g.user_id = x.user_id AND g.event_type = x.event_type AND g.path = x.path AND g.i > x.i WHERE g.gone),
+    ends AS (SELECT DISTINCT p.event_id FROM p JOIN dead d ON p.user_id = d.user_id AND p.event_type = d.event_type AND p.prior = d.digest AND d.i < p.i)
+    SELECT p.event_id, CASE WHEN gone THEN d.digest ELSE prior END AS prior, CASE WHEN gone THEN CASE WHEN d.digest IS NOT NULL THEN 'deleted' END WHEN prior IS NULL THEN 'introduced' WHEN p.event_id IN (FROM ends) THEN 'resurrected'
+        WHEN prior <> p.digest THEN 'modified' WHEN was.path IS DISTINCT FROM p.path THEN 'moved' ELSE 'unchanged' END AS kind
+    FROM p LEFT JOIN was ON was.event_id = p.event_id LEFT JOIN dead d ON d.event_id = p.event_id"""
+
+
+@query(f"WITH l AS (SELECT *, false AS gone FROM ({_LOG})){_TRANSITIONS}")
 def transitions(t):
     return history.transitions(_log(t), ["user_id", "event_type"], ["ts", "event_id"], "digest", "path").select("event_id", "prior", "kind")
 
 
+@query(f"WITH l AS (SELECT *, event_id % 5 = 2 AS gone FROM ({_LOG})){_TRANSITIONS}")
+def transitions_with_deletions(t):
+    log = _log(t).withColumn("gone", F.col("event_id") % 5 == 2)
+    return history.transitions(log, ["user_id", "event_type"], ["ts", "event_id"], "digest", "path", "gone").select("event_id", "prior", "kind")
+
+
 @query(f"""WITH l AS ({_LOG}) SELECT event_id, CASE WHEN lag(digest) OVER w IS NULL THEN 'introduced' WHEN lag(digest) OVER w <> digest THEN 'modified' ELSE 'unchanged' END AS kind
     FROM l WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
 def transitions_lag(t):

@@ -13,7 +13,7 @@ _Q = "[" + ", ".join(f"'{t}'" for t in TERMS) + "]"
 
 
 @query(rf"""WITH x AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' '), lambda v: v <> '') AS w FROM documents),
-    h AS (SELECT doc_id, w, list_transform(w, lambda v: list_filter({_Q}, lambda q: list_contains(regexp_extract_all(lower(v), '[a-z0-9]+'), q))) AS hs FROM x),
+    h AS (SELECT doc_id, w, list_transform(w, lambda v: list_filter({_Q}, lambda q: list_contains(regexp_extract_all(lower(v), '[\p{{L}}\p{{N}}]+'), q))) AS hs FROM x),
     s AS (SELECT doc_id, w, hs, list_transform(range(1, len(hs) + 1), lambda i: CASE WHEN len(hs[i]) > 0 THEN len(list_distinct(flatten(hs[i:i + 17]))) ELSE 0 END) AS n FROM h),
     b AS (SELECT doc_id, w, hs, greatest(0, least(CASE WHEN coalesce(list_max(n), 0) > 0 THEN list_position(n, list_max(n)) - 1 ELSE 0 END, len(w) - 18)) AS st FROM s)
     SELECT doc_id, (CASE WHEN st > 0 THEN '… ' ELSE '' END) || array_to_string(list_transform(range(st + 1, least(st + 18, len(w)) + 1), lambda i: CASE WHEN len(hs[i]) > 0 THEN '[' || w[i] || ']' ELSE w[i] END), ' ') || (CASE WHEN st + 18 < len(w) THEN ' …' ELSE '' END) AS snippet FROM b""")

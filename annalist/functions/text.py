@@ -200,7 +200,12 @@ def count_of(tokens: Column, phrase: str) -> Column:
 
 def truncated(text: Column, tokens: int, suffix: str = "…") -> Column:
     """The text if its estimate is at most tokens, else its longest prefix of whole characters that leaves room for suffix, and suffix."""
-    room = 4 * tokens - len(suffix.encode())
+    return truncated_bytes(text, 4 * tokens, suffix)
+
+
+def truncated_bytes(text: Column, most: int, suffix: str = "…") -> Column:
+    """The text if it has at most so many UTF-8 bytes, else its longest prefix of whole characters that leaves room for suffix, and suffix."""
+    room = max(0, most - len(suffix.encode()))
     raw = text.cast("binary")
 
     def inner(i: int) -> Column:  # is byte i (from 1) inside a character?
@@ -208,7 +213,7 @@ def truncated(text: Column, tokens: int, suffix: str = "…") -> Column:
 
     cut = F.when(~inner(room + 1), room).when(~inner(room), room - 1).when(~inner(room - 1), room - 2).otherwise(room - 3)
     short = F.concat(F.substring(raw, F.lit(1), F.greatest(F.lit(0), cut)).cast("string"), F.lit(suffix))
-    return F.when(F.octet_length(text) <= 4 * tokens, text).otherwise(short)
+    return F.when(F.octet_length(text) <= most, text).otherwise(short)
 
 
 def windows(text: Column, size: int = 16 << 10, overlap: int = 1 << 10) -> Column:

@@ -20,12 +20,14 @@ def current(observations: DataFrame, source: str | None = None) -> DataFrame:
     return latest(o, ["message"], [F.desc_nulls_last("observed"), F.desc("seq")])
 
 
-def search_messages(revisions: DataFrame, observations: DataFrame, query: Sequence[str], limit: int = 20, role: str | None = None, since: Column | None = None, until: Column | None = None, source: str | None = None, historical: bool = False) -> DataFrame:
+def search_messages(revisions: DataFrame, observations: DataFrame, query: str | Sequence[str], limit: int = 20, role: str | None = None, since: Column | None = None, until: Column | None = None, source: str | None = None, historical: bool = False) -> DataFrame:
     """The best messages: message, revision, conversation, score.
 
     revisions: revision, text. observations: message, revision, conversation, source, role, created, observed, seq.
     Candidates are cut before the filters, as the model says: filters can leave fewer rows than limit.
     """
+    if since is not None and until is not None and observations.sparkSession.range(1).select((since > until).alias("x")).first()["x"]:
+        raise ValueError("since is later than until")
     limit = max(1, min(500, limit))
     n = min(5000, max(8 * limit, 80) if historical else max(30 * limit, 300))
     hits = bm25(revisions, ["revision"], F.col("text"), query, n)
@@ -78,23 +80,38 @@ def snapshot(observations: DataFrame, source: str | None = None) -> DataFrame:
 def markdown(messages: DataFrame, query: str, budget: int) -> DataFrame:
     """One row, markdown: a bundle of messages with numbered citations and where they are from.
 
-    messages: conversation, title, rank (of the conversation), position, role, text, message, revision, tokens. They are
-    what fits in a budget, so one task numbers and joins them.
+    messages: conversation, title, rank (of the conversation), position, role, text, message, revision, tokens. Taken in order
+    while their tokens fit in the budget. A message has one token at least, so no more than budget
+    of them are read in order, and one task numbers and joins what fits.
     """
-    w = W.orderBy("rank", "conversation", "position", "message")
-    m = messages.withColumn("cite", F.concat(F.lit("H"), F.row_number().over(w)))
-    said = F.concat(F.lit("### ["), "cite", F.lit("] "), F.initcap("role"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
-    source = F.concat(F.lit("- ["), "cite", F.lit("] message `"), F.col("message"), F.lit("`; revision `"), F.col("revision"), F.lit("`"))
-    item = m.select("rank", "conversation", "title", "position", "message", "tokens", said.alias("said"), source.alias("source"))
-    each = item.groupBy("rank", "conversation").agg(F.min("title").alias("title"), F.array_sort(F.collect_list(F.struct("position", "message", "said", "source"))).alias("m"), F.sum("tokens").alias("tokens"))
-    part = F.concat(F.lit("## "), F.coalesce("title", F.lit("Untitled conversation")), F.lit("\n\n"), F.array_join(F.transform("m", lambda x: x["said"]), "\n\n"))
-    all_ = each.select("rank", "conversation", part.alias("part"), F.array_join(F.transform("m", lambda x: x["source"]), "\n").alias("sources"), F.size("m").alias("n"), "tokens")
-    one = all_.agg(F.array_sort(F.collect_list(F.struct("rank", "conversation", "part", "sources"))).alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    order = ["rank", "conversation", "position", "message"]
+    w = W.orderBy(*order)
+    m = messages.orderBy(*order).limit(budget).withColumn("cite", F.concat(F.lit("H"), F.row_number().over(w)))
+    m = m.withColumn("__spent", F.sum(F.greatest(F.col("tokens"), F.lit(1))).over(w)).where(F.col("__spent") <= budget)
+    each = _conversations(m, ["rank", "conversation"])
+    one = each.agg(F.array_sort(F.collect_list(F.struct("rank", "conversation", "part", "sources"))).alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     head = F.concat(F.lit(f"# Context bundle\n\n- Query: {query}\n- Messages: "), "n", F.lit("\n- Conversations: "), F.size("c"), F.lit("\n- Estimated tokens: "), "tokens", F.lit(f" / {budget}\n\n"))
     body = F.when(F.size("c") == 0, "No matching conversation context was found.").otherwise(F.array_join(F.transform("c", lambda x: x["part"]), "\n\n"))
     return one.select(F.concat(head, body, F.lit("\n\n## Provenance\n\n"), F.array_join(F.transform("c", lambda x: x["sources"]), "\n"), F.lit("\n")).alias("markdown"))
 
 
+def _conversations(cited: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, part (the conversation's text), sources, n, tokens. cited: messages with cite."""
+    said = F.concat(F.lit("### ["), "cite", F.lit("] "), F.initcap("role"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    source = F.concat(F.lit("- ["), "cite", F.lit("] message `"), F.col("message"), F.lit("`; revision `"), F.col("revision"), F.lit("`"))
+    item = cited.select(*keys, "title", "position", "message", "tokens", said.alias("said"), source.alias("source"))
+    each = item.groupBy(*keys).agg(F.min("title").alias("title"), F.array_sort(F.collect_list(F.struct("position", "message", "said", "source"))).alias("m"), F.sum("tokens").alias("tokens"))
+    part = F.concat(F.lit("## "), F.coalesce("title", F.lit("Untitled conversation")), F.lit("\n\n"), F.array_join(F.transform("m", lambda x: x["said"]), "\n\n"))
+    return each.select(*keys, part.alias("part"), F.array_join(F.transform("m", lambda x: x["source"]), "\n").alias("sources"), F.size("m").alias("n"), "tokens")
+
+
+def transcripts(messages: DataFrame) -> DataFrame:
+    """conversation, markdown of every conversation: its messages, cited from H1 on, and where they are from. messages: as for markdown."""
+    w = W.partitionBy("conversation").orderBy("position", "message")
+    each = _conversations(messages.withColumn("cite", F.concat(F.lit("H"), F.row_number().over(w))), ["conversation"])
+    return each.select("conversation", F.concat("part", F.lit("\n\n## Provenance\n\n"), "sources", F.lit("\n")).alias("markdown"))
+
+
 def checkpoint_status(checkpoints: DataFrame, commits: DataFrame, ancestors: DataFrame, shallow: bool = False) -> DataFrame:
     """ref, status of each checkpoint (ref, oid): empty, checkpoint-missing, blocked-shallow, ready or ref-rewritten.
 

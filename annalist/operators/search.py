@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -150,6 +151,56 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: DataFrame, thresho
     return d.orderBy(F.desc("strength"), key).limit(limit)
 
 
+def nearest_rows(vectors: DataFrame, key: str, vector: str, queries: DataFrame, limit: int = 10, block: int = 4096) -> DataFrame:
+    """query, neighbour, similarity, place: for each row of queries the rows of vectors nearest by cosine, itself among them; ties by key.
+
+    Queries (key, vector) come in blocks: each block is read once, goes to all tasks, and is multiplied with the vectors in
+    Arrow batches; a task sends its best limit rows of each query, never all pairs. A zero vector, or one of another
+    length, has similarity 0. Null vectors are left out.
+    """
+    kind = vectors.schema[key].dataType.simpleString()
+    ids = queries.where(F.col(vector).isNotNull())
+    parts = max(1, math.ceil(ids.count() / block))
+    dealt = ids.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"))
+    out = None
+    for part in range(parts):
+        asked = dealt.where(F.col("part") == part).select("k", "v").collect()
+        by_size: dict[int, list] = {}
+        for r in asked:
+            by_size.setdefault(len(r["v"]), []).append((r["k"], r["v"]))
+        held = {n: ([k for k, _ in rows], _unit(np.array([v for _, v in rows], np.float64))) for n, rows in by_size.items()}
+        every = [r["k"] for r in asked]
+
+        def best(batches, held=held, every=every):
+            found: dict = {q: [] for q in every}
+            for b in batches:
+                keys, rows = b.column(0).to_pylist(), b.column(1).to_pylist()
+                near = {q: np.zeros(len(keys)) for q in every}
+                for n, (names, unit) in held.items():
+                    at = [i for i, v in enumerate(rows) if len(v) == n]
+                    if at:
+                        for q, line in zip(names, unit @ _unit(np.array([rows[i] for i in at], np.float64)).T, strict=True):
+                            near[q][at] = line
+                for q, line in near.items():
+                    s = np.round(line, 6) + 0.0
+                    order = np.argpartition(-s, limit - 1)[:limit] if len(s) > limit else np.arange(len(s))
+                    edge = s[order].min()
+                    found[q] = sorted(found[q] + [(-s[i], keys[i]) for i in np.flatnonzero(s >= edge)])[:limit]
+            rows = [(q, k, -s) for q, top in found.items() for s, k in top]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["query", "neighbour", "similarity"])
+
+        found = vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(best, f"query {kind}, neighbour {kind}, similarity double")
+        out = found if out is None else out.unionByName(found)
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
+    return out.withColumn("place", place.cast("long")).where(F.col("place") <= limit)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+
+
 def with_evidence(hits: DataFrame, key: str, parts: dict[str, tuple[DataFrame, Sequence[str], int]]) -> DataFrame:
     """hits with an array column for each part: name -> (rows with the key, order, most), the first rows of each key in order.
 

@@ -76,13 +76,6 @@ def allowed_urls(t):
     return t("pages").select("page_id", T.clean_url(u, ["chat.example.com"]).alias("clean"))
 
 
-@query(None)
-def sentence_spans(t):
-    """Byte ranges; tests hold them against the bytes."""
-    s = t("conversations").select("conv_id", "turn", F.posexplode(T.spans(F.col("text"))).alias("ordinal", "s"))
-    return s.select("conv_id", "turn", "ordinal", F.col("s.start").alias("start_byte"), F.col("s.end").alias("end_byte"), "s.text")
-
-
 _BOUNDARY = "[" + ", ".join(f"'{w}'" for w in topics.BOUNDARY_WORDS) + "]"
 _PHRASE_TOPICS = rf"""w AS (SELECT conv_id, turn, text, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}@/._-]+', ' ', 'g')), ' '), lambda x: x <> '') AS l FROM conversations),
     g AS (SELECT conv_id, turn, text, list_filter(list_transform(string_split(array_to_string(list_transform(l, lambda x: CASE WHEN length(x) < 3 OR list_contains({_BOUNDARY}, x) THEN '|' ELSE x END), ' '), '|'), lambda x: string_split(trim(x), ' ')), lambda x: x[1] <> '') AS gs FROM w),
@@ -207,10 +200,10 @@ def insert_or_ignore(t):
 
 
 @query("""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN b.st ELSE coalesce(b.st, a.o_orderstatus) END AS o_orderstatus, CASE WHEN a.o_orderkey IS NULL THEN b.pr ELSE a.o_totalprice END AS o_totalprice
-    FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN 'X' END AS st, o_totalprice * 2 AS pr FROM orders WHERE o_orderkey % 2 = 0) b ON a.o_orderkey = b.o_orderkey""")
+    FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN 'X' END AS st, o_totalprice * 2 AS pr FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) b ON a.o_orderkey = b.o_orderkey""")
 def selective_upsert(t):
     o = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    new = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, "X").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
+    new = o.where("o_orderkey % 2 = 0 or o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, "X").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
     return history.merge_columns(o.where("o_orderkey % 3 <> 0"), new, ["o_orderkey"], ["o_orderstatus"])
 
 

@@ -328,11 +328,6 @@ def chat_search_current(t):
     return chat.search_messages(c.select("revision", "text"), c.drop("text"), TERMS, 20, role="assistant")
 
 
-@query(None)
-def context_bundle(t):
-    return chat.context_bundle(t("conversations").select("conv_id", "turn", "text"), TERMS)
-
-
 @query(None)
 def context_document(t):
     return chat.context_document(t("conversations").select("conv_id", "turn", "role", "text"), TERMS)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
-from annalist.operators import chat, graph, history, search, topics
-from annalist.plans.queries import TERMS
+from annalist.operators import chat, graph, history, projections, search, text_graph, topics
+from annalist.plans.knowledge import _SPLIT
+from annalist.plans.queries import _MENTIONS, TERMS, _bm25_sql
 from annalist.plans.registry import query
+from annalist.sources import archives, tables
 
 _Q = "[" + ", ".join(f"'{t}'" for t in TERMS) + "]"
 
@@ -60,15 +62,13 @@ def blended_search(t):
     return search.blended(found, seeds, topics.related(seeds, chain), e.select("vec_id", F.col("embedding").alias("vector"), F.array("label").alias("labels")), one, "vec_id")
 
 
-@query("""WITH m AS (SELECT conv_id, turn, role, text, greatest(1, ceil(strlen(text) / 4.0))::BIGINT AS tokens, 'H' || row_number() OVER (ORDER BY conv_id, turn) AS cite, sha256(text) AS rev FROM conversations WHERE conv_id < 3),
-    c AS (SELECT conv_id, '## Conversation ' || conv_id || chr(10) || chr(10) || string_agg('### [' || cite || '] ' || upper(left(role, 1)) || substr(role, 2) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS part,
-        string_agg('- [' || cite || '] message `' || conv_id || ':' || turn || '`; revision `' || rev || '`', chr(10) ORDER BY turn) AS src, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM m GROUP BY 1)
-    SELECT '# Context bundle' || chr(10) || chr(10) || '- Query: all' || chr(10) || '- Messages: ' || sum(n)::BIGINT || chr(10) || '- Conversations: ' || count(*) || chr(10) || '- Estimated tokens: ' || sum(tokens)::BIGINT || ' / 12000' || chr(10) || chr(10)
-        || string_agg(part, chr(10) || chr(10) ORDER BY conv_id) || chr(10) || chr(10) || '## Provenance' || chr(10) || chr(10) || string_agg(src, chr(10) ORDER BY conv_id) || chr(10) AS markdown FROM c""")
+@query("""WITH m AS (SELECT conv_id, turn, role, text, 'H' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS cite, sha256(text) AS rev FROM conversations)
+    SELECT conv_id AS conversation, '## Conversation ' || conv_id || chr(10) || chr(10) || string_agg('### [' || cite || '] ' || upper(left(role, 1)) || substr(role, 2) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) || '## Provenance' || chr(10) || chr(10)
+        || string_agg('- [' || cite || '] message `' || conv_id || ':' || turn || '`; revision `' || rev || '`', chr(10) ORDER BY turn) || chr(10) AS markdown FROM m GROUP BY conv_id""")
 def context_markdown(t):
-    m = t("conversations").where("conv_id < 3")
-    m = m.select(F.col("conv_id").alias("conversation"), F.concat(F.lit("Conversation "), "conv_id").alias("title"), F.col("conv_id").alias("rank"), F.col("turn").alias("position"), "role", "text", F.concat_ws(":", "conv_id", "turn").alias("message"), F.sha2("text", 256).alias("revision"), T.token_estimate(F.col("text")).alias("tokens"))
-    return chat.markdown(m, "all", 12000)
+    m = t("conversations")
+    m = m.select(F.col("conv_id").alias("conversation"), F.concat(F.lit("Conversation "), "conv_id").alias("title"), F.col("turn").alias("position"), "role", "text", F.concat_ws(":", "conv_id", "turn").alias("message"), F.sha2("text", 256).alias("revision"), T.token_estimate(F.col("text")).alias("tokens"))
+    return chat.transcripts(m)
 
 
 @query("""SELECT 'c' || c_custkey AS ref, CASE WHEN last IS NULL THEN 'empty' WHEN last % 7 = 0 THEN 'checkpoint-missing' WHEN last % 5 = 0 THEN 'ref-rewritten' ELSE 'ready' END AS status
@@ -135,3 +135,128 @@ def conversation_snapshot(t):
     c = t("conversations").select("conv_id", "turn", F.col("conv_id").alias("conversation"), F.concat_ws(":", "conv_id", F.lpad(F.col("turn").cast("string"), 9, "0")).alias("message"), F.lit("main").alias("source"), F.lit(None).cast("timestamp").alias("created"), F.when(F.col("turn") % 3 != 1, F.col("turn")).alias("active_position"))
     seen = c.withColumn("observed", F.lit("1")).withColumn("seq", F.lit(1)).unionByName(c.withColumn("observed", F.lit("0")).withColumn("seq", F.lit(2)).withColumn("active_position", F.lit(0).cast("long")))
     return chat.snapshot(seen).select("conv_id", "turn", "ordinal")
+
+
+_HITS = _bm25_sql("conversations", "conv_id, turn", "ORDER BY score DESC, conv_id, turn LIMIT 96")
+
+
+@query(f"""WITH RECURSIVE h AS ({_HITS}), b AS (SELECT conv_id, max(score) AS top FROM h GROUP BY 1 ORDER BY top DESC, conv_id LIMIT 8),
+    n AS (SELECT c.conv_id, c.turn, min(abs(c.turn - h.turn))::BIGINT AS priority, any_value(greatest(1, ceil(strlen(c.text) / 4.0))::BIGINT + 18) AS cost FROM conversations c JOIN b USING (conv_id) JOIN h ON h.conv_id = c.conv_id AND abs(c.turn - h.turn) <= 2 GROUP BY 1, 2),
+    k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY priority, turn) AS k FROM n),
+    w AS (SELECT conv_id, turn, priority, k, CASE WHEN cost <= 1500 THEN cost ELSE 0 END AS used, cost <= 1500 AS taken FROM k WHERE k = 1
+        UNION ALL SELECT k.conv_id, k.turn, k.priority, k.k, CASE WHEN w.used + k.cost <= 1500 THEN w.used + k.cost ELSE w.used END, w.used + k.cost <= 1500 FROM w JOIN k ON k.conv_id = w.conv_id AND k.k = w.k + 1)
+    SELECT conv_id, turn, priority, used::BIGINT AS used FROM w WHERE taken""")
+def context_bundle(t):
+    return chat.context_bundle(t("conversations").select("conv_id", "turn", "text"), TERMS)
+
+
+@query(f"""WITH l AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({_bm25_sql('documents', 'doc_id', 'ORDER BY score DESC, doc_id LIMIT 50')})),
+    d AS (SELECT vec_id AS id, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM (SELECT e.vec_id, round({_cos('e.embedding', 'q.embedding')}, 6) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q ORDER BY s DESC, e.vec_id LIMIT 50))
+    SELECT id, round(CAST(sum(1.0 / (60 + rank)) AS DOUBLE), 6) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM d) GROUP BY 1 ORDER BY score DESC, id LIMIT 50""")
+def hybrid_search(t):
+    hits = search.bm25(t("documents"), ["doc_id"], F.col("text"), TERMS, 50).withColumnRenamed("doc_id", "id")
+    e = t("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    near = search.nearest(e, "id", "embedding", e.where("id = 3").select(F.col("embedding").alias("vector")), -1.0, 50)
+    return search.hybrid(search.ranked(hits, [F.desc("score"), F.col("id")], 50), search.ranked(near, [F.desc("strength"), F.col("id")], 50), "id", 50)
+
+
+@query(f"""WITH m AS ({_MENTIONS}), d AS (SELECT topic, count(*) AS df FROM m GROUP BY 1),
+    x AS (SELECT topic, topic = 'heathe' AS exact, len(list_filter(['heath', 'erthe', 'that'], lambda q: contains(topic, q))) AS shared, df FROM d),
+    r AS (SELECT *, row_number() OVER (ORDER BY exact DESC, shared DESC, df DESC, topic) AS r FROM x WHERE exact OR shared > 0)
+    SELECT topic, round(CAST((CASE WHEN exact THEN 1.2 ELSE 1.0 END) / log2(r + 1.0) AS DOUBLE), 6) AS strength FROM r WHERE r <= 8""")
+def topic_search(t):
+    stats = topics.mentions(t("conversations"), "conv_id", "text").groupBy("topic").agg(F.count("*").alias("df"))
+    shared = sum((F.col("topic").contains(q).cast("int") for q in ("heath", "erthe", "that")), F.lit(0))
+    return topics.find(stats, shared, "heathe")
+
+
+@query(rf"""WITH s AS ({_SPLIT}) SELECT 'semantic' AS layer, 'proposition' AS kind, count(*)::BIGINT AS n FROM s WHERE regexp_matches(s, '[\p{{L}}\p{{N}}]') HAVING count(*) > 0
+    UNION ALL SELECT 'reference', 'url', count(*)::BIGINT FROM (SELECT DISTINCT conv_id, turn, regexp_replace(unnest(regexp_extract_all(s, 'https?://[^\s<>{{}}\[\]"'']+')), '[.,;:!?)]+$', '') AS u FROM s) HAVING count(*) > 0
+    UNION ALL SELECT 'reference', 'path', count(*)::BIGINT FROM (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(s, '(^|[\s`''"(])((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]{{1,12}})', 2)) AS u FROM s) HAVING count(*) > 0""")
+def text_graph_concepts(t):
+    c = t("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    found, _ = text_graph.project(text_graph.nodes(c, "id", "text"), text_graph.edges(c, "id", "text"), "concepts")
+    return found.groupBy("layer", "kind").agg(F.count("*").alias("n"))
+
+
+_CLOSE = T.CLOSERS.replace("'", "''")
+
+
+@query(rf"""WITH p AS (SELECT conv_id, turn, unnest(x) AS p, generate_subscripts(x, 1) AS i FROM (SELECT conv_id, turn, string_split(regexp_replace(regexp_replace(regexp_replace(text, '([.?!]{_CLOSE})(\s)', E'\\1\x01\\2', 'g'), '([。？！]{_CLOSE})', E'\\1\x01', 'g'), '([
+])', E'\x01\\1\x01', 'g'), E'\x01') AS x FROM conversations)),
+    o AS (SELECT *, coalesce(sum(strlen(p)) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + strlen(p) - strlen(regexp_replace(p, '^\s+', '')) AS a, regexp_replace(regexp_replace(p, '^\s+', ''), '\s+$', '') AS text FROM p)
+    SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1)::INT AS ordinal, a::BIGINT AS start_byte, (a + strlen(text))::BIGINT AS end_byte, text FROM o WHERE text <> ''""")
+def sentence_spans(t):
+    s = t("conversations").select("conv_id", "turn", F.posexplode(T.spans(F.col("text"))).alias("ordinal", "s"))
+    return s.select("conv_id", "turn", "ordinal", F.col("s.start").alias("start_byte"), F.col("s.end").alias("end_byte"), "s.text")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN strlen(text) <= 200 THEN text ELSE left(text, list_max(list_filter(range(0, 198), lambda n: strlen(left(text, n)) <= 197))) || '…' END AS short FROM conversations""")
+def truncated_to_bytes(t):
+    return t("conversations").select("conv_id", "turn", T.truncated_bytes(F.col("text"), 200).alias("short"))
+
+
+@query("SELECT event_id, '{\"a\":' || event_id || ',\"b\":[1,{\"x\":null,\"y\":\"é\"}],\"k\":' || json_extract_string(props, '$.k') || '}' AS canonical FROM events")
+def canonical_properties(t):
+    loose = F.concat(F.lit('{ "k": '), F.get_json_object("props", "$.k"), F.lit(', "b": [1, {"y": "é", "x": null}], "a" : '), "event_id", F.lit("}"))
+    return t("events").select("event_id", projections.canonical_json(loose).alias("canonical"))
+
+
+@query("""SELECT user_id, event_type, max(value) AS value, string_agg(DISTINCT k, ' ' ORDER BY k) AS keys FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events) GROUP BY ALL""")
+def merged_mentions(t):
+    e = t("events").select("user_id", "event_type", "value", F.array(F.get_json_object("props", "$.k")).alias("keys"))
+    return projections.merged_mentions(e, ["user_id", "event_type"], "value", ["keys"]).withColumn("keys", F.array_join("keys", " "))
+
+
+@query("""SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderkey % 5 > 0)""")
+def changed_digests(t):
+    o = t("orders").select("o_orderkey", "o_orderstatus")
+    stored = o.where("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderstatus")).alias("o_orderstatus"))
+    return projections.pending(o, stored, "o_orderkey", "o_orderstatus")
+
+
+@query("""SELECT 'r' || c_custkey AS ref, CASE WHEN c_custkey % 4 = 0 THEN 'missing' ELSE 'rewritten' END AS reason FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS oid FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey % 4 = 0 OR oid % 6 = 1""")
+def rewritten_refs(t):
+    o = t("orders").select(F.concat(F.lit("r"), "o_custkey").alias("ref"), F.col("o_orderkey").alias("oid"))
+    c = t("customer").select(F.concat(F.lit("r"), "c_custkey").alias("ref"), "c_custkey")
+    at = c.select("ref").join(o.groupBy("ref").agg(F.max("oid").alias("oid")), "ref", "left")
+    return projections.resets(at, c.where("c_custkey % 4 <> 0"), o.where("oid % 6 <> 1"))
+
+
+@query("""SELECT user_id, (n <> k OR user_id % 3 = 0) AS stale FROM (SELECT user_id, count(*) AS n, count(*) FILTER (event_id % 50 > 0) AS k FROM events GROUP BY 1)""")
+def stale_projections(t):
+    e = t("events")
+    now = e.groupBy("user_id").agg(F.count("*").alias("graphs"), F.lit("f1").alias("fingerprint"))
+    was = e.where("event_id % 50 > 0 and user_id % 3 > 0").groupBy("user_id").agg(F.count("*").alias("graphs"), F.lit("f1").alias("fingerprint"))
+    return projections.stale(was, now, "user_id", ["graphs", "fingerprint"])
+
+
+_PATH = "CASE page_id % 7 WHEN 0 THEN 'sources/a/' || page_id || '/source.json' WHEN 1 THEN 'imports/x/' || page_id || '.json' WHEN 2 THEN 'conversations/' || page_id || '/h/manifest.json' WHEN 3 THEN '/abs/' || page_id WHEN 4 THEN 'a' || chr(92) || '..' || chr(92) || page_id WHEN 5 THEN 'sources/' || page_id || '/source.json' ELSE 'C:/' || page_id END"
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 7 IN (3, 6) THEN 'absolute' WHEN page_id % 7 = 4 THEN 'upward' END AS fault, page_id % 7 <= 2 AS relevant FROM (SELECT page_id, {_PATH} AS path FROM pages)""")
+def archive_entries(t):
+    p = t("pages").select("page_id", F.expr(_PATH.replace("chr(92)", "char(92)")).alias("path"))
+    return p.select("page_id", archives.entry_fault(F.col("path")).alias("fault"), archives.relevant(F.col("path")).alias("relevant"))
+
+
+@query("""SELECT conv_id AS conversation, count(*)::BIGINT AS messages, string_agg(role, ' ' ORDER BY turn) AS roles, sha256(string_agg(text, chr(10) ORDER BY turn)) AS texts FROM conversations GROUP BY 1""")
+def export_messages(t):
+    """Conversations written as an export would hold them, read as its records, and their messages along the active path."""
+    node = F.struct(F.col("turn").cast("string").alias("id"), F.when(F.col("turn") > 0, (F.col("turn") - 1).cast("string")).alias("parent"), F.struct(F.col("turn").cast("string").alias("id"), F.struct(F.col("role").alias("role"), F.lit(None).cast("string").alias("name")).alias("author"), (F.col("turn") + 1e9).alias("create_time"), F.struct(F.lit("text").alias("content_type"), F.array("text").alias("parts")).alias("content")).alias("message"))
+    c = t("conversations").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string"), node))).alias("mapping"), F.max("turn").cast("string").alias("current_node"))
+    one = F.to_json(F.struct(F.col("conv_id").cast("string").alias("conversation_id"), F.lit(1.0).alias("update_time"), "current_node", "mapping"))
+    text = F.when(F.col("conv_id") % 3 == 0, one).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("["), one, F.lit("]"))).otherwise(F.concat(F.lit('{"conversations": ['), one, F.lit("]}")))
+    records = archives.latest_conversations(archives.payloads(c.select(F.concat(F.lit("f"), "conv_id").alias("path"), text.alias("text"))))
+    m = tables.chat_messages(records).withColumn("turn", F.col("node").cast("long"))
+    line = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    return m.groupBy(F.col("conversation").cast("long").alias("conversation")).agg(F.count("*").alias("messages"), F.array_join(F.transform(line, lambda x: x["role"]), " ").alias("roles"), F.sha2(F.array_join(F.transform(line, lambda x: x["text"]), "\n"), 256).alias("texts"))
+
+
+_QUERIED = "SELECT q.vec_id AS query, e.vec_id AS neighbour, round(CAST({} AS DOUBLE), 6) AS similarity FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q".format(_cos("e.embedding", "q.embedding"))
+
+
+@query(f"SELECT query, similarity, place FROM (SELECT query, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour) AS place FROM ({_QUERIED})) WHERE place <= 10")
+def nearest_of_queries(t):
+    e = t("embeddings")
+    return search.nearest_rows(e, "vec_id", "embedding", e.where("vec_id % 50 = 0"), 10).select("query", "similarity", "place")

@@ -31,8 +31,52 @@ def bm25(docs: DataFrame, keys: Sequence[str], text: Column, query: str | Sequen
     d = docs.select(*keys, terms(text).alias("__t")).select(*keys, F.size("__t").cast("double").alias("__len"), *hits)
     stats = d.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *(F.sum((F.col(f"__f{i}") > 0).cast("long")).alias(f"__d{i}") for i in range(len(query))))
     d = d.where(" or ".join(f"__f{i} > 0" for i in range(len(query)))).crossJoin(F.broadcast(stats))
+    return _scored(d, keys, len(query), limit)
+
+
+def postings(docs: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
+    """An inverted index: term, keys, tf, places (of the term among the document's), size (terms of the document). Made once and stored by
+    term, it serves every query: a search reads the rows of the query's terms only.
+    """
+    d = docs.select(*keys, terms(text).alias("__t")).select(*keys, F.size("__t").alias("size"), F.posexplode_outer("__t").alias("place", "term")).where("term is not null")
+    return d.groupBy("term", *keys).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"), F.first("size").alias("size"))
+
+
+def corpus_size(docs: DataFrame, text: Column) -> DataFrame:
+    """One row, documents and mean_size, which is kept beside postings; documents without terms count."""
+    return docs.select(F.size(terms(text)).alias("size")).agg(F.count("*").alias("documents"), F.avg("size").alias("mean_size"))
+
+
+def bm25_indexed(index: DataFrame, corpus: DataFrame, keys: Sequence[str], query: str | Sequence[str], limit: int | None = 20) -> DataFrame:
+    """The result of bm25 from postings and corpus_size. A phrase is found where its words' places follow each other."""
+    wanted = query_terms(query) if isinstance(query, str) else list(query)
+    words = sorted({w for q in wanted for w in q.split(" ")})
+    rows = index.where(F.col("term").isin(words) if words else F.lit(False))
+    held = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("__m"), F.first("size").cast("double").alias("__len"))
+
+    def count(q: str) -> Column:
+        none = F.array().cast("array<int>")
+        at = [F.coalesce(F.try_element_at("__m", F.lit(w)), none) for w in q.split(" ")]
+        out = at[0]
+        for k, places in enumerate(at[1:], 1):
+            out = F.array_intersect(out, _moved(places, k))
+        return F.size(out).cast("double")
+
+    d = held.select(*keys, "__len", *(count(q).alias(f"__f{i}") for i, q in enumerate(wanted)))
+    if not wanted:
+        return d.select(*keys, F.lit(0.0).alias("score"))
+    d = d.where(" or ".join(f"__f{i} > 0" for i in range(len(wanted))))
+    stats = d.agg(*(F.sum((F.col(f"__f{i}") > 0).cast("long")).alias(f"__d{i}") for i in range(len(wanted)))).crossJoin(corpus.select(F.col("documents").alias("__n"), F.col("mean_size").alias("__avg")))
+    return _scored(d.crossJoin(F.broadcast(stats)), keys, len(wanted), limit)
+
+
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda p: p - by)
+
+
+def _scored(d: DataFrame, keys: Sequence[str], n_terms: int, limit: int | None) -> DataFrame:
     score = F.lit(0.0)
-    for i in range(len(query)):
+    for i in range(n_terms):
         n, f = F.col(f"__d{i}"), F.col(f"__f{i}")
         idf = F.log((F.col("__n") - n + 0.5) / (n + 0.5))
         idf = F.when(idf <= 0, FLOOR).otherwise(idf)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annalist.operators import code_history as C
 from annalist.operators import lineage, search
+from annalist.plans.knowledge import bm25_sql
 from annalist.plans.queries import _TRANSITIONS
 from annalist.plans.registry import query
 
@@ -172,11 +173,38 @@ def _commit_text(t):
     return C.commit_documents(_commits(t).drop("repository"), paths, moved, symbols)
 
 
-@query(None)
+_COMMIT_TEXT = f"""(WITH {_O}, {_T}, x AS (SELECT commit, 0 AS k, seq AS id, 'M  ' || path AS part FROM o UNION ALL SELECT o.commit, 1, t.id, sym.qn FROM t JOIN o ON o.seq = t.id JOIN sym ON sym.lid = t.lid)
+    SELECT commit, lower(any_value(message) || ' ' || string_agg(part, ' ' ORDER BY k, id, part)) AS text FROM x JOIN com USING (commit) GROUP BY commit)"""
+_REVISION_TEXT = f"(WITH {_O} SELECT rid, lower(qn || ' ' || kind || ' python ' || (SELECT arg_max(path, seq) FROM loc l WHERE l.rid = rev.rid)) AS text FROM rev JOIN sym USING (lid))"
+
+
+@query(bm25_sql(_COMMIT_TEXT, "commit", "text", ("fix", "pkg m7"), "ORDER BY score DESC, commit LIMIT 20"))
 def code_commit_search(t):
     return search.bm25(_commit_text(t), ["commit"], F.col("content"), "fix pkg.m7", 20)
 
 
+def _revision_text(t):
+    s = _seen(t)
+    path = C.locations(s).groupBy("revision_id").agg(F.max_by("path", "seq").alias("path"))
+    return C.revisions(s).join(C.logical_symbols(s), "logical_id").join(path, "revision_id").select("revision_id", F.concat_ws(" ", "qualified_name", "kind", "language", "path").alias("content"))
+
+
+@query(f"""WITH r AS ({bm25_sql(_REVISION_TEXT, 'rid', 'text', ('pkg m7', 'click'), 'ORDER BY score DESC, rid LIMIT 10')}), c AS ({bm25_sql(_COMMIT_TEXT, 'commit', 'text', ('pkg m7', 'click'), 'ORDER BY score DESC, commit LIMIT 10')}),
+    a AS (WITH {_O} SELECT rid, string_agg(commit || ':' || path, ' ' ORDER BY k) AS e FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY commit, path) AS k FROM loc) WHERE k <= 5 GROUP BY 1),
+    b AS (WITH {_O} SELECT commit, string_agg(path, ' ' ORDER BY k) AS e FROM (SELECT *, row_number() OVER (PARTITION BY commit ORDER BY seq) AS k FROM o) WHERE k <= 5 GROUP BY 1)
+    SELECT 'symbol_revision' AS type, rid AS id, score, e AS evidence FROM r JOIN a USING (rid) UNION ALL SELECT 'commit_change', commit, score, e FROM c JOIN b USING (commit)""")
+def code_context(t):
+    """Revisions and commits for a query, each with its evidence: where a revision was seen, what a commit changed."""
+    asked = "pkg.m7 click"
+    r = search.bm25(_revision_text(t), ["revision_id"], F.col("content"), asked, 10).withColumnRenamed("revision_id", "id")
+    c = search.bm25(_commit_text(t), ["commit"], F.col("content"), asked, 10).withColumnRenamed("commit", "id")
+    places = C.locations(_seen(t)).select(F.col("revision_id").alias("id"), "commit", "path")
+    changes = _events(t).select(F.col("commit").alias("id"), "seq", "path")
+    r = search.with_evidence(r, "id", {"e": (places, ["commit", "path"], 5)}).select(F.lit("symbol_revision").alias("type"), "id", "score", F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["commit"], x["path"])), " ").alias("evidence"))
+    c = search.with_evidence(c, "id", {"e": (changes, ["seq", "path"], 5)}).select(F.lit("commit_change").alias("type"), "id", "score", F.array_join(F.transform("e", lambda x: x["path"]), " ").alias("evidence"))
+    return r.unionByName(c)
+
+
 @query(f"""WITH {_O}, m AS (SELECT 'c' || (seq % 50) AS commit, kind, rid AS a, lid AS b, (seq % 7) / 10.0 AS confidence FROM r UNION ALL SELECT 'c1', 'moved', rid, rid, 0.5 FROM r),
     known AS (SELECT DISTINCT commit, kind, rid AS a FROM r WHERE seq % 2 = 0)
     SELECT commit, kind, a AS from_revision, b AS to_revision, round(max(confidence), 6) AS confidence FROM m WHERE a <> b AND NOT EXISTS (SELECT 1 FROM known k WHERE k.commit = m.commit AND k.kind = m.kind AND k.a = m.a) GROUP BY ALL""")

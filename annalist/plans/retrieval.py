@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from annalist.functions import identity as I
 from annalist.functions import text as T
 from annalist.operators import chat, graph, history, projections, search, text_graph, topics
 from annalist.plans.knowledge import _SPLIT
@@ -260,3 +261,25 @@ _QUERIED = "SELECT q.vec_id AS query, e.vec_id AS neighbour, round(CAST({} AS DO
 def nearest_of_queries(t):
     e = t("embeddings")
     return search.nearest_rows(e, "vec_id", "embedding", e.where("vec_id % 50 = 0"), 10).select("query", "similarity", "place")
+
+
+@query(_bm25_sql("conversations", "conv_id, turn", "ORDER BY score DESC, conv_id, turn LIMIT 20"))
+def bm25_search_postings(t):
+    c, text = t("conversations"), F.col("text")
+    return search.bm25_indexed(search.postings(c, ["conv_id", "turn"], text), search.corpus_size(c, text), ["conv_id", "turn"], " ".join(TERMS))
+
+
+@query("""SELECT conv_id, turn, 'log:chat:' || url_encode('a b/' || role) || ':message:' || conv_id || '%3A' || turn AS entity, 'chat-' || left(sha256('chat' || chr(0) || conv_id), 24) AS key, 'messages/' || left(sha256(text), 2) || '/' || sha256(text) || '/message.json' AS path,
+    'refs/log/sources/chat/' || left(sha256(conv_id::VARCHAR), 32) AS ref FROM conversations""")
+def entity_names(t):
+    own = F.concat_ws(":", "conv_id", "turn")
+    return t("conversations").select(
+        "conv_id", "turn", I.entity_id("log", F.lit("chat"), F.concat(F.lit("a b/"), "role"), F.lit("message"), own).alias("entity"), I.source_key(F.lit("chat"), F.col("conv_id")).alias("key"),
+        I.message_paths(F.sha2("text", 256), F.lit(None).cast("string"))["normalized"].alias("path"), I.source_ref("log", F.lit("Chat"), F.col("conv_id").cast("string")).alias("ref"),
+    )
+
+
+@query("""SELECT sha256(string_agg(url || chr(0) || strlen(html) || chr(0) || sha256(html) || chr(10), '' ORDER BY url, page_id)) AS fingerprint FROM (SELECT min(page_id) AS page_id, url, any_value(html) AS html FROM pages GROUP BY url HAVING count(*) = 1)""")
+def files_fingerprint(t):
+    p = t("pages").groupBy("url").agg(F.count("*").alias("n"), F.first("html").alias("html")).where("n = 1")
+    return I.files_fingerprint(p.select(F.col("url").alias("path"), F.octet_length("html").alias("size"), F.sha2("html", 256).alias("sha256")))

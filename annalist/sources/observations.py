@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import json
 import re
 from collections import Counter
@@ -116,3 +118,8 @@ def messages(sound: DataFrame, raw: str) -> DataFrame:
     shown = F.array_join(F.transform(F.filter("m.blocks", lambda b: F.trim(F.coalesce(b["text"], F.lit(""))) != ""), lambda b: b["text"]), "\n\n")
     at = F.array_position("path", F.col("m.id"))
     return m.select("conversation", F.col("m.id").alias("message"), F.coalesce("m.role", F.lit("unknown")).alias("role"), shown.alias("text"), F.coalesce("m.parents", F.array().cast("array<string>")).alias("parents"), F.when(at > 0, at - 1).alias("active_position"))
+
+
+def unknown_keys(payload: dict, allowed: Sequence[str]) -> list[str]:
+    """The keys of a payload that its vocabulary does not hold; a payload with any is to be rejected."""
+    return sorted(set(payload) - set(allowed))

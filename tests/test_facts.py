@@ -196,3 +196,42 @@ def test_many_prototypes_are_compared_in_blocks(spark):
     p = spark.createDataFrame([(f"l{k}", [float(k), 1.0]) for k in range(6)], "label string, centroid array<double>")
     some = lambda bound: sorted(map(tuple, search.classify(v, "k", "v", p, "label", 0.5, 2, bound).collect()))
     assert some(2) == some(100) and len(some(2)) == 18
+
+
+def test_postings_equal_the_scan(spark):
+    import random
+
+    r = random.Random(3)
+    d = spark.createDataFrame([(k, " ".join(r.choices(["a", "b", "c", "dd", "é"], k=r.randrange(9)))) for k in range(80)] + [(80, None), (81, "")], "id long, text string")
+    index, corpus = search.postings(d, ["id"], F.col("text")), search.corpus_size(d, F.col("text"))
+    for q in ("a", ["a b", "dd"], ["é", "a a", "zz"], "b-c é", "", ["zz"]):
+        assert search.bm25_indexed(index, corpus, ["id"], q, None).orderBy("id").collect() == search.bm25(d, ["id"], F.col("text"), q, None).orderBy("id").collect(), q
+
+
+def test_references_and_protocol(spark):
+    text = "import os.path\nfrom . import x\n\n@mark\nclass K(Base):\n    def f(self, é: int) -> str:\n        y = g(é)\n        return self.h(y)\n"
+    rows = analyzers.python_references("p.py", text)
+    got = {(r["kind"], r["target"]): r for r in rows}
+    assert set(got) >= {("import", "os.path"), ("import", "."), ("call", "mark"), ("inheritance", "Base"), ("type", "int"), ("type", "str"), ("call", "g"), ("call", "self.h"), ("write", "y"), ("read", "y")}
+    assert (got["read", "y"]["resolution"], got["read", "y"]["confidence"], got["call", "g"]["resolution"], got["call", "g"]["owner"]) == ("resolved", 1.0, "unresolved", "K.f") and got["import", "os.path"]["confidence"] == 0.8
+    raw = text.encode()
+    assert all(raw[r["start_byte"] : r["end_byte"]].decode().endswith(r["target"].split(".")[-1]) for r in rows if r["kind"] != "import") and rows == sorted(rows, key=lambda r: r["start_byte"])
+    assert analyzers.python_references("p.py", "def (") == []
+    files = spark.createDataFrame([("p.py", "python", text), ("q.py", "python", None), ("a.clj", "clojure", "(f)")], "path string, language string, text string")
+    assert analyzers.references(files).count() == len(rows)
+    ask = lambda **x: json.loads(analyzers.respond(json.dumps(x))[0])
+    about = ask(id=1, op="describe")["result"]
+    assert "python" in about["languages"] and ask(id=1, op="describe")["result"] == about and ask(id=2, op="ping") == {"id": 2, "result": {"ok": True}}
+    one = ask(id=3, op="analyze", language="python", path="p.py", source=text)
+    assert one == ask(id=3, op="analyze", language="python", path="p.py", source=text) and one["result"]["file"]["source_bytes"] == len(raw) and [s["name"] for s in one["result"]["symbols"]] == ["K", "f", "y"]
+    assert ask(id=4, op="analyze", language="cobol", path="", source="")["error"] and ask(id=5, op="nothing")["error"] and "error" in json.loads(analyzers.respond("{")[0]) and "error" in json.loads(analyzers.respond("[]")[0])
+    assert ask(id=6, op="analyze", language="python", path="p", source="def (")["result"]["diagnostics"] == ["SyntaxError"]
+    assert len(list(analyzers.serve(iter(['{"op":"ping"}', '{"op":"shutdown"}', '{"op":"ping"}'])))) == 2
+
+
+def test_repair_fills_gaps(spark):
+    changes = spark.createDataFrame([(1, "c1", "a.py", "b1"), (1, "c1", "b.py", "b2"), (1, "c2", "a.py", "b1"), (1, "c3", "z.py", "0" * 40), (1, "c3", "bad.py", "b3")], "repository long, commit string, new_path string, new_blob string")
+    runs = spark.createDataFrame([(1, "b2")], "repository long, blob string")
+    files = spark.createDataFrame([("b1", "python", "x = 1\n"), ("b3", "python", "def (")], "blob string, language string, text string")
+    rows = analyzers.repair(code_history.analysis_gaps(changes, runs), files).collect()
+    assert sorted((r["commit"], r["path"], r["name"], r["error"]) for r in rows if not r["error"]) == [("c1", "a.py", "x", None), ("c2", "a.py", "x", None)] and [(r["commit"], r["path"]) for r in rows if r["error"]] == [("c3", "bad.py")]

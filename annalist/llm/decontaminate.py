@@ -114,12 +114,13 @@ def _verbatim(rows: DataFrame, items: DataFrame, sizes: list[int], hint) -> Data
     values = lambda d: F.transform(d, lambda p: F.xxhash64(p["v"]))
     doc = rows.select("id", "h", values(typed_tokens(F.col("text"))).alias("v"))
     item = items.select("item", F.size("tokens").alias("n"), F.size(F.filter("tokens", lambda p: p["t"].startswith("#"))).cast("long").alias("slots"), F.concat_ws(",", values(F.col("tokens")).cast("array<string>")).alias("w")).distinct()
-    found = []
-    for n in sizes:
-        run = F.transform(F.sequence(F.lit(1), F.greatest(F.size("v") - n + 1, F.lit(1))), lambda k, n=n: F.concat_ws(",", F.slice("v", k, n).cast("array<string>")))
-        d = doc.select("id", "h", F.explode(F.array_distinct(run)).alias("w"))
-        found.append(d.join(hint(item.where(F.col("n") == n)), "w").select("id", "h", "item", "slots"))
-    return reduce(DataFrame.unionByName, found)
+
+    def held(n: int) -> DataFrame:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("v") - n + 1, F.lit(1))), lambda k: F.concat_ws(",", F.slice("v", k, n).cast("array<string>")))
+        d = doc.select("id", "h", F.explode(F.array_distinct(runs)).alias("w"))
+        return d.join(hint(item.where(F.col("n") == n)), "w").select("id", "h", "item", "slots")
+
+    return reduce(DataFrame.unionByName, map(held, sizes))
 
 
 def _same(a: DataFrame, b: DataFrame, how: str, keys: tuple[str, ...] = ("id", "h")) -> DataFrame:

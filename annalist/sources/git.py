@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 COMMITS = "repository string, seq long, oid string, parents array<string>, author string, author_email string, authored string, committer string, committer_email string, committed string, message string"
 CHANGES = "repository string, oid string, parent string, status string, old_mode string, new_mode string, old_blob string, new_blob string, path string, new_path string"
@@ -57,6 +59,18 @@ def _tables(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
+def _packed(rows: Iterator[dict], schema: pa.Schema, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of rows with bytes: of BATCH rows or, if they are large, of about most bytes."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += r.get("size") or 0
+        if len(held) == BATCH or size >= most:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, size = [], 0
+    yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
 def _schema(ddl: str) -> pa.Schema:
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(", "))])
@@ -134,7 +148,29 @@ def objects(wanted: DataFrame, most: int = 64 << 20) -> DataFrame:
             for r in b.to_pylist():
                 asked.setdefault(r["repository"], []).append(r["oid"])
             for repository, oids in asked.items():
-                for row in read(repository, oids):
-                    yield pa.RecordBatch.from_pylist([row], schema=schema)
+                yield from _packed(read(repository, oids), schema)
 
     return wanted.select("repository", "oid").distinct().mapInArrow(run, OBJECTS)
+
+
+def json_objects(found: DataFrame, schema: str) -> DataFrame:
+    """repository, oid, value (parsed by schema) and fault (missing, not a blob, or no JSON; else null) of objects()."""
+    text = F.col("bytes").cast("string")
+    value = F.from_json(text, schema)
+    fault = F.when(F.col("type") == "missing", "missing").when(F.col("type") != "blob", "not-a-blob").when(F.schema_of_variant(F.try_parse_json(text)).isNull(), "no-json")
+    return found.select("repository", "oid", F.when(fault.isNull(), value).alias("value"), fault.alias("fault"))
+
+
+def refs(repositories: DataFrame, prefix: str) -> DataFrame:
+    """repository, ref, oid of all refs below a prefix, in order. A prefix that is no path of refs is an error."""
+    if not re.fullmatch(r"refs/[A-Za-z0-9._/-]+", prefix) or ".." in prefix or "//" in prefix:
+        raise ValueError(f"invalid prefix of refs: {prefix}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.column(0).to_pylist():
+                out = subprocess.run(["git", "-C", r, "for-each-ref", "--format=%(refname)%00%(objectname)", prefix], capture_output=True, check=True).stdout
+                rows = sorted(_text(line).split("\0") for line in out.splitlines())
+                yield from _tables(iter([{"repository": r, "ref": ref, "oid": oid} for ref, oid in rows]), _schema("repository string, ref string, oid string"))
+
+    return repositories.select("repository").mapInArrow(run, "repository string, ref string, oid string")

@@ -23,8 +23,8 @@ def analyses(spark: SparkSession, path: str, result_schema: str) -> DataFrame:
 
 
 def chat_export(spark: SparkSession, path: str) -> DataFrame:
-    """Conversations of an export (arrays of conversations), the latest update of each id; of equal updates the later record."""
-    raw = spark.read.schema(CHAT_SCHEMA).json(path, multiLine=True).withColumn("seq", F.monotonically_increasing_id())
+    """Conversations of an export (arrays of conversations), the latest update of each id; of equal updates the later record: by file, then by place, as one task reads a whole file."""
+    raw = spark.read.schema(CHAT_SCHEMA).json(path, multiLine=True).withColumn("seq", F.struct("_metadata.file_path", F.monotonically_increasing_id()))
     raw = raw.withColumn("conversation", F.coalesce("conversation_id", "id", F.sha2(F.to_json(F.struct("*")), 256)))
     w = W.partitionBy("conversation").orderBy(F.coalesce("update_time", F.lit(0.0)).desc(), F.desc("seq"))
     return raw.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "seq")

@@ -235,3 +235,22 @@ def test_repair_fills_gaps(spark):
     files = spark.createDataFrame([("b1", "python", "x = 1\n"), ("b3", "python", "def (")], "blob string, language string, text string")
     rows = analyzers.repair(code_history.analysis_gaps(changes, runs), files).collect()
     assert sorted((r["commit"], r["path"], r["name"], r["error"]) for r in rows if not r["error"]) == [("c1", "a.py", "x", None), ("c2", "a.py", "x", None)] and [(r["commit"], r["path"]) for r in rows if r["error"]] == [("c3", "bad.py")]
+
+
+def test_git_json_objects_and_refs(spark, tmp_path):
+    import subprocess
+
+    from annalist.sources import git
+
+    run = lambda *a, **k: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True, text=True, **k).stdout.strip()
+    run("init", "-q")
+    oids = [run("hash-object", "-w", "--stdin", input=t) for t in ('{"a": 1}', "no json", '{"a": 2, "b": "x"}')]
+    tree = run("mktree", input=f"100644 blob {oids[0]}\ta.json\n")
+    for name in ("z", "a"):
+        run("update-ref", f"refs/log/sources/{name}", tree)
+    wanted = spark.createDataFrame([(str(tmp_path), o) for o in [*oids, tree, "0" * 39 + "1"]], "repository string, oid string")
+    got = {r["oid"]: (r["value"]["a"] if r["value"] else None, r["fault"]) for r in git.json_objects(git.objects(wanted), "a long").collect()}
+    assert got == {oids[0]: (1, None), oids[1]: (None, "no-json"), oids[2]: (2, None), tree: (None, "not-a-blob"), "0" * 39 + "1": (None, "missing")}
+    assert [r["ref"] for r in git.refs(spark.createDataFrame([(str(tmp_path),)], "repository string"), "refs/log/sources/").collect()] == ["refs/log/sources/a", "refs/log/sources/z"]
+    with pytest.raises(ValueError):
+        git.refs(wanted, "refs/../x")

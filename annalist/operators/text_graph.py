@@ -76,6 +76,11 @@ def edges(messages: DataFrame, key: str, text: str, registry: Registry | None =
     return _sentences(messages, key, text, registry).select("message", F.explode_outer(F.concat(one, mentions, said)).alias("e")).select("message", "e.*").distinct()
 
 
+def missing(messages: DataFrame, key: str, stored: DataFrame) -> DataFrame:
+    """The messages that have no graph yet; nodes() and edges() of them are what is to be appended. stored: nodes that are there."""
+    return messages.join(stored.select(F.col("message").alias(key)).distinct(), key, "left_anti")
+
+
 def project(n: DataFrame, e: DataFrame, projection: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a projection: source, concepts, or work, which takes in what it touches in the semantic and reference layers, two steps far."""
     if projection not in PROJECTIONS:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalist.functions.text import STOP_WORDS, keywords, nfkc
+from annalist.operators.search import bm25
 
 PER_CONTEXT = 24
 
@@ -124,6 +125,23 @@ def reference_weight(kind: Column) -> Column:
     return out.otherwise(REFERENCE_WEIGHTS["entity"])
 
 
+def evidence_lists(p: DataFrame, most: int = 16) -> DataFrame:
+    """a, b, evidence: the heaviest places of each pair of evidence() as array<struct<relation,place,weight>>, most of them, ties by place."""
+    w = W.partitionBy("a", "b").orderBy(F.desc("weight"), "relation", "place")
+    top = p.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most)
+    held = F.array_sort(F.collect_list(F.struct("__k", F.struct("relation", "place", "weight").alias("e"))))
+    return top.groupBy("a", "b").agg(F.transform(held, lambda x: x["e"]).alias("evidence"))
+
+
+def lookup(stats: DataFrame, query: str, limit: int = 8) -> DataFrame:
+    """topic, strength: topics for a typed query: the one that is the query first, then by BM25 over the topics' words and by frequency. stats: topic, df."""
+    hits = bm25(stats.select("topic"), ["topic"], F.col("topic"), query, None)
+    d = stats.join(hits, "topic", "left").withColumn("__exact", F.col("topic") == F.lower(F.trim(F.lit(query)))).where("__exact or score is not null")
+    order = [F.desc("__exact"), F.desc_nulls_last("score"), F.desc("df"), F.col("topic")]
+    d = d.orderBy(*order).limit(limit).withColumn("__r", F.row_number().over(W.orderBy(*order)))
+    return d.select("topic", F.round(F.when(F.col("__exact"), 1.2).otherwise(1.0) / F.log2(F.col("__r") + 1.0), 6).alias("strength"))
+
+
 def find(stats: DataFrame, words: Column, exact: str, limit: int = 8) -> DataFrame:
     """topic, strength: topics for a query, exact label first, then by shared words and frequency. stats: topic, df."""
     d = stats.withColumn("__exact", F.col("topic") == exact).withColumn("__shared", words).where("__exact or __shared > 0")

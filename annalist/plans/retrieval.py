@@ -283,3 +283,11 @@ def entity_names(t):
 def files_fingerprint(t):
     p = t("pages").groupBy("url").agg(F.count("*").alias("n"), F.first("html").alias("html")).where("n = 1")
     return I.files_fingerprint(p.select(F.col("url").alias("path"), F.octet_length("html").alias("size"), F.sha2("html", 256).alias("sha256")))
+
+
+@query(f"""WITH m AS ({_MENTIONS}), d AS (SELECT topic, count(*) AS df FROM m GROUP BY 1), w AS (SELECT topic, df, regexp_extract_all(topic, '[\\p{{L}}\\p{{N}}]+') AS t FROM d), n AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS av FROM w),
+    f AS (SELECT topic, df, len(t)::DOUBLE AS dl, q, len(list_filter(t, lambda x: x = q))::DOUBLE AS f FROM w, (SELECT unnest(['thing', 'ering', 'thble']) AS q)), g AS (SELECT q, sum((f > 0)::INT)::DOUBLE AS c FROM f GROUP BY 1),
+    b AS (SELECT topic, any_value(df) AS df, round(sum(greatest(1e-6, ln((n - c + 0.5) / (c + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / av))), 6) AS score FROM f JOIN g USING (q), n WHERE f > 0 GROUP BY 1)
+    SELECT topic, round(CAST(1.0 / log2(row_number() OVER (ORDER BY score DESC, df DESC, topic) + 1.0) AS DOUBLE), 6) AS strength FROM b QUALIFY row_number() OVER (ORDER BY score DESC, df DESC, topic) <= 8""")
+def topic_lookup(t):
+    return topics.lookup(topics.mentions(t("conversations"), "conv_id", "text").groupBy("topic").agg(F.count("*").alias("df")), "thing ering thble")

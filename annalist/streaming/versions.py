@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,17 @@ class Versions:
             new = self.read(expected).join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(new)
         return self.commit(new, expected)
 
+    def update(self, change: Callable[[DataFrame | None], DataFrame], tries: int = 3) -> int:
+        """Commit change(the latest data, None at first); after a Conflict change is applied anew to what the other writer made."""
+        for left in range(tries, 0, -1):
+            head = self.head()
+            try:
+                return self.commit(change(self.read(head) if head else None), head)
+            except Conflict:
+                if left == 1:
+                    raise
+        raise ValueError("no tries")
+
     def collect_garbage(self, keep: int = 1) -> int:
         """Remove data that none of the latest keep versions has, with their manifests; how many folders went. No writer may be at work."""
         kept = sorted(self.versions())[-keep:]

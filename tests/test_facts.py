@@ -110,8 +110,19 @@ def test_versions(spark, tmp_path):
     late.head = lambda: 1  # a writer that looked before the other one was done
     with pytest.raises(Conflict):
         late.commit(one, 1)
-    assert v.head() == 2 and v.read().count() == 2 and v.manifest(2)["parent"] == 1
-    assert v.collect_garbage() == 2 and v.versions() == [2] and v.read().count() == 2
+    seen = []
+
+    def grow(df):
+        seen.append(df and df.count())
+        if len(seen) == 1:  # another writer comes between
+            Versions(spark, v.root).put(spark.createDataFrame([(9, "z")], "k long, v string"), ["k"], 2)
+        return df.where("k <> 2")
+
+    assert v.update(grow) == 4 and seen == [2, 3] and sorted(r["k"] for r in v.read().collect()) == [3, 9]
+    with pytest.raises(Conflict):
+        late.update(lambda df: df, tries=2)
+    assert v.head() == 4 and v.read(2).count() == 2 and v.manifest(2)["parent"] == 1
+    assert v.collect_garbage() >= 3 and v.versions() == [4] and v.read().count() == 2
     v.clear()
     assert v.head() == 0
 
@@ -254,3 +265,19 @@ def test_git_json_objects_and_refs(spark, tmp_path):
     assert [r["ref"] for r in git.refs(spark.createDataFrame([(str(tmp_path),)], "repository string"), "refs/log/sources/").collect()] == ["refs/log/sources/a", "refs/log/sources/z"]
     with pytest.raises(ValueError):
         git.refs(wanted, "refs/../x")
+
+
+def test_topics_and_graphs_that_are_missing(spark):
+    from annalist.operators import text_graph, topics
+
+    m = spark.createDataFrame([(f"m{k}", c, t, w) for k in range(20) for c, t, w in ((0, "alpha", 1.0 + k), (0, "beta", 1.0), (1, "beta", 2.0), (1, "gamma", 1.0))], "message string, context long, topic string, weight double")
+    replies = spark.createDataFrame([("m1", "m2")], "src string, dst string")
+    e = topics.evidence(m, replies)
+    lists = {(r["a"], r["b"]): r["evidence"] for r in topics.evidence_lists(e).collect()}
+    rows = sorted(((-r["weight"], r["relation"], r["place"]) for r in e.where("a = 'alpha' and b = 'beta'").collect()))
+    assert [(-x["weight"], x["relation"], x["place"]) for x in lists["alpha", "beta"]] == rows[:16] and len(rows) > 16
+    stats = spark.createDataFrame([("red car", 5), ("red", 1), ("blue car", 9), ("sky", 3)], "topic string, df long")
+    assert [r["topic"] for r in topics.lookup(stats, "RED ").collect()][:2] == ["red", "red car"] and topics.lookup(stats, "none").count() == 0
+    texts = spark.createDataFrame([("a", "We must go."), ("b", "Fine.")], "id string, text string")
+    have = text_graph.nodes(texts.where("id = 'a'"), "id", "text")
+    assert [r["id"] for r in text_graph.missing(texts, "id", have).collect()] == ["b"]

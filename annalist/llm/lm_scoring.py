@@ -79,22 +79,22 @@ class Block:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
         gram = np.concatenate(parts)
         words = hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in ids), np.uint64, len(ids))
-        word, first = gram, np.zeros(len(gram), bool)
-        first[self.starts] = True
-        before = np.concatenate([gram[:1] * 0, gram[:-1]])  # every text ends with the end token, which is the first history of the next
+        word, place = gram, np.arange(len(gram)) - np.repeat(self.starts, self.lengths)
+        # a text's first token has no longer history than the end token, so only places from order - 2 on have an n-gram of that order
+        self.real = [place >= order - 2 for order in range(1, ORDER + 1)]
         keys, places = [self._tagged(hashes, 1, bits)], [gram]
-        for order in range(2, ORDER + 1):
-            # an n-gram is the one before without its last word, and the word; a text's first token has no longer history than the end token
-            shorter = before if order == 2 else np.concatenate([gram[:1] * 0, gram[:-1]])
-            pairs, inverse = np.unique(shorter * len(words) + word, return_inverse=True)
+        for order, real in enumerate(self.real[1:], 2):
+            # an n-gram is the one that ends before its last word, and the word; every text ends with the end token, the first history of the next
+            shorter = np.concatenate([gram[:1] * 0, gram[:-1]])
+            pairs, inverse = np.unique((shorter * len(words) + word)[real], return_inverse=True)
             hashes = mix64(hashes[pairs // len(words)] * C + mix64(words[pairs % len(words)]))
-            gram = inverse
+            gram = np.zeros(len(word), np.int64)
+            gram[real] = inverse
             keys.append(self._tagged(hashes, order, bits))
             places.append(gram)
         self.keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         ends = np.cumsum([len(k) for k in keys])
-        self.at = [inverse[e - len(k) : e].astype(np.int32)[p] for e, k, p in zip(ends, keys, places, strict=True)]
-        self.real = [np.ones(len(word), bool), np.ones(len(word), bool), ~first]
+        self.at = [np.where(real, np.append(inverse[e - len(k) : e], 0)[p], 0).astype(np.int32) for e, k, p, real in zip(ends, keys, places, self.real, strict=True)]
 
     @staticmethod
     def _tagged(hashes: np.ndarray, order: int, bits: int) -> np.ndarray:

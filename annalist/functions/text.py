@@ -203,17 +203,18 @@ def truncated(text: Column, tokens: int, suffix: str = "…") -> Column:
     return truncated_bytes(text, 4 * tokens, suffix)
 
 
-def truncated_bytes(text: Column, most: int, suffix: str = "…") -> Column:
+def truncated_bytes(text: Column, most: int | Column, suffix: str = "…") -> Column:
     """The text if it has at most so many UTF-8 bytes, else its longest prefix of whole characters that leaves room for suffix, and suffix."""
-    room = max(0, most - len(suffix.encode()))
+    limit = most if isinstance(most, Column) else F.lit(most)
+    room = F.greatest(F.lit(0), limit - len(suffix.encode()))
     raw = text.cast("binary")
 
-    def inner(i: int) -> Column:  # is byte i (from 1) inside a character?
-        return F.conv(F.hex(F.substring(raw, i, 1)), 16, 10).cast("int").between(128, 191) if i > 0 else F.lit(False)
+    def inner(at: Column) -> Column:  # is that byte (from 1) inside a character?
+        return F.conv(F.hex(F.substring(raw, at, F.lit(1))), 16, 10).cast("int").between(128, 191)
 
     cut = F.when(~inner(room + 1), room).when(~inner(room), room - 1).when(~inner(room - 1), room - 2).otherwise(room - 3)
     short = F.concat(F.substring(raw, F.lit(1), F.greatest(F.lit(0), cut)).cast("string"), F.lit(suffix))
-    return F.when(F.octet_length(text) <= most, text).otherwise(short)
+    return F.when(F.octet_length(text) <= limit, text).otherwise(short)
 
 
 def windows(text: Column, size: int = 16 << 10, overlap: int = 1 << 10) -> Column:

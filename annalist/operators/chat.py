@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalist.functions.text import token_estimate
+from annalist.functions.text import token_estimate, truncated_bytes
 from annalist.operators.context import neighbours, pack
 from annalist.operators.history import latest
 from annalist.operators.search import bm25
@@ -20,6 +20,32 @@ def current(observations: DataFrame, source: str | None = None) -> DataFrame:
     return latest(o, ["message"], [F.desc_nulls_last("observed"), F.desc("seq")])
 
 
+def conversation_heads(observations: DataFrame) -> DataFrame:
+    """The newest observation of each conversation: by when it was committed or else observed (text; missing comes last), then by seq."""
+    return latest(observations, ["conversation"], [F.desc(F.coalesce("committed", "observed", F.lit(""))), F.desc("seq")])
+
+
+def with_receipts(observations: DataFrame, receipts: DataFrame) -> DataFrame:
+    """observations (source, commit and more) with archive, that of the first receipt of their commit by its path. receipts: source, commit, path, archive."""
+    first = receipts.groupBy("source", "commit").agg(F.min_by("archive", "path").alias("archive"))
+    return observations.join(first, ["source", "commit"], "left")
+
+
+def capped(messages: DataFrame, most_messages: int, most_bytes: int, each: int = 32 << 10) -> DataFrame:
+    """What a client may see of each conversation: conversation, ordinal, content, cut. messages: conversation, ordinal, text.
+
+    Messages come in order while bytes are left; none is longer than each nor than what is left, and the first that had to be cut is the last one.
+    """
+    w = W.partitionBy("conversation").orderBy("ordinal")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    d = messages.select("conversation", "ordinal", F.coalesce("text", F.lit("")).alias("text")).withColumn("place", F.row_number().over(w)).withColumn("size", F.octet_length("text").cast("long"))
+    d = d.withColumn("spent", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("long", F.coalesce(F.max("size").over(before), F.lit(0)))
+    # as long as nothing was cut, all sizes are whole: what was spent tells what is left
+    d = d.where((F.col("place") <= most_messages) & (F.col("long") <= each) & ((F.col("place") == 1) | (F.col("spent") < most_bytes)))
+    limit = F.least(F.lit(each), F.lit(most_bytes) - F.col("spent")).cast("int")
+    return d.select("conversation", "ordinal", truncated_bytes(F.col("text"), limit).alias("content"), (F.col("size") > limit).alias("cut"))
+
+
 def search_messages(revisions: DataFrame, observations: DataFrame, query: str | Sequence[str], limit: int = 20, role: str | None = None, since: Column | None = None, until: Column | None = None, source: str | None = None, historical: bool = False) -> DataFrame:
     """The best messages: message, revision, conversation, score.
 

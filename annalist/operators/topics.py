@@ -125,6 +125,26 @@ def reference_weight(kind: Column) -> Column:
     return out.otherwise(REFERENCE_WEIGHTS["entity"])
 
 
+def statistics(known: DataFrame, m: DataFrame, revisions: DataFrame) -> DataFrame:
+    """topic, mentions, df, first_seen, last_seen of every known topic, also of those without mentions. m: topic, revision. revisions: revision, created, updated."""
+    seen = m.join(revisions, "revision", "left")
+    g = seen.groupBy("topic").agg(F.count("*").alias("mentions"), F.countDistinct("revision").alias("df"), F.min(F.coalesce("created", "updated")).alias("first_seen"), F.max(F.coalesce("updated", "created")).alias("last_seen"))
+    none = F.lit(0).cast("long")
+    return known.select("topic").join(g, "topic", "left").withColumn("mentions", F.coalesce("mentions", none)).withColumn("df", F.coalesce("df", none))
+
+
+def contributions(m: DataFrame, weights: DataFrame) -> DataFrame:
+    """revision, raw_score, direct, associated, facets: what the topics of a query add to each revision.
+
+    m: revision, topic, weight, facets (array). weights: topic, factor, source (direct or associated). All mentions add up; of each
+    topic the greatest contribution is listed, in order, and facets are united. The topics of a query bound the lists.
+    """
+    d = m.join(weights, "topic").withColumn("c", F.col("factor") * F.coalesce("weight", F.lit(0.0)))
+    best = d.groupBy("revision", "topic", "source").agg(F.max("c").alias("c"), F.sum("c").alias("sum"), F.array_distinct(F.flatten(F.collect_set(F.coalesce("facets", F.array().cast("array<string>"))))).alias("facets"))
+    part = lambda source: F.transform(F.array_sort(F.collect_list(F.when(F.col("source") == source, F.struct((-F.round("c", 6)).alias("n"), "topic")))), lambda x: F.struct(x["topic"].alias("topic"), (-x["n"]).alias("contribution")))
+    return best.groupBy("revision").agg(F.round(F.sum("sum"), 6).alias("raw_score"), part("direct").alias("direct"), part("associated").alias("associated"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("facets")))).alias("facets"))
+
+
 def evidence_lists(p: DataFrame, most: int = 16) -> DataFrame:
     """a, b, evidence: the heaviest places of each pair of evidence() as array<struct<relation,place,weight>>, most of them, ties by place."""
     w = W.partitionBy("a", "b").orderBy(F.desc("weight"), "relation", "place")

@@ -291,3 +291,45 @@ def files_fingerprint(t):
     SELECT topic, round(CAST(1.0 / log2(row_number() OVER (ORDER BY score DESC, df DESC, topic) + 1.0) AS DOUBLE), 6) AS strength FROM b QUALIFY row_number() OVER (ORDER BY score DESC, df DESC, topic) <= 8""")
 def topic_lookup(t):
     return topics.lookup(topics.mentions(t("conversations"), "conv_id", "text").groupBy("topic").agg(F.count("*").alias("df")), "thing ering thble")
+
+
+@query("""SELECT c_custkey AS commit, x.archive FROM customer LEFT JOIN (SELECT o_custkey, o_totalprice AS archive, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS k FROM orders) x ON o_custkey = c_custkey AND k = 1""")
+def first_receipts(t):
+    o = t("orders").select(F.lit("s").alias("source"), F.col("o_custkey").alias("commit"), F.struct("o_orderpriority", "o_orderkey").alias("path"), F.col("o_totalprice").alias("archive"))
+    return chat.with_receipts(t("customer").select(F.lit("s").alias("source"), F.col("c_custkey").alias("commit")), o).select("commit", "archive")
+
+
+@query("""SELECT user_id AS conversation, event_id AS seq FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 3 > 0 THEN lpad((event_id * 7 % 1000)::VARCHAR, 4, '0') WHEN event_id % 2 > 0 THEN lpad((event_id * 3 % 1000)::VARCHAR, 4, '0') ELSE '' END DESC, event_id DESC) = 1""")
+def conversation_heads(t):
+    at = lambda n: F.lpad((F.col("event_id") * n % 1000).cast("string"), 4, "0")
+    o = t("events").select(F.col("user_id").alias("conversation"), F.when(F.col("event_id") % 3 > 0, at(7)).alias("committed"), F.when(F.col("event_id") % 2 > 0, at(3)).alias("observed"), F.col("event_id").alias("seq"))
+    return chat.conversation_heads(o).select("conversation", "seq")
+
+
+@query("""WITH RECURSIVE k AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+    w AS (SELECT conv_id, 0::BIGINT AS k, 0::BIGINT AS turn, ''::VARCHAR AS content, false AS cut, 1500::BIGINT AS remaining FROM k WHERE k.k = 1
+        UNION ALL SELECT k.conv_id, k.k, k.turn, CASE WHEN strlen(text) <= least(600, remaining) THEN text ELSE left(text, list_max(list_filter(range(0, 601), lambda n: strlen(left(text, n)) <= greatest(0, least(600, remaining) - 3)))) || '…' END, strlen(text) > least(600, remaining),
+            remaining - strlen(text) FROM w JOIN k ON k.conv_id = w.conv_id AND k.k = w.k + 1 WHERE NOT w.cut AND w.remaining > 0 AND w.k < 4)
+    SELECT conv_id AS conversation, turn AS ordinal, content, cut FROM w WHERE k > 0""")
+def capped_conversations(t):
+    return chat.capped(t("conversations").select(F.col("conv_id").alias("conversation"), F.col("turn").alias("ordinal"), "text"), 4, 1500, 600)
+
+
+@query("""SELECT n.topic, count(p_partkey)::BIGINT AS mentions, count(DISTINCT p_type)::BIGINT AS df, min(r.a) AS first_seen, max(r.b) AS last_seen FROM (SELECT DISTINCT p_brand AS topic FROM part UNION ALL SELECT 'Brand#none') n
+    LEFT JOIN part ON p_brand = topic LEFT JOIN (SELECT p_type AS t, min(p_size) AS a, max(p_size) AS b FROM part WHERE p_type <> 'ECONOMY' GROUP BY 1) r ON r.t = p_type GROUP BY 1""")
+def topic_statistics(t):
+    p = t("part")
+    revisions = p.where("p_type <> 'ECONOMY'").groupBy(F.col("p_type").alias("revision")).agg(F.min("p_size").alias("created"), F.max("p_size").alias("updated"))
+    known = p.select(F.col("p_brand").alias("topic")).distinct().unionByName(p.sparkSession.range(1).select(F.lit("Brand#none").alias("topic")))
+    return topics.statistics(known, p.select(F.col("p_brand").alias("topic"), F.col("p_type").alias("revision")), revisions)
+
+
+@query("""WITH w AS (SELECT 'AF' AS topic, 1.2 AS factor, 'direct' AS source UNION ALL SELECT 'NO', 0.5, 'associated' UNION ALL SELECT 'RF', 0.9, 'direct'),
+    c AS (SELECT l_orderkey AS revision, w.topic, source, factor::DOUBLE * l_quantity AS c, 'f' || l_linenumber % 3 AS facet FROM lineitem JOIN w ON w.topic = l_returnflag || l_linestatus),
+    b AS (SELECT revision, topic, source, round(max(c), 6) AS c FROM c GROUP BY ALL)
+    SELECT revision, round(sum(c), 6) AS raw_score, (SELECT coalesce(string_agg(topic || ':' || round(c * 10)::BIGINT, ' ' ORDER BY c DESC, topic), '') FROM b WHERE b.revision = c.revision AND source = 'direct') AS direct, string_agg(DISTINCT facet, ' ' ORDER BY facet) AS facets FROM c GROUP BY revision""")
+def topic_contributions(t):
+    line = t("lineitem").select(F.col("l_orderkey").alias("revision"), F.concat("l_returnflag", "l_linestatus").alias("topic"), F.col("l_quantity").alias("weight"), F.array(F.concat(F.lit("f"), (F.col("l_linenumber") % 3).cast("string"))).alias("facets"))
+    weights = line.sparkSession.createDataFrame([("AF", 1.2, "direct"), ("NO", 0.5, "associated"), ("RF", 0.9, "direct")], "topic string, factor double, source string")
+    d = topics.contributions(line, weights)
+    return d.select("revision", "raw_score", F.array_join(F.transform("direct", lambda x: F.concat_ws(":", x["topic"], F.round(x["contribution"] * 10).cast("long"))), " ").alias("direct"), F.array_join("facets", " ").alias("facets"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Keys that hold credentials, kinds of blocks, bounds.
@@ -122,3 +123,24 @@ def messages(sound: DataFrame, raw: str) -> DataFrame:
 def unknown_keys(payload: dict, allowed: Sequence[str]) -> list[str]:
     """The keys of a payload that its vocabulary does not hold; a payload with any is to be rejected."""
     return sorted(set(payload) - set(allowed))
+
+
+# What makes two captures the same, whenever and by whatever they were taken.
+CAPTURED = ("$schema", "provider", "source_key", "conversation", "messages", "active_path")
+
+
+def capture_digest(raw: Column) -> Column:
+    """sha256 of what a capture holds, as JSON with sorted keys; the time and the collector do not count. Null for what is no JSON object."""
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        def one(r: str) -> str | None:
+            try:
+                o = json.loads(r)
+            except ValueError:
+                return None
+            return hashlib.sha256(json.dumps({k: o[k] for k in CAPTURED if k in o}, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest() if isinstance(o, dict) else None
+
+        return rows.map(one, na_action="ignore")
+
+    return run(raw)

@@ -281,3 +281,12 @@ def test_topics_and_graphs_that_are_missing(spark):
     texts = spark.createDataFrame([("a", "We must go."), ("b", "Fine.")], "id string, text string")
     have = text_graph.nodes(texts.where("id = 'a'"), "id", "text")
     assert [r["id"] for r in text_graph.missing(texts, "id", have).collect()] == ["b"]
+
+
+def test_captures_are_the_same_whenever_they_were_taken(spark):
+    from annalist.sources import observations
+
+    a = {"provider": "p", "source_key": "s", "conversation": {"id": "c", "title": "é"}, "messages": [{"id": "m"}], "observed_at": "1", "collector": {"v": 1}}
+    rows = [json.dumps(a), json.dumps({**dict(reversed(a.items())), "observed_at": "2"}), json.dumps({**a, "messages": []}), "[]", "x", None]
+    got = [r["d"] for r in spark.createDataFrame([(r,) for r in rows], "r string").select(observations.capture_digest(F.col("r")).alias("d")).collect()]
+    assert got[0] == got[1] != got[2] and got[3:] == [None, None, None] and observations.unknown_keys({"a": 1, "z": 2}, ["a"]) == ["z"]

@@ -46,20 +46,32 @@ WORD = r"[\p{L}\p{N}]+"
 KEYWORD = r"[\p{L}\p{N}][\p{L}\p{N}_-]*"
 
 
-def _unstable() -> str:
-    """A class of the characters that NFKC may change or join with the one before; of those beyond the first plane, all but pictographs."""
+def _stability() -> tuple[str, str]:
+    """Two classes of characters: those below U+0250 that NFKC leaves alone, and all that it may change or join with the one before.
+
+    Of those beyond the first plane, pictographs are left alone.
+    """
     second = {d[1] for c in range(0x10000) if len(d := unicodedata.decomposition(chr(c)).split()) == 2 and not d[0].startswith("<")}
-    odd = [c for c in range(0x80, 0x10000) if not 0xD800 <= c <= 0xDFFF and (0x1160 <= c <= 0x11FF or unicodedata.combining(chr(c)) or f"{c:04X}" in second or not unicodedata.is_normalized("NFKC", chr(c)))]
-    ranges: list[list[int]] = []
-    for c in odd:
-        if ranges and ranges[-1][1] == c - 1:
-            ranges[-1][1] = c
-        else:
-            ranges.append([c, c])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "\\x{10000}-\\x{1F2FF}\\x{1FB00}-\\x{10FFFF}]"
+
+    def moves(c: int) -> bool:
+        return 0x1160 <= c <= 0x11FF or bool(unicodedata.combining(chr(c))) or f"{c:04X}" in second or not unicodedata.is_normalized("NFKC", chr(c))
+
+    def written(codes: list[int]) -> str:
+        ranges: list[list[int]] = []
+        for c in codes:
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+        return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+
+    plane = [c for c in range(0x80, 0x10000) if not 0xD800 <= c <= 0xDFFF]
+    odd = [c for c in plane if moves(c)]
+    head = [*range(0x80), *(c for c in plane if c < 0x250 and c not in set(odd[:500]))]
+    return f"[{written(head)}]+", f"[{written(odd)}\\x{{10000}}-\\x{{1F2FF}}\\x{{1FB00}}-\\x{{10FFFF}}]"
 
 
-UNSTABLE = _unstable()
+STABLE, UNSTABLE = _stability()
 
 
 def nfkc(text: Column) -> Column:
@@ -73,7 +85,8 @@ def nfkc(text: Column) -> Column:
         return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
     plain = F.coalesce(text, F.lit(""))
-    return F.coalesce(composed(F.when(plain.rlike(r"[^\x00-\x7F]") & plain.rlike(UNSTABLE), plain)), plain)
+    # the long class is tried on what is left of a text without its plain letters
+    return F.coalesce(composed(F.when(plain.rlike(r"[^\x00-\x7F]") & F.regexp_replace(plain, STABLE, "").rlike(UNSTABLE), plain)), plain)
 
 
 def terms(text: Column, pattern: str = WORD) -> Column:

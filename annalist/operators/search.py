@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalist.functions.text import count_of, query_terms, terms
+from annalist.operators.stable import ship
 
 K1, B, FLOOR, RRF_K = 1.2, 0.75, 1e-6, 60
 
@@ -234,7 +235,7 @@ def nearest_rows(vectors: DataFrame, key: str, vector: str, queries: DataFrame,
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["query", "neighbour", "similarity"])
 
-        found = vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(best, f"query {kind}, neighbour {kind}, similarity double")
+        found = ship(vectors).where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(best, f"query {kind}, neighbour {kind}, similarity double")
         out = found if out is None else out.unionByName(found)
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
     return out.withColumn("place", place.cast("long")).where(F.col("place") <= limit)

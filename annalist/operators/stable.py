@@ -1,9 +1,11 @@
-"""Cutting lineage where lost executors cannot hurt: reliable checkpoints in the shared folder."""
+"""What clusters need: lineage cut where lost executors cannot hurt, in the shared folder; this package on the executors."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 
@@ -17,3 +19,17 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir names no shared folder, and executors are not on this machine")
         sc.setCheckpointDir(shared or tempfile.mkdtemp())
     return df.checkpoint()
+
+
+def ship(df: DataFrame) -> DataFrame:
+    """df, after its executors have been given this package, once per context; it may not be installed there."""
+    sc = df.sparkSession.sparkContext
+    if not getattr(sc, "_annalist_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp()) / "annalist_code.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f"{package.name}/{f.relative_to(package)}")
+        sc.addPyFile(str(path))
+        sc._annalist_shipped = True
+    return df

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annalist.operators.stable import ship
+
 COMMITS = "repository string, seq long, oid string, parents array<string>, author string, author_email string, authored string, committer string, committer_email string, committed string, message string"
 CHANGES = "repository string, oid string, parent string, status string, old_mode string, new_mode string, old_blob string, new_blob string, path string, new_path string"
 OBJECTS = "repository string, oid string, type string, size long, bytes binary"
@@ -84,7 +86,7 @@ def commits(repositories: DataFrame, refs: tuple[str, ...] = ("HEAD",)) -> DataF
             for r in b.column(0).to_pylist():
                 yield from _tables(_walk(r, list(refs)), _schema(COMMITS))
 
-    return repositories.select("repository").mapInArrow(run, COMMITS)
+    return ship(repositories).select("repository").mapInArrow(run, COMMITS)
 
 
 def _changes(repository: str, oids: list[tuple[str, str | None]]) -> Iterator[dict]:
@@ -117,7 +119,7 @@ def changes(found: DataFrame) -> DataFrame:
                 for i in range(0, len(oids), 400):  # 400 lines stay below the size of a pipe
                     yield from _tables(_changes(repository, oids[i : i + 400]), _schema(CHANGES))
 
-    return found.select("repository", "oid", "parents").mapInArrow(run, CHANGES)
+    return ship(found).select("repository", "oid", "parents").mapInArrow(run, CHANGES)
 
 
 def objects(wanted: DataFrame, most: int = 64 << 20) -> DataFrame:
@@ -150,7 +152,7 @@ def objects(wanted: DataFrame, most: int = 64 << 20) -> DataFrame:
             for repository, oids in asked.items():
                 yield from _packed(read(repository, oids), schema)
 
-    return wanted.select("repository", "oid").distinct().mapInArrow(run, OBJECTS)
+    return ship(wanted).select("repository", "oid").distinct().mapInArrow(run, OBJECTS)
 
 
 def json_objects(found: DataFrame, schema: str) -> DataFrame:
@@ -173,4 +175,4 @@ def refs(repositories: DataFrame, prefix: str) -> DataFrame:
                 rows = sorted(_text(line).split("\0") for line in out.splitlines())
                 yield from _tables(iter([{"repository": r, "ref": ref, "oid": oid} for ref, oid in rows]), _schema("repository string, ref string, oid string"))
 
-    return repositories.select("repository").mapInArrow(run, "repository string, ref string, oid string")
+    return ship(repositories).select("repository").mapInArrow(run, "repository string, ref string, oid string")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.operators.stable import ship
+
 # Keys that hold credentials, kinds of blocks, bounds.
 CREDENTIAL_KEYS = frozenset("authorization cookie cookies accesstoken refreshtoken idtoken sessiontoken localstorage sessionstorage".split())
 BLOCKS = frozenset("text code image audio file citation tool-call tool-result provider".split())
@@ -107,7 +109,7 @@ def checked(observations: DataFrame, raw: str, hosts: tuple[str, ...]) -> DataFr
     def run(rows: pd.Series) -> pd.Series:
         return rows.map(lambda r: faults(r, hosts))
 
-    return observations.withColumn("faults", run(F.col(raw)))
+    return ship(observations).withColumn("faults", run(F.col(raw)))
 
 
 def messages(sound: DataFrame, raw: str) -> DataFrame:

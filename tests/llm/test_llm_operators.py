@@ -53,6 +53,13 @@ def test_lm_matches_automaton(spark, fan):
         assert got[i]["score"] == pytest.approx(auto.score(t), abs=1e-6)
 
 
+def test_lm_blocks_do_not_depend_on_the_order_of_texts():
+    texts = [prose(i, i % 9) for i in range(40)] + ["", "a", "a b"]
+    one, two = lm_scoring.Block(texts), lm_scoring.Block(texts[::-1])
+    assert np.array_equal(one.keys, two.keys) and np.array_equal(one.counts(np.ones(43, bool)), two.counts(np.ones(43, bool)))
+    assert len(lm_scoring.Block(["", ""]).keys) == 2
+
+
 def test_lm_automaton_is_a_probability_and_uses_long_histories():
     auto = lm_scoring.BackoffAutomaton([prose(i, 60) for i in range(30)] + ["a b c"] * 9 + ["x b d"] * 9)
     words = [g[0] for g in auto.count if len(g) == 1]
@@ -352,10 +359,10 @@ def test_decontamination_finds_changed_questions(spark):
 def test_decontamination_of_repeated_ids_short_items_and_odd_columns(spark):
     a, b = prose(41, 30), prose(42, 30)
     items = spark.createDataFrame([(7, a), (7, b), (None, prose(43, 25)), (8, "Paris, 12 km"), (9, "one word pair here"), (10, ""), (11, "zyzzyva"), (12, "!?")], "item_id long, text string")
-    rows = [(1, f"x {a} y"), (1, f"x {b} y"), (2, prose(43, 25)), (None, a), (None, "clean text"), (3, "He saw paris 12 KM away"), (4, "Paris, 14 km"), (5, "so one word pair here it is"), (6, "the Zyzzyva!"), (6, "zyzzyvas"), (1, f"x {a} y"), (7, None), (8, "")]
+    rows = [(1, f"x {a} y"), (1, f"x {b} y"), (2, prose(43, 25)), (None, a), (None, "clean text"), (3, "He saw paris 12 KM away"), (4, "Paris, 14 km"), (5, "so one word pair here it is"), (6, "the Zyzzyva!"), (6, "zyzzyvas"), (1, f"x {a} y"), (7, None), (8, ""), (9, "Paris 12 km"), (10, "zyzzyva"), (11, "one two three four zyzzyva six"), (12, "a b c d e f in Paris, 12 km of g")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit("k").alias(c) for c in ("d", "i", "h", "id", "item", "__0", "__1", "w", "shift")))
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.match(docs, items, "doc_id", "text", "item_id", "text").collect()}
-    assert got == {(1, 7), (2, None), (None, 7), (3, 8), (5, 9), (6, 11)}
+    assert got == {(1, 7), (2, None), (None, 7), (3, 8), (5, 9), (6, 11), (9, 8), (10, 11), (11, 11), (12, 8)}
     kept = decontaminate.keep_clean(docs, items, "doc_id", "text", "item_id", "text")
     assert kept.columns == docs.columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(None, "clean text"), (4, "Paris, 14 km"), (6, "zyzzyvas"), (7, None), (8, "")], key=str)
 

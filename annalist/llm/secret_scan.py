@@ -38,7 +38,7 @@ PREFIX = r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|s
 CUED = r"(?i:passw|pwd|secret|token|api.?key|auth(?!or)|credential|private|access.?key|bearer)[^\n=:]{0,12}[=:][ \t]{0,3}"
 CANDIDATE = (
     rf"(?<=[\"'])(?:(?<={CUED}\")[^\"\n]+(?=\")|(?<={CUED}')[^'\n]+(?='))"
-    rf"|(?<=[=: \t])(?<={CUED})[^\s\"'=:.,;)\]}}<>](?:[^\s\"<>]*[^\s\"'.,;:)\]}}<>])?"
+    rf"|(?<=[=:][ \t]{{0,3}})(?<={CUED})[^\s\"'=:.,;)\]}}<>](?:[^\s\"<>]*[^\s\"'.,;:)\]}}<>])?"
     rf"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|{PREFIX})[A-Za-z0-9+/_-]{{8,}}+={{0,2}}"
 )
 MARK = "[SECRET]"
@@ -267,21 +267,26 @@ def train(labelled: DataFrame, dictionary: Sequence[str] = (), max_rows: int = 4
     return replace(grow(np.array([r["x"] for r in got]), np.array([r["y"] for r in got])), dictionary=tuple(dictionary))
 
 
-def _found(text: Column, path: Column, forest: Forest, threshold: float, pieces: str) -> tuple[Column, Column]:
-    """The pieces between candidates, for a column of that name; the candidates with a verdict. Each step is bound, so nothing is computed twice."""
-    runs = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+def _found(d: DataFrame, text: Column, path: Column, forest: Forest, threshold: float, names: Sequence[str]) -> DataFrame:
+    """d with three columns more: whether there is a candidate, the pieces between candidates, and the candidates with a verdict.
+
+    Most texts have no candidate and are searched once. Each step is bound, so nothing is computed twice.
+    """
+    some, pieces, found = names
+    d = d.withColumn(some, text.rlike(CANDIDATE))
+    runs = F.when(F.col(some), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
     near = lambda k: F.get(F.col(pieces), k)
     seen = F.transform(runs, lambda c, k: F.struct(c.alias("c"), features(c, near(k), near(k + 1), path, forest.dictionary).alias("x")))
     judged = F.transform(seen, lambda r: F.struct(r["c"].alias("c"), forest.probability(r["x"]).alias("p")))
-    return F.split(text, CANDIDATE, -1), F.transform(judged, lambda r: F.struct(r["c"].alias("c"), r["p"].alias("p"), (r["p"] >= threshold).alias("secret")))
+    cut = F.when(F.col(some), F.split(text, CANDIDATE, -1)).otherwise(F.array(text))
+    return d.withColumn(pieces, cut).withColumn(found, F.transform(judged, lambda r: F.struct(r["c"].alias("c"), r["p"].alias("p"), (r["p"] >= threshold).alias("secret"))))
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, path_col: str | None, forest: Forest, threshold: float = 0.5) -> DataFrame:
     """id_col, n_candidates, n_secrets, spans (start:end of the secrets, comma-joined), redacted (the text with the secrets replaced)."""
     path = whole(F.col(path_col)) if path_col else F.lit("")
     src = docs.select(F.col(id_col).alias("__id"), whole(F.col(text_col)).alias("__text"), path.alias("__path"))
-    pieces, found = _found(F.col("__text"), F.col("__path"), forest, threshold, "__pieces")
-    d = src.withColumn("__pieces", pieces).withColumn("__found", found)
+    d = _found(src, F.col("__text"), F.col("__path"), forest, threshold, ("__some", "__pieces", "__found"))
     lengths = F.zip_with(F.slice("__pieces", F.lit(1), F.size("__found")), F.col("__found"), lambda p, c: F.struct(F.length(p).alias("gap"), F.length(c["c"]).alias("size"), c["secret"].alias("secret")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
     walked = F.aggregate(lengths, start, lambda acc, r: F.struct((acc["at"] + r["gap"] + r["size"]).alias("at"), F.when(r["secret"], F.array_append(acc["spans"], F.concat_ws(":", (acc["at"] + r["gap"]).cast("string"), (acc["at"] + r["gap"] + r["size"]).cast("string")))).otherwise(acc["spans"]).alias("spans")))
@@ -296,8 +301,7 @@ def _joined(pieces: str, found: str) -> Column:
 def redact(docs: DataFrame, text_col: str, path_col: str | None, forest: Forest, threshold: float = 0.5) -> DataFrame:
     """docs, all columns, with secrets in the text replaced by a mark; a null text stays null."""
     path = whole(F.col(path_col)) if path_col else F.lit("")
-    at, kept = unused(docs, 2)
-    pieces, found = _found(whole(F.col(text_col)), path, forest, threshold, at)
-    d = docs.withColumn(at, pieces).withColumn(kept, found)
+    some, at, kept = unused(docs, 3)
+    d = _found(docs, whole(F.col(text_col)), path, forest, threshold, (some, at, kept))
     text = F.when(F.exists(kept, lambda r: r["secret"]), _joined(at, kept)).otherwise(F.col(text_col))
-    return d.withColumn(text_col, text).drop(at, kept)
+    return d.withColumn(text_col, text).drop(some, at, kept)

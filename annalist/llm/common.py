@@ -19,18 +19,19 @@ from pyspark.sql import functions as F
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
-ARROW_ROWS = 2000
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per context; it may not be installed there.
 
-    Documents are long rows: Spark's usual number of rows in an Arrow batch, where nobody has chosen
-    another, is lowered so that a batch stays at some megabytes on both sides.
+    Documents are long rows: Spark's usual number of rows and of bytes in an Arrow batch, where nobody has chosen
+    others, are lowered so that a batch stays at some megabytes on both sides.
     """
     sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for key, usual, ours in (("maxRecordsPerBatch", "10000", ARROW_ROWS), ("maxBytesPerBatch", "67108864b", ARROW_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", usual) == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(ours))
     if getattr(sc, "_annalist_shipped", False):
         return
     path = os.path.join(tempfile.mkdtemp(), "annalist_code.zip")

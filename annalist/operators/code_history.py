@@ -19,6 +19,8 @@ from annalist.operators.history import latest, transitions
 from annalist.operators.stable import cut
 
 ZERO_BLOB = "0" * 40
+# Deletions of a path that are kept in one array.
+BLOCK = 1024
 
 
 def digest_of(*values: Column) -> Column:
@@ -74,19 +76,60 @@ def locations(seen: DataFrame) -> DataFrame:
     return seen.groupBy("revision_id", "commit", "path").agg(F.max("seq").alias("seq"))
 
 
+def _identity(seen: DataFrame) -> DataFrame:
+    """seen by what its ids are made of, a fraction of their size: repository, commit, seq, path, sort (the symbol's kind), name, digest."""
+    name = F.coalesce("qualified_name", "name") if "name" in seen.columns else F.col("qualified_name")
+    return seen.select("repository", "commit", "seq", "path", F.col("kind").alias("sort"), name.alias("name"), F.coalesce(quoted(F.col("structural_hash")), F.lit("null")).alias("digest"))
+
+
+def _logical() -> Column:
+    return digest_of(F.col("repository").cast("string"), quoted(F.col("sort")), quoted(F.col("name")))
+
+
+def _revision(digest: Column) -> Column:
+    return F.when(digest.isNotNull(), digest_of(quoted(F.col("logical_id")), digest))
+
+
 def changes(seen: DataFrame, deletions: DataFrame | None = None) -> DataFrame:
     """Transitions: id (the row's seq), repository, commit, logical_id, from_revision, to_revision, kind.
 
-    deletions: repository, commit, path, seq. A deleted path ends every symbol that was ever located there, each at the revision seen
-    there last.
+    seen: identified observations. deletions: repository, commit, path, seq. A deleted path ends every symbol that was ever located there,
+    each at the revision seen there last.
+
+    That makes as many rows as deletions times symbols of their paths, so these rows are made last, and neither shuffled nor sorted: an
+    observation stands at its path until its symbol is seen there again, and meets the deletions between, which are numbered along the path.
     """
-    log = seen.select("repository", "commit", "seq", "path", "logical_id", "revision_id", F.lit(False).alias("gone"))
+    own = _identity(seen)
+    entity, place = ["repository", "sort", "name"], ["repository", "path"]
+    own = own.withColumn("end", F.lit(None).cast("long")) if deletions is None else own
     if deletions is not None:
-        there = seen.select("repository", "path", "logical_id").distinct()
-        dead = deletions.select("repository", "commit", "seq", "path").join(there, ["repository", "path"])
-        log = log.unionByName(dead.withColumn("revision_id", F.lit(None).cast("string")).withColumn("gone", F.lit(True)))
-    t = transitions(log, ["logical_id"], ["seq"], "revision_id", "path", "gone").where("kind is not null")
-    return t.select(F.col("seq").alias("id"), "repository", "commit", "logical_id", F.col("prior").alias("from_revision"), F.when(~F.col("gone"), F.col("revision_id")).alias("to_revision"), "kind")
+        dead = deletions.select("repository", "commit", "seq", "path").where("repository is not null and path is not null")
+        along = W.partitionBy(*place).orderBy("seq")
+        marks = own.withColumn("gone", F.lit(False)).unionByName(dead.withColumn("gone", F.lit(True)), allowMissingColumns=True)
+        marks = marks.withColumn("before", F.sum(F.col("gone").cast("long")).over(along.rowsBetween(W.unboundedPreceding, 0)))
+        next_ = F.last(F.when(F.col("gone"), F.col("seq")), ignorenulls=True).over(W.partitionBy(*place).orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, 0))
+        upto = F.lead("before").over(W.partitionBy(*place, "sort", "name").orderBy("seq"))
+        here = marks.withColumn("next", next_).where("not gone").withColumn("upto", upto)
+        own = here.select(*own.columns, F.when(F.col("upto").isNull() | (F.col("upto") > F.col("before")), F.col("next")).alias("end"))
+    t = transitions(own.repartition(*entity), entity, ["seq"], "digest", "path")
+    # the prior revision counts as deleted from the first end of any of its observations on
+    w, alike = W.partitionBy(*entity).orderBy("seq"), W.partitionBy(*entity, "digest").orderBy("seq")
+    t = t.withColumn("first", F.row_number().over(alike) == 1).withColumn("least", F.min("end").over(alike.rowsBetween(W.unboundedPreceding, 0)))
+    t = t.withColumn("inserted", F.last(F.when(F.col("first"), F.col("digest")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    ended = F.last(F.when(F.col("digest") == F.col("inserted"), F.struct("least")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))["least"]
+    t = t.withColumn("ended", F.coalesce(ended < F.col("seq"), F.lit(False))).withColumn("logical_id", _logical())
+    kind = F.when(F.col("prior").isNotNull() & F.col("ended"), "resurrected").otherwise(F.col("kind"))
+    out = t.select(F.col("seq").alias("id"), "repository", "commit", "logical_id", _revision(F.col("prior")).alias("from_revision"), _revision(F.col("digest")).alias("to_revision"), kind.alias("kind"))
+    if deletions is None:
+        return out
+    numbered = dead.withColumn("n", F.row_number().over(along))
+    blocks = numbered.groupBy(*place, F.expr(f"(n - 1) div {BLOCK}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "seq", "commit"))).alias("gone"))
+    start = F.greatest(F.col("before") - F.col("block") * BLOCK, F.lit(0))
+    stop = F.least(F.coalesce(F.col("upto") - F.col("block") * BLOCK, F.lit(BLOCK)), F.size("gone").cast("long"))
+    stands = here.where("upto is null or upto > before").withColumn("logical_id", _logical()).select(*place, "before", "upto", "logical_id", _revision(F.col("digest")).alias("from_revision"))
+    met = stands.join(blocks, place).where(F.expr(f"block >= before div {BLOCK} and (upto is null or block <= (upto - 1) div {BLOCK})")).where(stop > start)
+    met = met.select("repository", "logical_id", "from_revision", F.explode(F.slice("gone", (start + 1).cast("int"), (stop - start).cast("int"))).alias("d"))
+    return out.unionByName(met.select(F.col("d.seq").alias("id"), "repository", "d.commit", "logical_id", "from_revision", F.lit(None).cast("string").alias("to_revision"), F.lit("deleted").alias("kind")))
 
 
 def latest_analyses(runs: DataFrame, keys: tuple[str, ...] = ("repository", "blob")) -> DataFrame:

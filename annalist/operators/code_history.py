@@ -216,12 +216,30 @@ def lineage_of_revisions(hits: DataFrame, found: DataFrame, moved: DataFrame, co
     return d.select("revision_id", "logical_id", F.array_join(F.transform("x", lambda p: p["id"].cast("string")), ",").alias("transitions"), F.array_join(F.transform("y", lambda p: p["revision_id"]), ",").alias("related"))
 
 
-def commit_documents(commits: DataFrame, path_changes: DataFrame, moved: DataFrame, symbols: DataFrame) -> DataFrame:
-    """commit, content: the message, each path change (in order of id), and the names of the symbols that changed (in order of id)."""
+def changed_names(seen: DataFrame, deletions: DataFrame | None = None) -> DataFrame:
+    """commit, id, names: the sorted names of the symbols that each row of changes(seen, deletions) is about, one row per observation or deletion.
+
+    A deletion changes every symbol that was seen at its path before it. The symbols of a path are one array, which its deletions
+    filter, so a row per deletion is made, not one per symbol.
+    """
+    own = _identity(seen)
+    out = own.where("name is not null").select("commit", F.col("seq").alias("id"), F.array("name").alias("names"))
+    if deletions is None:
+        return out
+    place = ["repository", "path"]
+    since = own.where("name is not null and path is not null").groupBy(*place, "sort", "name").agg(F.min("seq").alias("since"))
+    known = since.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("name", "since"))).alias("known"))
+    dead = deletions.select(*place, "commit", F.col("seq").alias("id")).join(known, place)
+    names = F.transform(F.filter("known", lambda x: x["since"] < F.col("id")), lambda x: x["name"])
+    return out.unionByName(dead.select("commit", "id", names.alias("names")).where(F.size("names") > 0))
+
+
+def commit_documents(commits: DataFrame, path_changes: DataFrame, names: DataFrame) -> DataFrame:
+    """commit, content: the message, each path change (in order of id), and the names of the symbols that changed (changed_names, in order of id)."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     paths = path_changes.select("commit", "id", F.concat_ws(" ", text("change_kind"), text("old_path"), text("new_path")).alias("part"), F.lit(0).alias("k"))
-    names = moved.join(symbols.select("logical_id", "qualified_name"), "logical_id").where("qualified_name is not null").select("commit", "id", F.col("qualified_name").alias("part"), F.lit(1).alias("k"))
-    parts = paths.unionByName(names).groupBy("commit").agg(F.array_sort(F.collect_list(F.struct("k", "id", "part"))).alias("x"))
+    named = names.select("commit", "id", F.array_join("names", " ").alias("part"), F.lit(1).alias("k"))
+    parts = paths.unionByName(named).groupBy("commit").agg(F.array_sort(F.collect_list(F.struct("k", "id", "part"))).alias("x"))
     words = F.concat(F.array(text("message")), F.coalesce(F.transform("x", lambda p: p["part"]), F.array().cast("array<string>")))
     return commits.join(parts, "commit", "left").select("commit", F.array_join(words, " ").alias("content"))
 

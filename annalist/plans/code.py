@@ -49,6 +49,11 @@ def _moved(t):
     return C.changes(C.identified(e.where("not gone")), e.where("gone").select("repository", "commit", "path", "seq"))
 
 
+def _names(t):
+    e = _events(t)
+    return C.changed_names(e.where("not gone"), e.where("gone"))
+
+
 def _references(t):
     s = _seen(t)
     kind = F.element_at(F.array(*map(F.lit, ("resolved", "exact", "dynamic", "guessed", "resolved"))), (F.col("seq") % 5 + 1).cast("int"))
@@ -163,14 +168,13 @@ def code_revision_lineage(t):
 def code_commit_documents(t):
     e = _events(t)
     paths = e.select("commit", F.col("seq").alias("id"), F.when(F.col("gone"), "D").otherwise("M").alias("change_kind"), F.when(F.col("gone"), F.col("path")).alias("old_path"), F.when(~F.col("gone"), F.col("path")).alias("new_path"))
-    return C.commit_documents(_commits(t).drop("repository"), paths, _moved(t), C.logical_symbols(_seen(t))).select("commit", F.sha2("content", 256).alias("content"))
+    return C.commit_documents(_commits(t).drop("repository"), paths, _names(t)).select("commit", F.sha2("content", 256).alias("content"))
 
 
 def _commit_text(t):
-    moved, symbols = _moved(t), C.logical_symbols(_seen(t))
     e = _events(t)
     paths = e.select("commit", F.col("seq").alias("id"), F.lit("M").alias("change_kind"), F.lit("").alias("old_path"), F.col("path").alias("new_path"))
-    return C.commit_documents(_commits(t).drop("repository"), paths, moved, symbols)
+    return C.commit_documents(_commits(t).drop("repository"), paths, _names(t))
 
 
 _COMMIT_TEXT = f"""(WITH {_O}, {_T}, x AS (SELECT commit, 0 AS k, seq AS id, 'M  ' || path AS part FROM o UNION ALL SELECT o.commit, 1, t.id, sym.qn FROM t JOIN o ON o.seq = t.id JOIN sym ON sym.lid = t.lid)

@@ -51,3 +51,17 @@ def test_changes_make_the_rows_of_deletions_last(spark, monkeypatch):
         got = sorted(map(tuple, t.collect()), key=key)
         assert got == sorted(map(tuple, want.collect()), key=key) and {"deleted", "resurrected", "moved"} <= {r[-1] for r in got}
     assert not [x for x in above(t, "Generate explode") if re.search("Exchange|Sort|Window", x)]
+
+
+def test_documents_get_the_names_of_a_deletion_in_one_row(spark):
+    seen, gone = a_history(spark, 90)
+    names = {}
+    symbols = {r["logical_id"]: r["qualified_name"] for r in code_history.logical_symbols(seen).collect()}
+    for r in code_history.changes(seen, gone).collect():
+        names.setdefault((r["commit"], r["id"]), []).append(symbols[r["logical_id"]])
+    got = code_history.changed_names(seen, gone).collect()
+    assert {(r["commit"], r["id"]): r["names"] for r in got} == {k: sorted(v) for k, v in names.items()} and len(got) == len(names)
+    commits = spark.createDataFrame([("c0", "m")], "commit string, message string")
+    changes = spark.createDataFrame([("c0", 1, "M", None, "a.py")], "commit string, id long, change_kind string, old_path string, new_path string")
+    words = [n for k in sorted(names) if k[0] == "c0" for n in sorted(names[k])]
+    assert code_history.commit_documents(commits, changes, code_history.changed_names(seen, gone)).first()["content"] == " ".join(["m", "M  a.py", *words])

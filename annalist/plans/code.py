@@ -44,9 +44,11 @@ def _commits(t):
     return _events(t).groupBy("repository", "commit").agg(F.min("ts").alias("committed_at"), F.concat(F.lit("fix "), F.min("user_id").cast("string")).alias("message"))
 
 
-def _moved(t):
-    e = _events(t)
-    return C.changes(C.identified(e.where("not gone")), e.where("gone").select("repository", "commit", "path", "seq"))
+def _moved(t, symbols=None):
+    """All transitions, or those of a few symbols (logical_id), whose observations alone are looked at."""
+    e, s = _events(t), _seen(t)
+    s = s if symbols is None else s.join(F.broadcast(symbols.select("logical_id")), "logical_id", "left_semi")
+    return C.changes(s, e.where("gone").select("repository", "commit", "path", "seq"))
 
 
 def _names(t):
@@ -151,7 +153,7 @@ def code_trace(t):
     SELECT lid AS logical_id, row_number() OVER (PARTITION BY lid ORDER BY committed_at, id) AS place, id, t.kind, message FROM t JOIN y USING (lid) JOIN o ON o.seq = t.id JOIN com USING (commit) QUALIFY place <= 100""")
 def code_symbol_history(t):
     s = C.matching_symbols(C.logical_symbols(_seen(t)), "pkg.m1", 20)
-    return C.symbol_transitions(_moved(t), _commits(t), s, 100).select("logical_id", "place", "id", "kind", "message")
+    return C.symbol_transitions(_moved(t, s), _commits(t), s, 100).select("logical_id", "place", "id", "kind", "message")
 
 
 @query(f"""WITH {_O}, {_T}, tt AS (SELECT lid, id, row_number() OVER (PARTITION BY lid ORDER BY committed_at, id) AS k FROM t JOIN o ON o.seq = t.id JOIN com USING (commit)),

@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from annalist.operators import code_history, history
+from annalist.plans import code
 
 COLS = "repository long, commit string, seq long, analysis long, path string, language string, kind string, name string, qualified_name string, structural_hash string, source_hash string"
 
@@ -65,3 +66,10 @@ def test_documents_get_the_names_of_a_deletion_in_one_row(spark):
     changes = spark.createDataFrame([("c0", 1, "M", None, "a.py")], "commit string, id long, change_kind string, old_path string, new_path string")
     words = [n for k in sorted(names) if k[0] == "c0" for n in sorted(names[k])]
     assert code_history.commit_documents(commits, changes, code_history.changed_names(seen, gone)).first()["content"] == " ".join(["m", "M  a.py", *words])
+
+
+def test_a_symbols_history_looks_at_its_own_observations(spark):
+    t = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    some = code_history.logical_symbols(code._seen(t)).orderBy("logical_id").limit(3)
+    own = code._moved(t, some).orderBy("id", "logical_id").collect()
+    assert own and own == code._moved(t).join(some.select("logical_id"), "logical_id", "left_semi").select(code._moved(t).columns).orderBy("id", "logical_id").collect()

@@ -11,6 +11,8 @@ or the last row of a key here. Nulls in names and kinds count as empty, and ties
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -175,23 +177,37 @@ def starts(found: DataFrame, symbols: DataFrame, places: DataFrame, query: str,
     return d.select(F.col("revision_id").alias("node"), "rank")
 
 
+def few(rows: DataFrame, bound: int = 100_000) -> DataFrame:
+    """rows, counted, and marked to be broadcast if they are at most bound."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= bound else rows
+
+
+def references_of(references: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The references that start at nodes (column node: revisions)."""
+    return references.join(nodes.select(F.col("node").alias("revision")), "revision", "left_semi")
+
+
 def resolved(references: DataFrame, found: DataFrame, symbols: DataFrame, places: DataFrame) -> DataFrame:
     """references with target (a revision or null) and doubt (none, dynamic, unresolved, inferred).
 
     A target is the revision of that id, or one of the symbol of that name: seen at the reference's commit, the
     smallest id first; else by the latest last commit. A dynamic reference has none.
+
+    Of the revisions of a name one is chosen for each commit and one for all others, before references meet them, so no reference
+    is paired with every revision of its name.
     """
     r = references.withColumn("__t", F.when(F.coalesce(F.col("resolution"), F.lit("")) != "dynamic", F.coalesce("target_qualified_name", "target_text")))
+    wanted = few(r.where("__t is not null and __t <> ''").select("__t", "commit").distinct())
     named = found.select("revision_id", "logical_id", "last_commit").join(symbols.select("logical_id", "qualified_name"), "logical_id")
     keys = named.select(F.col("revision_id").alias("__t"), F.lit(0).alias("__by"), "revision_id", "last_commit").unionByName(named.select(F.col("qualified_name").alias("__t"), F.lit(1).alias("__by"), "revision_id", "last_commit"))
-    wanted = r.where("__t is not null and __t <> ''").select("id", "__t", "commit")
-    at = places.select(F.col("revision_id"), F.col("commit")).distinct().withColumn("__here", F.lit(0))
-    pairs = wanted.join(keys, "__t").join(at, ["revision_id", "commit"], "left").withColumn("__here", F.coalesce("__here", F.lit(1)))
-    order = [F.asc("__here"), F.asc("__by"), F.desc_nulls_last(F.when(F.col("__here") == 1, F.col("last_commit"))), F.asc("revision_id")]
-    best = latest(pairs, ["id"], order).select("id", F.col("revision_id").alias("target"))
-    d = r.join(best, "id", "left")
+    keys = keys.join(few(wanted.select("__t").distinct()), "__t", "left_semi")
+    at = places.join(few(wanted.select("commit").distinct()), "commit", "left_semi").select("revision_id", "commit")
+    here = at.join(keys, "revision_id").groupBy("__t", "commit").agg(F.min(F.struct("__by", "revision_id")).alias("__here"))
+    newest = latest(keys, ["__t"], [F.asc("__by"), F.desc_nulls_last("last_commit"), F.asc("revision_id")]).select("__t", F.col("revision_id").alias("__newest"))
+    d = r.join(here, ["__t", "commit"], "left").join(newest, "__t", "left").withColumn("target", F.coalesce("__here.revision_id", "__newest"))
     doubt = F.when(F.col("resolution") == "dynamic", "dynamic").when(F.col("target").isNull(), "unresolved").when(~F.coalesce(F.col("resolution"), F.lit("")).isin("resolved", "exact"), "inferred").otherwise("none")
-    return d.withColumn("doubt", doubt).drop("__t")
+    return d.select(*references.columns, "target", doubt.alias("doubt"))
 
 
 def symbol_transitions(moved: DataFrame, commits: DataFrame, symbols: DataFrame, limit: int = 100) -> DataFrame:
@@ -244,24 +260,28 @@ def commit_documents(commits: DataFrame, path_changes: DataFrame, names: DataFra
     return commits.join(parts, "commit", "left").select("commit", F.array_join(words, " ").alias("content"))
 
 
-def traced(starts: DataFrame, edges: DataFrame, depth: int = 8, most: int = 50, sinks: Column | None = None) -> DataFrame:
+def traced(starts: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], depth: int = 8, most: int = 50, sinks: Column | None = None) -> DataFrame:
     """The first paths of a walk in breadth: place, path (nodes), depth, terminal, truncated. At most `most` of them.
 
     starts: node, rank. edges: seq (order of a node's edges, unique), src, dst, doubt. Paths come in the order in which a queue
     would give them: by steps walked, then by start and edges. Each step joins the frontier with the edges; the walk ends with
     the step that fills the limit, so no step is made for paths that are not asked for. truncated: something was left to walk.
+    edges may be a function of the frontier's nodes (column node), which makes the edges of each step when it is walked.
     """
     front = starts.select("node", F.array("node").alias("path"), F.array("rank").alias("key"))
-    step = edges.select("src", "dst", "seq", F.when(F.col("doubt") != "none", F.col("doubt")).alias("doubt"))
-    has = edges.select(F.col("src").alias("node")).distinct().withColumn("out", F.lit(True))
+    at = (lambda nodes: cut(edges(nodes))) if callable(edges) else (lambda nodes: edges)
     ends = F.when(sinks, "sink") if sinks is not None else F.lit(None).cast("string")
     done, n, left = None, 0, False
     for d in range(depth + 1):
         front = cut(front)
         if front.isEmpty():
             break
-        here = front.join(has, "node", "left")
-        stands = F.lit("max-depth") if d == depth else F.when(F.col("out").isNull(), "leaf")
+        here, stands = front, F.lit("max-depth")
+        if d < depth:
+            e = at(few(front.select("node").where("node is not null").distinct()))
+            step = e.select("src", "dst", "seq", F.when(F.col("doubt") != "none", F.col("doubt")).alias("doubt"))
+            here = front.join(e.select(F.col("src").alias("node")).distinct().withColumn("out", F.lit(True)), "node", "left")
+            stands = F.when(F.col("out").isNull(), "leaf")
         part = here.withColumn("terminal", stands).where("terminal is not null").select("path", "key", F.lit(d).cast("long").alias("depth"), "terminal")
         if d < depth:
             walked = here.where("out").join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "path", F.concat("key", F.array("seq")).alias("key"), "doubt")

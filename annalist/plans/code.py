@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annalist.operators import code_history as C
 from annalist.operators import lineage, search
+from annalist.operators.stable import cut
 from annalist.plans.knowledge import bm25_sql
 from annalist.plans.queries import _TRANSITIONS
 from annalist.plans.registry import query
@@ -142,8 +143,11 @@ def code_reference_steps(t):
     SELECT row_number() OVER (ORDER BY depth, key) AS place, array_to_string(list_transform(path, lambda x: coalesce(x, '')), '>') AS path, depth::BIGINT AS depth, terminal FROM p WHERE terminal IS NOT NULL QUALIFY place <= 50""")
 def code_trace(t):
     s = _seen(t)
-    found, symbols, places = C.revisions(s), C.logical_symbols(s), C.locations(s)
-    edges = C.resolved(_references(t), found, symbols, places).select(F.col("id").alias("seq"), F.col("revision").alias("src"), F.col("target").alias("dst"), "doubt")
+    found, symbols, places = cut(C.revisions(s)), cut(C.logical_symbols(s)), C.locations(s)
+
+    def edges(nodes):
+        return C.resolved(C.references_of(_references(t), nodes), found, symbols, places).select(F.col("id").alias("seq"), F.col("revision").alias("src"), F.col("target").alias("dst"), "doubt")
+
     begin = C.starts(found, symbols.where("qualified_name = 'pkg.m1'"), places, "pkg.m1", 3)
     p = C.traced(begin, edges, 2, 50)
     return p.select("place", F.array_join(F.transform("path", lambda x: F.coalesce(x, F.lit(""))), ">").alias("path"), "depth", "terminal")

@@ -73,3 +73,30 @@ def test_a_symbols_history_looks_at_its_own_observations(spark):
     some = code_history.logical_symbols(code._seen(t)).orderBy("logical_id").limit(3)
     own = code._moved(t, some).orderBy("id", "logical_id").collect()
     assert own and own == code._moved(t).join(some.select("logical_id"), "logical_id", "left_semi").select(code._moved(t).columns).orderBy("id", "logical_id").collect()
+
+
+def test_references_meet_one_revision_of_a_name(spark):
+    r = random.Random(5)
+    found = [(f"r{k}", f"l{k % 4}", r.choice(["c1", "c2", None])) for k in range(12)]
+    symbols = [(f"l{k}", "m.f" if k < 3 else "m.g") for k in range(4)]
+    places = sorted({(f"r{r.randrange(12)}", r.choice(["c1", "c2", "c3"])) for _ in range(14)})
+    refs = [(k, f"r{k % 3}", r.choice(["c1", "c2", "c3", "c4", None]), r.choice(["m.f", "m.g", "r5", "none", "", None]), None, r.choice(["resolved", "dynamic", "guessed"])) for k in range(60)]
+    names = dict(symbols)
+
+    def target(commit, t):
+        all_ = [(commit is None or (i, commit) not in places, t != i, i, last) for i, lid, last in found if t in (i, names[lid])]
+        order = lambda x: (x[0], x[1], (x[3] is None, [-ord(c) for c in x[3] or ""]) if x[0] else (), x[2])
+        return min(all_, key=order)[2] if all_ else None
+
+    frames = (spark.createDataFrame(found, "revision_id string, logical_id string, last_commit string"), spark.createDataFrame(symbols, "logical_id string, qualified_name string"), spark.createDataFrame(places, "revision_id string, commit string"))
+    d = spark.createDataFrame(refs, "id long, revision string, commit string, target_text string, target_qualified_name string, resolution string")
+    got = {x["id"]: x["target"] for x in code_history.resolved(d, *frames).collect()}
+    assert got == {k: None if how == "dynamic" else target(commit, t) for k, _, commit, t, _, how in refs}
+    edges = code_history.resolved(d, *frames).select(F.col("id").alias("seq"), F.col("revision").alias("src"), F.col("target").alias("dst"), "doubt")
+    start, asked = spark.createDataFrame([("r0", 1), ("r1", 2)], "node string, rank long"), []
+
+    def some(nodes):
+        asked.append(nodes.count())
+        return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
+
+    assert code_history.traced(start, some, 2, 400).collect() == code_history.traced(start, edges, 2, 400).collect() and asked[0] == 2

@@ -173,9 +173,12 @@ def label_centroids(t):
     SELECT a.p_partkey AS a, b.p_partkey AS b, round(CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))), 6) AS score
     FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w)) * 2 >= len(list_distinct(list_concat(a.w, b.w)))""")
 def lineage_candidates(t):
-    p = t("part").select("p_partkey", "p_brand", "p_size", F.array_distinct(T.terms(F.col("p_name"))).alias("w"))
-    b = p.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("w").alias("wb"))
-    return p.join(b, ["p_brand", "p_size"]).where("p_partkey < b").select(F.col("p_partkey").alias("a"), "b", F.round(search.jaccard(F.col("w"), F.col("wb")), 6).alias("score")).where("score >= 0.5")
+    # parts of the same words are scored as one, and their pairs made from the result
+    p = t("part").groupBy("p_brand", "p_size", F.array_distinct(T.terms(F.col("p_name"))).alias("w")).agg(F.array_sort(F.collect_list("p_partkey")).alias("m"))
+    b = p.select("p_brand", "p_size", F.col("w").alias("wb"), F.col("m").alias("mb"))
+    d = p.join(b, ["p_brand", "p_size"]).where(F.col("m")[0] <= F.col("mb")[0]).withColumn("score", F.round(search.jaccard(F.col("w"), F.col("wb")), 6)).where("score >= 0.5")
+    d = d.select(F.col("m")[0].eqNullSafe(F.col("mb")[0]).alias("same"), F.explode("m").alias("x"), "mb", "score").select("same", "x", F.explode("mb").alias("y"), "score").where("not same or x < y")
+    return d.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
 
 
 _LOG = "SELECT event_id, ts, user_id, event_type, floor(value / 20)::BIGINT::VARCHAR AS digest, json_extract_string(props, '$.k') AS path FROM events"

@@ -39,10 +39,13 @@ def candidates(previous: DataFrame, current: DataFrame, group: Sequence[str], ke
     """Pairs of a group's previous and current symbols: group, from, to, confidence, same_name, resolution.
 
     The group (a commit, its parent and a path) is an equi-join key, so a pair is only made where the
-    model compares it. A pair is a candidate if another pair of either end is nearer than delta.
+    model compares it. A pair is a candidate if another pair of either end is nearer than delta. key tells the symbols of a group's side apart.
+
+    Symbols that are alike in all that counts are scored as one, and their pairs are made from the result: of two that are alike
+    at one end, each is as near to the other end as the other.
     """
-    p = previous.select(*group, F.col(key).alias("from"), *(F.col(c).alias(f"p_{c}") for c in COLUMNS))
-    c = current.select(*group, F.col(key).alias("to"), *(F.col(x).alias(f"c_{x}") for x in COLUMNS))
+    p = _alike(previous, group, key, "p_", "from")
+    c = _alike(current, group, key, "c_", "to")
     a, b = (lambda x: F.col(f"p_{x}")), (lambda x: F.col(f"c_{x}"))
     both = lambda x: F.when(a(x).isNull() & b(x).isNull(), 0.0).when(a(x) == b(x), 1.0).otherwise(jaccard(words(a(x)), words(b(x))))
     evidence = {
@@ -56,14 +59,24 @@ def candidates(previous: DataFrame, current: DataFrame, group: Sequence[str], ke
     }
     w = WEIGHTS | (weights or {})
     total = sum((e * w[k] for k, e in evidence.items()), F.lit(0.0)) / (sum(w.values()) or 1.0)
-    pairs = p.join(c, list(group)).select(*group, "from", "to", F.round(total, 6).alias("confidence"), a("name").eqNullSafe(b("name")).alias("same_name")).where(F.col("confidence") >= threshold)
+    pairs = p.join(c, list(group)).select(*group, "from", "to", "n_from", "n_to", F.round(total, 6).alias("confidence"), a("name").eqNullSafe(b("name")).alias("same_name")).where(F.col("confidence") >= threshold)
     out = pairs
     for end, other in (("from", "to"), ("to", "from")):
         # the nearest confidence among pairs of the same end is that of a neighbour in sorted order
-        order = W.partitionBy(*group, end).orderBy("confidence", other)
-        gap = F.least(F.coalesce(F.col("confidence") - F.lag("confidence").over(order), F.lit(9.0)), F.coalesce(F.lead("confidence").over(order) - F.col("confidence"), F.lit(9.0)))
+        order = W.partitionBy(*group, F.col(end)[0]).orderBy("confidence", F.col(other)[0])
+        gap = F.when(F.col(f"n_{other}") > 1, 0.0).otherwise(F.least(F.coalesce(F.col("confidence") - F.lag("confidence").over(order), F.lit(9.0)), F.coalesce(F.lead("confidence").over(order) - F.col("confidence"), F.lit(9.0))))
         out = out.withColumn(f"__{end}", F.round(gap, 9) < delta)
-    return out.withColumn("resolution", F.when(F.col("__from") | F.col("__to"), "candidate").otherwise("resolved")).drop("__from", "__to")
+    out = out.withColumn("resolution", F.when(F.col("__from") | F.col("__to"), "candidate").otherwise("resolved"))
+    kept = ["confidence", "same_name", "resolution"]
+    out = out.select(*group, F.explode("from").alias("f"), "to", *kept).select(*group, "f", F.explode("to").alias("t"), *kept)
+    return out.select(*group, F.col("f.key").alias("from"), F.col("t.key").alias("to"), *kept)
+
+
+def _alike(symbols: DataFrame, group: Sequence[str], key: str, prefix: str, end: str) -> DataFrame:
+    """Symbols of a group that have the same COLUMNS as one row: their keys as an array named by end, and how many they are."""
+    d = symbols.select(*group, F.struct(F.col(key).alias("key")).alias("key"), *(F.col(c).alias(f"{prefix}{c}") for c in COLUMNS))
+    d = d.groupBy(*group, *(f"{prefix}{c}" for c in COLUMNS)).agg(F.array_sort(F.collect_list("key")).alias(end))
+    return d.withColumn(f"n_{end}", F.size(end))
 
 
 def match(pairs: DataFrame, group: Sequence[str], multi: float = THRESHOLD) -> DataFrame:

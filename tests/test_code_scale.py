@@ -5,8 +5,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from annalist.operators import code_history, history
-from annalist.plans import code
+from annalist.operators import code_history, history, lineage
+from annalist.plans import code, queries
 
 COLS = "repository long, commit string, seq long, analysis long, path string, language string, kind string, name string, qualified_name string, structural_hash string, source_hash string"
 
@@ -100,3 +100,34 @@ def test_references_meet_one_revision_of_a_name(spark):
         return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
 
     assert code_history.traced(start, some, 2, 400).collect() == code_history.traced(start, edges, 2, 400).collect() and asked[0] == 2
+
+
+def test_alike_symbols_are_scored_once_and_give_all_pairs(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    cols = "grp long, key string, name string, kind string, signature string, structural_hash string, shape_hash string, features array<string>, node_count long, depth long, arity long, tokens array<string>, references array<string>, paths array<string>"
+    side = lambda keys: spark.createDataFrame([(1, k, n, "function", f"({n})", h, "s", ["Call"], 10, 4, 2, [n], [], []) for k, n, h in keys], cols)
+    a = side([("a1", "load", "h1"), ("a2", "load", "h1"), ("a3", "save", "h2")])
+    b = side([("b1", "load", "h1"), ("b2", "save", "h2"), ("b3", "save", "h9")])
+    got = {(r["from"], r["to"]): (r["confidence"], r["resolution"]) for r in lineage.candidates(a, b, ["grp"], "key").collect()}
+    one = {}
+    for x in a.collect():
+        for y in b.collect():  # each pair by itself
+            p = lineage.candidates(a.where(F.col("key") == x["key"]), b.where(F.col("key") == y["key"]), ["grp"], "key").collect()
+            one |= {(r["from"], r["to"]): r["confidence"] for r in p}
+    near = lambda p: any(q != p and (q[0] == p[0] or q[1] == p[1]) and round(abs(one[p] - one[q]), 9) < 0.05 for q in one)
+    assert got == {p: (v, "candidate" if near(p) else "resolved") for p, v in one.items()} and {x[1] for x in got.values()} == {"candidate", "resolved"}
+    plan = lineage.candidates(a, b, ["grp"], "key")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Window")  # pairs of copies are made after the windows
+    resolved = {(r["from"], r["to"]) for r in lineage.match(lineage.candidates(a, b, ["grp"], "key"), ["grp"]).collect()}
+    assert resolved and resolved <= {p for p, v in got.items() if v[1] == "resolved"}
+
+
+def test_parts_of_the_same_words_are_scored_once(spark):
+    rows = [(1, "red bolt", "B", 1), (2, "Red bolt", "B", 1), (3, "bolt red", "B", 1), (4, "blue bolt nut", "B", 1), (5, "red bolt", "B", 2), (6, "bolt nut", "B", 1), (7, "red bolt", "B", 1)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int")
+    d = queries.lineage_candidates(lambda name: part)
+    words = {k: (set(n.lower().split()), (b, s)) for k, n, b, s in rows}
+    pairs = [(x, y, len(words[x][0] & words[y][0]) / len(words[x][0] | words[y][0])) for x in words for y in words if x < y and words[x][1] == words[y][1]]
+    assert sorted(map(tuple, d.collect())) == sorted((x, y, round(s, 6)) for x, y, s in pairs if s >= 0.5)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join")  # pairs of copies are made after the join

@@ -221,11 +221,32 @@ def symbol_transitions(moved: DataFrame, commits: DataFrame, symbols: DataFrame,
     return d.select("logical_id", "place", "id", "commit", "kind", "from_revision", "to_revision", "committed_at", "message")
 
 
-def lineage_of_revisions(hits: DataFrame, found: DataFrame, moved: DataFrame, commits: DataFrame, limit: int = 20) -> DataFrame:
-    """hits (revision_id) with transitions and related: the first transitions and revisions of its symbol, as ids joined by commas."""
+def first_transitions(seen: DataFrame, deletions: DataFrame, commits: DataFrame, limit: int = 20) -> DataFrame:
+    """logical_id, place, id: the first transitions of each symbol as symbol_transitions orders those of changes(seen, deletions).
+
+    Every observation is one, and every deletion of a path after the symbol was first seen there. Of the deletions of a path a symbol takes
+    the first `limit`, so the others are not made.
+    """
+    place, entity = ["repository", "path"], ["repository", "sort", "name"]
+    when = commits.select("repository", "commit", "committed_at")
+    own = _identity(seen)
+    dead = deletions.select(*place, "commit", "seq").join(when, ["repository", "commit"], "left")
+    gone = dead.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("committed_at", "seq"))).alias("gone"))
+    # nulls come last in array_sort, but first among transitions
+    gone = gone.withColumn("gone", F.concat(F.filter("gone", lambda d: d["committed_at"].isNull()), F.filter("gone", lambda d: d["committed_at"].isNotNull())))
+    since = own.where("path is not null").groupBy(*entity, "path").agg(F.min("seq").alias("since")).join(gone, place)
+    met = since.select(*entity, F.explode(F.slice(F.filter("gone", lambda d: d["seq"] > F.col("since")), 1, limit)).alias("d"))
+    rows = own.join(when, ["repository", "commit"], "left").select(*entity, "committed_at", F.col("seq").alias("id"))
+    rows = rows.unionByName(met.select(*entity, "d.committed_at", F.col("d.seq").alias("id")))
+    n = F.row_number().over(W.partitionBy(*entity).orderBy(F.asc_nulls_first("committed_at"), "id"))
+    return rows.withColumn("n", n).where(F.col("n") <= limit).select(_logical().alias("logical_id"), F.col("n").cast("long").alias("place"), "id")
+
+
+def lineage_of_revisions(hits: DataFrame, found: DataFrame, first: DataFrame, limit: int = 20) -> DataFrame:
+    """hits (revision_id) with transitions and related: the first transitions (first_transitions) and revisions of its symbol, as ids joined by commas."""
     h = hits.select("revision_id").join(found.select("revision_id", "logical_id"), "revision_id")
     wanted = h.select("logical_id").distinct()
-    t = symbol_transitions(moved, commits, wanted, limit).groupBy("logical_id").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("x"))
+    t = first.join(wanted, "logical_id", "left_semi").groupBy("logical_id").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("x"))
     own = found.join(wanted, "logical_id", "left_semi").withColumn("place", F.row_number().over(W.partitionBy("logical_id").orderBy("first_commit", "revision_id"))).where(F.col("place") <= limit)
     r = own.groupBy("logical_id").agg(F.array_sort(F.collect_list(F.struct("place", "revision_id"))).alias("y"))
     d = h.join(t, "logical_id", "left").join(r, "logical_id", "left")

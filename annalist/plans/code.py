@@ -165,8 +165,8 @@ def code_symbol_history(t):
     b AS (SELECT lid, string_agg(rid, ',' ORDER BY k) AS related FROM (SELECT lid, rid, row_number() OVER (PARTITION BY lid ORDER BY first_commit, rid) AS k FROM rev) WHERE k <= 20 GROUP BY 1)
     SELECT rid AS revision_id, lid AS logical_id, transitions, related FROM rev JOIN a USING (lid) JOIN b USING (lid)""")
 def code_revision_lineage(t):
-    found = C.revisions(_seen(t))
-    return C.lineage_of_revisions(found, found, _moved(t), _commits(t), 20)
+    found, e = cut(C.revisions(_seen(t))), _events(t)
+    return C.lineage_of_revisions(found, found, C.first_transitions(e.where("not gone"), e.where("gone"), _commits(t), 20), 20)
 
 
 @query(f"""WITH {_O}, {_T}, x AS (SELECT commit, 0 AS k, seq AS id, CASE WHEN gone THEN 'D ' || path || ' ' ELSE 'M  ' || path END AS part FROM o UNION ALL SELECT o.commit, 1, t.id, sym.qn FROM t JOIN o ON o.seq = t.id JOIN sym ON sym.lid = t.lid)

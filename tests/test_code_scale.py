@@ -131,3 +131,13 @@ def test_parts_of_the_same_words_are_scored_once(spark):
     assert sorted(map(tuple, d.collect())) == sorted((x, y, round(s, 6)) for x, y, s in pairs if s >= 0.5)
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Join")  # pairs of copies are made after the join
+
+
+def test_first_transitions_are_those_of_all(spark):
+    seen, gone = a_history(spark, 90)
+    seen = seen.where("path is not null")
+    commits = spark.createDataFrame([(1, f"c{k}", None if k == 3 else k * 7 % 5) for k in range(16)], "repository long, commit string, committed_at long").withColumn("message", F.lit("m"))
+    for limit in (1, 4, 50):
+        all_ = code_history.symbol_transitions(code_history.changes(seen, gone), commits, code_history.logical_symbols(seen), limit).select("logical_id", "place", "id")
+        first = code_history.first_transitions(seen, gone, commits, limit)
+        assert sorted(map(tuple, first.collect())) == sorted(map(tuple, all_.collect()))

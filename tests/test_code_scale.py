@@ -141,3 +141,21 @@ def test_first_transitions_are_those_of_all(spark):
         all_ = code_history.symbol_transitions(code_history.changes(seen, gone), commits, code_history.logical_symbols(seen), limit).select("logical_id", "place", "id")
         first = code_history.first_transitions(seen, gone, commits, limit)
         assert sorted(map(tuple, first.collect())) == sorted(map(tuple, all_.collect()))
+
+
+def test_a_search_of_commits_makes_no_transitions(spark):
+    t = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    assert "Window" not in code._commit_text(t)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matches_are_cut_to_the_resolved_before_pairs_of_copies(spark):
+    t = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    plan = code._pairs(t).where("resolution = 'resolved'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (resolution" in plan[plan.rindex("Generate explode"):] or "Filter NOT" in plan[plan.rindex("Generate explode"):]
+
+
+def test_context_makes_its_hits_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(code, "cut", lambda df: made.append(1) or df)
+    t = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    assert {r["type"] for r in code.code_context(t).collect()} == {"symbol_revision", "commit_change"} and len(made) == 2

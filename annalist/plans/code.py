@@ -195,7 +195,7 @@ def code_commit_search(t):
 
 def _revision_text(t):
     s = _seen(t)
-    path = C.locations(s).groupBy("revision_id").agg(F.max_by("path", "seq").alias("path"))
+    path = s.groupBy("revision_id").agg(F.max_by("path", "seq").alias("path"))
     return C.revisions(s).join(C.logical_symbols(s), "logical_id").join(path, "revision_id").select("revision_id", F.concat_ws(" ", "qualified_name", "kind", "language", "path").alias("content"))
 
 
@@ -206,10 +206,12 @@ def _revision_text(t):
 def code_context(t):
     """Revisions and commits for a query, each with its evidence: where a revision was seen, what a commit changed."""
     asked = "pkg.m7 click"
-    r = search.bm25(_revision_text(t), ["revision_id"], F.col("content"), asked, 10).withColumnRenamed("revision_id", "id")
-    c = search.bm25(_commit_text(t), ["commit"], F.col("content"), asked, 10).withColumnRenamed("commit", "id")
-    places = C.locations(_seen(t)).select(F.col("revision_id").alias("id"), "commit", "path")
-    changes = _events(t).select(F.col("commit").alias("id"), "seq", "path")
+    # the hits are made once, and are few, so that only what they need is looked at for evidence
+    r = cut(search.bm25(_revision_text(t), ["revision_id"], F.col("content"), asked, 10))
+    c = cut(search.bm25(_commit_text(t), ["commit"], F.col("content"), asked, 10))
+    places = C.locations(_seen(t).join(F.broadcast(r.select("revision_id")), "revision_id", "left_semi")).select(F.col("revision_id").alias("id"), "commit", "path")
+    changes = _events(t).join(F.broadcast(c.select("commit")), "commit", "left_semi").select(F.col("commit").alias("id"), "seq", "path")
+    r, c = r.withColumnRenamed("revision_id", "id"), c.withColumnRenamed("commit", "id")
     r = search.with_evidence(r, "id", {"e": (places, ["commit", "path"], 5)}).select(F.lit("symbol_revision").alias("type"), "id", "score", F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["commit"], x["path"])), " ").alias("evidence"))
     c = search.with_evidence(c, "id", {"e": (changes, ["seq", "path"], 5)}).select(F.lit("commit_change").alias("type"), "id", "score", F.array_join(F.transform("e", lambda x: x["path"]), " ").alias("evidence"))
     return r.unionByName(c)

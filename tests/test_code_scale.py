@@ -122,6 +122,53 @@ def test_alike_symbols_are_scored_once_and_give_all_pairs(spark, tmp_path):
     assert resolved and resolved <= {p for p, v in got.items() if v[1] == "resolved"}
 
 
+def some_symbols(spark, n, seed, side):
+    r = random.Random(seed)
+    some = lambda: r.sample(["a", "b", "c", "d"], r.randrange(4)) + r.choice([[], ["a"]])
+    cols = "grp long, key string, name string, kind string, signature string, structural_hash string, shape_hash string, features array<string>, node_count long, depth long, arity long, tokens array<string>, references array<string>, paths array<string>"
+    rows = []
+    for k in range(n):
+        texts = r.choice(rows)[:1] + (f"{side}{k}",) + r.choice(rows)[2:] if rows and r.random() < 0.1 else None
+        rows.append(texts or (r.choice([1, 2]), f"{side}{k}", r.choice(["load a", "a.load", "save it", "load", None]), r.choice(["f", "c", None]), r.choice(["(a)", "(a, b)", "", None]), r.choice(["h1", "h2", "h3", f"{side}{k}", None]), r.choice(["s1", "s2", None]), some(), r.choice([1, 5, 9, None]), r.choice([0, 3]), r.choice([2, None]), some(), some(), r.choice([[], ["x"]])))
+    return spark.createDataFrame(rows, cols)
+
+
+def score(x, y, w):
+    share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+    of = lambda v: {u.lower() for u in re.split("[^A-Za-z0-9_!?*-]+", v or "") if u}
+    num = lambda a, b: 0.0 if a is None or b is None else max(0.0, 1 - abs(a - b) / max(1, a, b))
+    same = lambda c: x[c] is not None and x[c] == y[c]
+    text = lambda c: 1.0 if same(c) else share(of(x[c]), of(y[c]))
+    parts = 0.45 * same("shape_hash") + 0.3 * share(x["features"], y["features"]) + 0.1 * num(x["node_count"], y["node_count"]) + 0.1 * num(x["depth"], y["depth"]) + 0.05 * num(x["arity"], y["arity"])
+    e = {"name": text("name"), "kind": float(same("kind")), "structure": 1.0 if same("structural_hash") else round(parts, 6), "token": share(x["tokens"], y["tokens"])}
+    e |= {"signature": 0.0 if x["signature"] is None and y["signature"] is None else text("signature"), "references": share(x["references"], y["references"]), "diff": share(x["paths"], y["paths"])}
+    return sum(e[k] * w[k] for k in e) / sum(w.values())
+
+
+def test_words_are_compared_before_symbols_and_no_pair_is_lost(spark):
+    for seed, weights, threshold in ((1, {}, 0.45), (2, {"structure": 0.9, "name": 0.0}, 0.6), (3, {"kind": -0.1}, 0.2)):
+        a, b = some_symbols(spark, 40, seed, "a"), some_symbols(spark, 40, seed + 9, "b")
+        d = lineage.candidates(a, b, ["grp"], "key", weights, threshold)
+        rows = d.collect()
+        got = {(r["from"], r["to"]): r["confidence"] for r in rows}
+        want = {(x["key"], y["key"]): score(x, y, lineage.WEIGHTS | weights) for x in a.collect() for y in b.collect() if x["grp"] == y["grp"]}
+        sure = {p for p, v in want.items() if v >= threshold + 2e-6}
+        assert sure <= set(got) <= {p for p, v in want.items() if v >= threshold - 2e-6} and len(rows) == len(got) and sure
+        assert all(abs(want[p] - v) < 2e-6 for p, v in got.items())
+        near = lambda p: any(q != p and (q[0] == p[0] or q[1] == p[1]) and round(abs(got[p] - got[q]), 9) < 0.05 for q in got)
+        assert {(r["from"], r["to"]): r["resolution"] for r in rows} == {p: "candidate" if near(p) else "resolved" for p in got}
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("explode(c_parts") < plan.index("explode(p_parts") < plan.index("array_intersect")  # words are compared below
+        assert plan.count("array_intersect") == 1
+
+
+def test_matches_score_pairs_once(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    d = lineage.match(lineage.candidates(some_symbols(spark, 20, 1, "a"), some_symbols(spark, 20, 2, "b"), ["grp"], "key", delta=0.001), ["grp"])
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert d.count() and "Join" not in plan and "Generate" not in plan  # what is done and what is left come from pairs that are kept
+
+
 def test_parts_of_the_same_words_are_scored_once(spark):
     rows = [(1, "red bolt", "B", 1), (2, "Red bolt", "B", 1), (3, "bolt red", "B", 1), (4, "blue bolt nut", "B", 1), (5, "red bolt", "B", 2), (6, "bolt nut", "B", 1), (7, "red bolt", "B", 1)]
     part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int")

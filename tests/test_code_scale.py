@@ -2,11 +2,13 @@
 
 import random
 import re
+from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from annalist.operators import code_history, history, lineage
-from annalist.plans import code, queries
+from annalist.plans import SQL, code, queries
 
 COLS = "repository long, commit string, seq long, analysis long, path string, language string, kind string, name string, qualified_name string, structural_hash string, source_hash string"
 
@@ -169,6 +171,27 @@ def test_matches_score_pairs_once(spark, tmp_path):
     assert d.count() and "Join" not in plan and "Generate" not in plan  # what is done and what is left come from pairs that are kept
 
 
+def test_matches_of_parts_follow_from_the_sql_of_their_scores(spark, tmp_path, monkeypatch):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    r, made = random.Random(3), []
+    rows = [(k, " ".join(r.sample(["red", "old", "hot", "big", "bolt", "nut", "ring"], r.choice([1, 2, 2, 3]))), f"B{r.randrange(5)}", r.choice(["S", "L"]), r.randrange(8)) for k in range(200)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    con = duckdb.connect()
+    con.register("part", part.toPandas())
+    pairs = [x[:3] for x in con.sql(SQL["code_lineage_scores"]).fetchall() if x[3] == "resolved"]
+    names, ends = {k: n for k, n, *_ in rows}, [Counter(x[k] for x in pairs) for k in (0, 1)]
+    kinds = {(True, True): "split-merge", (True, False): "split", (False, True): "merge"}
+    known = {p: kinds.get((ends[0][p[0]] > 1, ends[1][p[1]] > 1)) for p in pairs}
+    used = [{p[k] for p in pairs if known[p]} for k in (0, 1)]
+    want = {(*p, known[p] or ("modified" if names[p[0]] == names[p[1]] else "moved")) for p in pairs if known[p] or not (p[0] in used[0] or p[1] in used[1])}
+    monkeypatch.setattr(lineage, "cut", lambda df, cut=lineage.cut: made.append("Join" in df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    d = code.code_lineage_matches(lambda name: part)
+    got = [(x["from"], x["to"], x["confidence"], x["kind"]) for x in d.collect()]
+    key = lambda x: (x[0], x[1], round(x[2], 5), x[3])
+    assert sorted(map(key, got)) == sorted(map(key, want)) and {"modified", "moved", "split"} <= {x[3] for x in want}
+    assert made.count(True) + ("Join" in d._jdf.queryExecution().optimizedPlan().toString()) == 1  # the pairs are scored once
+
+
 def test_parts_of_the_same_words_are_scored_once(spark):
     rows = [(1, "red bolt", "B", 1), (2, "Red bolt", "B", 1), (3, "bolt red", "B", 1), (4, "blue bolt nut", "B", 1), (5, "red bolt", "B", 2), (6, "bolt nut", "B", 1), (7, "red bolt", "B", 1)]
     part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int")
